@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from turnloom.llm.ngram_join import op8_ngram_join
 from turnloom.llm.substring_dedup import op1_substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op8_ngram_join": op8_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
