@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from turnloom.llm.ngram_join import op8_ngram_join
+from turnloom.llm.sharding import op6_sharding
 from turnloom.llm.substring_dedup import op1_substring_dedup
+from turnloom.llm.token_counts import op9_token_counts
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op6_sharding": op6_sharding,
     "op8_ngram_join": op8_ngram_join,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
