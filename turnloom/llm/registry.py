@@ -5,15 +5,19 @@ from __future__ import annotations
 from turnloom.llm.decontamination import op10_decontamination
 from turnloom.llm.mixing import op4_mixing
 from turnloom.llm.ngram_join import op8_ngram_join
+from turnloom.llm.quality import op3_quality
 from turnloom.llm.secrets import op2_secrets
 from turnloom.llm.sharding import op6_sharding
 from turnloom.llm.substring_dedup import op1_substring_dedup
 from turnloom.llm.token_counts import op9_token_counts
+from turnloom.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_secrets": op2_secrets,
+    "op3_quality": op3_quality,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
