@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from turnloom.llm.ann import op7_ann
 from turnloom.llm.decontamination import op10_decontamination
 from turnloom.llm.mixing import op4_mixing
 from turnloom.llm.ngram_join import op8_ngram_join
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_ann": op7_ann,
     "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_decontamination": op10_decontamination,

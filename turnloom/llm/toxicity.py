@@ -116,7 +116,7 @@ def telling_terms(rows: list[set[str]], toxic: np.ndarray) -> list[str]:
                 fullest[f"^{w[:k]}"] = max(fullest[f"^{w[:k]}"], c)
     for t in seen[0].keys() | seen[1].keys():
         a, b = seen[1][t], seen[0][t]
-        if a + b < min(LEAST_ROWS, max(4, n[1] // 20)) or t[0] == "^" and 2 * fullest[t] > a > b:
+        if a + b < min(LEAST_ROWS, max(8, n[1] // 20)) or t[0] == "^" and 2 * fullest[t] > a > b:
             continue
         p, q, all_ = a / n[1], b / n[0], (a + b) / sum(n)
         z = (p - q) / max(1e-9, np.sqrt(all_ * (1 - all_) * (1 / n[0] + 1 / n[1])))
