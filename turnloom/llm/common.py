@@ -39,6 +39,18 @@ def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A staged table of at most this many narrow rows (about 100 bytes each) may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small_or_not(stage: DataFrame) -> DataFrame:
+    """A staged table of narrow rows, marked for broadcast if it has no more than BROADCAST_ROWS of them.
+
+    Beyond that it is joined by shuffle. Counting reads the footers of its files.
+    """
+    return F.broadcast(stage) if stage.count() <= BROADCAST_ROWS else stage
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ def _star(edges: DataFrame) -> DataFrame:
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     starred = _star(both).where("v > u")
-    return starred.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
+    return starred.select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:

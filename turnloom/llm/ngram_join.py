@@ -12,10 +12,10 @@ set with more empty parts than that enters its empty parts as well.
 In a tile, bit counts of hashed bitmaps (parity of the n-grams at each bit) bound the overlap from above:
 |A xor B| >= popcount(bits A xor bits B). What passes is decided by intersecting the sorted arrays.
 
-A tile may hold a great group of near copies, so a tile isn't paired out. Its members are first compared with
-one hub, the member that stands in the largest tiles. Linked members fall into one component, and only members of
-different components that still share a tile are compared further, hub by hub over what is left, until no tile
-holds two components that haven't been compared. No link that joins two components is lost; links inside a
+A tile may hold a great group of near copies, so tiles aren't paired out. Their members are first compared with
+one hub, the member that shares tiles with most others. Members that a hub links are one component, and only members
+of different components that share a tile are compared further, blocks of bitmaps against blocks inside a task, from
+which only the pairs come that the bit counts let pass. No link that joins two components is lost; links inside a
 component need no proof.
 
 Defined results: null and empty texts have no n-grams, are linked with nothing and are their own component. Texts
@@ -32,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import digest128, hashes_of, list_array, lower_words_of, mixed, rolling, signed, staged, text_rows
+from turnloom.llm.common import digest128, hashes_of, list_array, lower_words_of, mixed, rolling, signed, small_or_not, staged, text_rows
 from turnloom.llm.components import connected_components
 
 BAND_GROWTH = 1.5
 MIN_BITS = 256
+#: Members of a tile that one task compares with one another or with as many others; rows of small tiles to a group.
+BLOCK_MEMBERS = 1024
+GROUP_ROWS = 20_000
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -150,78 +153,120 @@ def _sets(n: int):
     return sets
 
 
-def _passing(percent: int):
-    """Pairs whose bitmaps leave a link possible."""
+def _linked(percent: int):
+    """Pairs that are similar enough: by bit counts first, then by their arrays."""
 
-    def passing(batches):
+    def linked(batches):
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
-            ok = [
-                100 * min(na, nb) >= percent * max(na, nb) and bit_difference(xa, xb) <= most_differences(na + nb, percent)
-                for na, nb, xa, xb in zip(*cols)
-            ]
+            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            xs, ys, ok = col["grams_a"], col["grams_b"], []
+            for i, (bits_a, bits_b) in enumerate(zip(col["bits_a"].to_pylist(), col["bits_b"].to_pylist())):
+                x, y = (np.asarray(v[i].values).view(np.uint64) for v in (xs, ys))
+                near = bit_difference(bits_a, bits_b) <= most_differences(len(x) + len(y), percent)
+                both = overlap(x, y) if near else 0
+                ok.append(near and 100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return passing
+    return linked
 
 
-def _linked(percent: int):
-    """Pairs whose sets are similar enough."""
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of equal length, the shortest one's."""
+    rows = [np.frombuffer(b, np.uint64) for b in bits]
+    width = min(map(len, rows))
+    return np.stack([np.bitwise_xor.reduce(r.reshape(-1, width), axis=0) for r in rows])
 
-    def linked(batches):
-        for batch in batches:
-            xs, ys = (batch.column(batch.schema.get_field_index(c)) for c in ("grams_a", "grams_b"))
-            ok = []
-            for x, y in zip(xs, ys):
-                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
-                both = overlap(x, y)
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return linked
+def near_pairs(bits: list[bytes], sizes: np.ndarray, comps: np.ndarray, percent: int, left: np.ndarray | None = None):
+    """Indices i, j of a tile's members in different components whose bit counts leave a link possible.
+
+    left marks the members of one block, if those are to be held against the others alone.
+    """
+    rows = _folded(bits)
+    of_i, of_j = (np.arange(len(rows)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
+    found = []
+    for lo in range(0, len(of_i), 64):
+        i = of_i[lo : lo + 64]
+        n, m = sizes[i][:, None], sizes[of_j][None, :]
+        differ = np.bitwise_count(rows[i][:, None, :] ^ rows[of_j][None, :, :]).sum(axis=2)
+        ok = (differ <= (n + m) * (100 - percent) // (100 + percent)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        ok &= comps[i][:, None] != comps[of_j][None, :]
+        if left is None:
+            ok &= i[:, None] < of_j[None, :]
+        x, y = np.nonzero(ok)
+        found.append(np.stack([i[x], of_j[y]]))
+    return np.concatenate(found, axis=1)
+
+
+def _tile_pairs(percent: int):
+    """near_pairs of the tiles in a group: whole tiles, or two blocks of one."""
+
+    def pairs(table: pa.Table) -> pa.Table:
+        col = {n: table.column(n).to_numpy() for n in ("key", "doc_id", "sub", "n", "comp_doc", "comp_sub", "block")}
+        bits, order = table.column("bits").to_pylist(), np.argsort(col["key"], kind="stable")
+        halves = table.column("pair")[0].as_py()
+        edges = np.flatnonzero(np.concatenate([[True], np.diff(col["key"][order]) != 0, [True]]))
+        comps = np.unique(np.stack([col["comp_doc"], col["comp_sub"]], axis=1), axis=0, return_inverse=True)[1].ravel()
+        found = [np.empty((2, 0), np.int64)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            at = order[lo:hi]
+            left = col["block"][at] == halves["i"] if halves["i"] != halves["j"] else None
+            found.append(at[near_pairs([bits[k] for k in at], col["n"][at], comps[at], percent, left)])
+        x, y = np.concatenate(found, axis=1)
+        node = lambda k: pa.StructArray.from_arrays([pa.array(col["doc_id"][k], pa.int64()), pa.array(col["sub"][k], pa.int32())], ["doc_id", "sub"])
+        return pa.table({"a": node(x), "b": node(y)})
+
+    return pairs
 
 
 NODE = "struct<doc_id: bigint, sub: int>"
 
 
-def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of nodes."""
-    of = lambda df, side: df.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "node"))
-    near = pairs.join(of(bits, "a"), "a").join(of(bits, "b"), "b").mapInArrow(_passing(percent), f"a {NODE}, b {NODE}")
-    return near.join(of(sets, "a"), "a").join(of(sets, "b"), "b").mapInArrow(_linked(percent), f"a {NODE}, b {NODE}")
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b) of nodes; sets: node, bits, grams."""
+    of = lambda side: sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("bits", "grams")))
+    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_linked(percent), f"a {NODE}, b {NODE}")
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """Each member of a tile (key, node, comp) with the tile's hub, where their components differ.
+def _hub_pairs(tiles: DataFrame) -> DataFrame:
+    """Each member of a tile (key, node) with the tile's hub.
 
     The hub is the member that shares tiles with the most others, so the text that near copies were made from, if
     it is there.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weights = members.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = members.join(weights, "node")
-    order = F.struct("weight", (-F.col("node.doc_id")).alias("d"), "node", "comp")
-    first = weighed.groupBy("key").agg(F.max(order).alias("hub"))
-    return (
-        members.join(first.select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key")
-        .where("comp != hub_comp")
-        .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        .distinct()
-    )
+    sizes = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    weights = small_or_not(staged(tiles.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "weights"))
+    hubs = tiles.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node.doc_id"))).alias("hub"))
+    pairs = tiles.join(hubs, "key").where("node != hub")
+    return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
-def _residual_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of members of one tile (key, node, comp) in different components."""
-    left = members.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    right = members.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    return left.join(right, "key").where("a < b and comp_a != comp_b").select("a", "b").distinct()
+def _residual_pairs(tiles: DataFrame, links: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs in one tile that links leave in different components, as far as their bit counts let them be linked.
 
-
-def _mixed_tiles(tiles: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members (key, node, comp) of the tiles that hold more than one component."""
+    A member counts to the component of the least node it is linked with. Small tiles are looked at many at a time;
+    the members of a large one are dealt to blocks, and each two blocks are a group of their own.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    labels = small_or_not(staged(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "labels"))
     members = tiles.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    open_ = members.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 != c1").select("key")
-    return members.join(open_, "key")
+    mixed_tiles = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    open_ = members.join(mixed_tiles.where("c0 != c1").select("key", "members"), "key")
+    rest = staged(open_.join(bits, "node"), "open-tiles")
+    groups = max(1, rest.count() // GROUP_ROWS)
+    n_blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
+    large = rest.where(F.col("members") > BLOCK_MEMBERS).withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
+    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+    ends = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    small = rest.where(F.col("members") <= BLOCK_MEMBERS).withColumns({"block": F.lit(0), "other": F.lit(0)})
+    dealt = (
+        small.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
+        .unionByName(large.withColumn("group", F.col("key")))
+        .select("group", ends.alias("pair"), "key", "node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc"), F.col("comp.sub").alias("comp_sub"), "n", "bits", "block")
+    )
+    return dealt.groupBy("group", "pair").applyInArrow(_tile_pairs(percent), f"a {NODE}, b {NODE}").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    ).distinct()
 
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -250,18 +295,17 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
         tiles.select("node").distinct(), "node"
     )
     in_tiles = staged(in_tiles, "nodes")
-    bits = base.join(in_tiles, ["doc_id", "set_a", "set_b"]).select("node", F.col("n_shingles").alias("n"), "bits")
+    few = small_or_not(in_tiles)
+    bits = base.join(few, ["doc_id", "set_a", "set_b"]).select("node", F.col("n_shingles").alias("n"), "bits")
     bits = staged(bits.dropDuplicates(["node"]), "bits")
-    sets = docs.join(in_tiles, "doc_id").select("doc_id", "sub", F.col("set_a").alias("tag"), "text")
+    sets = docs.join(few, "doc_id").select("doc_id", "sub", F.col("set_a").alias("tag"), "text")
     sets = sets.mapInArrow(_sets(n), "doc_id long, sub int, grams array<long>")
-    sets = staged(sets.select(F.struct("doc_id", "sub").alias("node"), "grams").dropDuplicates(["node"]), "sets")
-
-    alone = tiles.select("key", "node", F.col("node").alias("comp"))
-    links = staged(_verified(_hub_pairs(alone), bits, sets, percent), "links")
-    labels = connected_components(links)
-    rest = staged(_mixed_tiles(tiles, labels), "mixed")
-    more = _verified(_residual_pairs(rest), bits, sets, percent)
-    labels = connected_components(staged(links.union(more), "links"))
+    sets = sets.select(F.struct("doc_id", "sub").alias("node"), "grams").dropDuplicates(["node"])
+    sets = staged(sets.join(bits.drop("n"), "node"), "sets")
+
+    links = staged(_verified(_hub_pairs(tiles), sets, percent), "links")
+    more = staged(_verified(_residual_pairs(tiles, links, bits, percent), sets, percent), "links")
+    labels = connected_components(links.union(more))
 
     named = labels.select("node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc")).join(nodes, ["doc_id", "sub"])
     return (
