@@ -131,25 +131,31 @@ def block_of(key, n_blocks):
     return F.pmod(F.xxhash64(key), n_blocks)
 
 
-def mix(docs: DataFrame, budget: float = 1.0, entropy: float = 0.95, max_repeats: float = 4.0, seed: int = 17) -> DataFrame:
-    """docs (doc_id, text, source and others) with n_tokens, weight of the source and copies.
-
-    budget is the number of tokens to draw as a part of all tokens there are.
+def mix(
+    docs: DataFrame, budget: float = 2.0, entropy: float = 0.95, max_repeats: float = 4.0, seed: int = 17, names=("n_tokens", "weight", "copies")
+) -> DataFrame:
+    """docs (doc_id, text, source and others) with its tokens, the weight of its source and copies, under the given names.
+
+    budget is the number of tokens to draw as a part of all tokens there are. With more than there are, sources that
+    hold less than their weight are repeated; with the default, even one that holds a third of all tokens among many keeps all
+    its documents.
     """
     n_tokens = word_count(F.col("text"))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("source").cast("string"), F.lit("")), "doc_id", "text")
     light = staged(docs.select(F.col("source").cast("string").alias("source"), key.alias("key"), n_tokens.alias("n_tokens")), "mixing")
-    plan = staged(mixing_plan(light, budget, entropy, max_repeats), "plan")
+    plan = mixing_plan(light, budget, entropy, max_repeats)
+    plan = staged(plan.select(F.col("of").alias("_mix_of"), F.struct("weight", "rounds", "n_blocks", "cut_block", "cut_key").alias("_mix_plan")), "plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    row_key, block = F.col("_key"), block_of(F.col("_key"), F.col("n_blocks"))
-    once_more = F.coalesce((block < F.col("cut_block")) | ((block == F.col("cut_block")) & (row_key <= F.col("cut_key"))), F.lit(False))
+    of = F.col("_mix_plan")
+    block = block_of(F.col("_mix_key"), of["n_blocks"])
+    once_more = (block < of["cut_block"]) | ((block == of["cut_block"]) & (F.col("_mix_key") <= of["cut_key"]))
     return (
-        docs.drop("n_tokens", "weight", "copies")
-        .withColumns({"n_tokens": n_tokens, "_key": key})
-        .join(plan, F.col("source").cast("string").eqNullSafe(F.col("of")))
-        .withColumn("copies", (F.col("rounds") + once_more.cast("long")).cast("long"))
-        .drop("_key", "of", "rounds", "n_blocks", "cut_block", "cut_key")
+        docs.drop(*names)
+        .withColumns({names[0]: n_tokens, "_mix_key": key})
+        .join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_of")))
+        .withColumns({names[1]: of["weight"], names[2]: (of["rounds"] + F.coalesce(once_more, F.lit(False)).cast("long")).cast("long")})
+        .drop("_mix_key", "_mix_of", "_mix_plan")
     )
 
 

@@ -121,6 +121,16 @@ def _score(shared):
     return score
 
 
+def _keep(shared, threshold: float):
+    def keep(batches):
+        model = shared.value
+        for batch in batches:
+            scores = [model.scores(model.vector(text)[None])[0] for text in text_rows(batch)]
+            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+
+    return keep
+
+
 def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return fit(labelled_sample(docs, labels, "quality", sample))
 
@@ -134,6 +144,11 @@ def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     )
 
 
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (text and any others) whose score reaches the threshold, in one pass and with all their columns."""
+    return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(model), threshold), docs.schema)
+
+
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return quality_scores(docs, quality_model(docs, labels))
