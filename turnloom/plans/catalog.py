@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "turn_windows"
+from turnloom.plans import table_queries, turn_queries
+
+QUERIES: dict = {**turn_queries.QUERIES, **table_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**turn_queries.SQL, **table_queries.SQL}
+FLAGSHIP = "turn_handoff"
