@@ -289,10 +289,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 def op2_secrets(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("spans", lambda s: s["depth"] == 0)
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select(
         "doc_id",
-        *(F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *map(count, KINDS),
         F.sha2(told(base), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
         "n_layers",
