@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import text_rows
 from turnloom.llm.text_features import SHAPES, WORDS, features
 
-SAMPLE = 4000
+SAMPLE = 3000
 DIMENSIONS = 64
 NEIGHBOURS = 15
 SHARPNESS = 4
