@@ -184,7 +184,7 @@ def near_pairs(bits: list[bytes], sizes: np.ndarray, comps: np.ndarray, percent:
     """
     rows = _folded(bits)
     of_i, of_j = (np.arange(len(rows)),) * 2 if left is None else (np.flatnonzero(left), np.flatnonzero(~left))
-    found = []
+    found = [np.empty((2, 0), np.int64)]  # one of two blocks may be without members
     for lo in range(0, len(of_i), 64):
         i = of_i[lo : lo + 64]
         n, m = sizes[i][:, None], sizes[of_j][None, :]
