@@ -27,13 +27,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm.common import hashes_of, mixed, rolling, text_rows, words_of
 from turnloom.llm.quality import held_out, labelled_sample
 
-SAMPLE = 8000
+SAMPLE = 6000
 GRADES = 4
 MARKED = 8.0
 LIFT, LEAST_Z, LEAST_ROWS, MOST_TERMS = 8.0, 5.0, 10, 5000
@@ -49,13 +50,19 @@ def terms_of(text: str | None) -> set[str]:
 
 def severity_grades(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
     """0 for clean rows, 1 to GRADES - 1 for toxic ones by thirds of their share of toxic vocabulary."""
-    seen = (Counter(), Counter())
-    words = [_WORD.findall((t or "").lower()) for t in texts]
-    for ws, y in zip(words, toxic):
-        seen[y].update(set(ws))
+    bad = Counter()
+    for t, y in zip(texts, toxic):
+        if y:
+            bad.update(set(_WORD.findall((t or "").lower())))
+    often = {w: 0 for w, c in bad.items() if c >= 5}
+    for t, y in zip(texts, toxic):
+        if not y:
+            for w in set(_WORD.findall((t or "").lower())) & often.keys():
+                often[w] += 1
     n = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    marked = {w for w, c in seen[1].items() if c >= 5 and c / n[1] >= MARKED * (seen[0][w] + 1) / n[0]}
-    share = np.array([sum(w in marked for w in ws) / max(1, len(ws)) for ws in words])
+    marked = {w for w, c in often.items() if bad[w] / n[1] >= MARKED * (c + 1) / n[0]}
+    words = lambda t: _WORD.findall((t or "").lower())
+    share = np.array([sum(w in marked for w in ws) / max(1, len(ws)) if y else 0.0 for ws, y in zip(map(words, texts), toxic)])
     edges = np.quantile(share[toxic == 1], np.arange(1, GRADES - 1) / (GRADES - 1)) if (toxic == 1).any() else np.zeros(GRADES - 2)
     return np.where(toxic == 1, 1 + np.searchsorted(edges, share, "left"), 0)
 
@@ -103,26 +110,35 @@ def unlike(texts: list[str | None]) -> list[int]:
     return keep
 
 
-def telling_terms(rows: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Terms that tell toxic rows from clean ones, the surest first."""
-    seen = (Counter(), Counter())
-    for terms, y in zip(rows, toxic):
-        seen[y].update(terms)
+def hashed_terms(text: str | None) -> np.ndarray:
+    terms = terms_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64, len(terms))
+
+
+def telling_terms(texts: list[str | None], rows: list[np.ndarray], toxic: np.ndarray) -> list[str]:
+    """Terms that tell toxic texts from clean ones, the surest first. rows: the hashed terms of each text."""
+    none = [np.empty(0, np.uint64)]
+    clean, bad = (np.concatenate(none + [r for r, y in zip(rows, toxic) if y == k]) for k in (0, 1))
     n = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    found, fullest = [], Counter()  # the most rows that one word gives a beginning
-    for w, c in seen[1].items():
-        if w[0] != "^":
-            for k in (4, 5, 6):
-                fullest[f"^{w[:k]}"] = max(fullest[f"^{w[:k]}"], c)
-    for t in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][t], seen[0][t]
-        if a + b < min(LEAST_ROWS, max(8, n[1] // 20)) or t[0] == "^" and 2 * fullest[t] > a > b:
-            continue
-        p, q, all_ = a / n[1], b / n[0], (a + b) / sum(n)
-        z = (p - q) / max(1e-9, np.sqrt(all_ * (1 - all_) * (1 / n[0] + 1 / n[1])))
-        if abs(z) >= LEAST_Z and max(p, q) >= LIFT * min(p, q):
-            found.append((-abs(z), t))
-    return [t for _, t in sorted(found)[:MOST_TERMS]]
+    marks, b = np.unique(bad, return_counts=True)
+    known, a = np.unique(clean, return_counts=True)
+    all_ = np.union1d(marks, known)
+    count = np.zeros((2, len(all_)))
+    count[1, np.searchsorted(all_, marks)], count[0, np.searchsorted(all_, known)] = b, a
+    p, q, both = count[1] / n[1], count[0] / n[0], count.sum(axis=0) / sum(n)
+    z = (p - q) / np.maximum(1e-9, np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1])))
+    ok = (count.sum(axis=0) >= min(LEAST_ROWS, max(8, n[1] // 20))) & (np.abs(z) >= LEAST_Z) & (np.maximum(p, q) >= LIFT * np.minimum(p, q))
+    sure, rate = dict(zip(all_[ok].tolist(), np.abs(z[ok]).tolist())), dict(zip(marks.tolist(), b.tolist()))
+    named, fullest = {}, Counter()  # fullest: the most toxic rows that one word gives a beginning
+    for text in texts:
+        for t in terms_of(text):
+            if (h := xxhash.xxh64_intdigest(t)) in sure:
+                named[t] = h
+            if t[0] != "^" and h in rate:
+                for k in (4, 5, 6):
+                    fullest[f"^{t[:k]}"] = max(fullest[f"^{t[:k]}"], rate[h]) if xxhash.xxh64_intdigest(f"^{t[:k]}") in sure else 0
+    kept = [t for t, h in named.items() if t[0] != "^" or 2 * fullest[t] <= rate.get(h, 0) or h not in rate]
+    return sorted(kept, key=lambda t: (-sure[named[t]], t))[:MOST_TERMS]
 
 
 def fit(texts: list[str | None], toxic: list[int]) -> Model:
@@ -130,10 +146,10 @@ def fit(texts: list[str | None], toxic: list[int]) -> Model:
     texts, y = [texts[i] for i in keep], np.array([toxic[i] for i in keep], np.int64).clip(0, 1)
     if not len(y) or not y.any():
         return Model({}, far)
-    rows, grades = [terms_of(t) for t in texts], severity_grades(texts, y)
-    names = telling_terms(rows, y)
-    column = {t: i for i, t in enumerate(names)}
-    hits = [np.array(sorted(column[t] for t in r if t in column), np.int64) for r in rows]
+    rows, grades = [hashed_terms(t) for t in texts], severity_grades(texts, y)
+    names = telling_terms(texts, rows, y)
+    column = {xxhash.xxh64_intdigest(t): i for i, t in enumerate(names)}
+    hits = [np.array(sorted(column[t] for t in r.tolist() if t in column), np.int64) for r in rows]
     flat, of = np.concatenate(hits), np.repeat(np.arange(len(hits)), [len(h) for h in hits])
     share = np.array([np.clip((grades > k).mean(), 1e-3, 1 - 1e-3) for k in range(GRADES - 1)])
     w, b = np.zeros(len(names)), np.maximum.accumulate(np.log((1 - share) / share) + np.arange(GRADES - 1) * 1e-3)
