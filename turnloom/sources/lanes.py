@@ -97,3 +97,9 @@ def stream_text(lines: DataFrame, key: list[str], seq: str, line: str) -> DataFr
 def read_turn_event_stream(spark: SparkSession, path: str) -> DataFrame:
     """A stream of turn events from JSON files: session_id, seq, media_now, payload."""
     return spark.readStream.schema("session_id string, seq long, media_now double, payload string").json(path)
+
+
+def frame_times(frames: DataFrame, session: list[str], seq: str, pts_us: str, interval_us: int) -> DataFrame:
+    """frames with t_us: their own time, or for those without one their number times the interval."""
+    number = F.row_number().over(Window.partitionBy(*session).orderBy(seq)) - 1
+    return frames.withColumn("t_us", F.coalesce(F.col(pts_us), (number * interval_us).cast("long")))
