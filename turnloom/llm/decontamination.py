@@ -3,9 +3,9 @@ r"""Benchmark decontamination by spaced seeds.
 Words are `\w+` of the lower-cased text. A mask such as 11101111 hashes the words of a window that stand at its
 ones and ignores the others, so a window with other words at the zeros hashes alike. Test and training windows with
 equal hashes under one mask are a hit. Each hit names a diagonal: item and document laid over one another. There
-the whole item is compared word by word, and the stretch with the best sum of +1 for a match and -3 for a
-substitution is the overlap. A document is contaminated by an item if the overlap matches at least
-min(WHOLE, 80 % of the item's words) of them.
+the whole item is compared word by word. A document is contaminated by an item if 80 % of the item's words match there, or if
+the stretch with the best sum of +1 for a match and -3 for a substitution has WHOLE matches or more. The overlap that is
+returned is the item's extent in the first case, else that stretch.
 
 The index of the test set goes to the executors if its seeds number at most INDEX_LIMIT; that is counted
 first. A larger test set is joined by hash: both sides' seeds are shuffled, and hot seeds (a phrase of a third of
@@ -53,19 +53,19 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mixed(total)
 
 
-def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """The best stretch with doc[shift + i] laid under item[i]: matches, its start in the item, its length."""
+def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int] | None:
+    """With doc[shift + i] laid under item[i]: matches, start in the item and length of the overlap; None if it is too small."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
     same = item[lo:hi] == doc[shift + lo : shift + hi]
+    if 5 * (matched := int(same.sum())) >= 4 * len(item):
+        at = np.flatnonzero(same)
+        return matched, lo + int(at[0]), int(at[-1] - at[0] + 1)
     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -SUBSTITUTION))])
     floor = np.minimum.accumulate(total)
     end = int((total - floor).argmax())
     start = int(np.flatnonzero(total[: end + 1] == floor[end])[-1])
-    return int(same[start:end].sum()), lo + start, end - start
-
-
-def enough(matched: int, item_words: int) -> bool:
-    return matched >= min(WHOLE, -(-4 * item_words // 5))
+    matched = int(same[start:end].sum())
+    return (matched, lo + start, end - start) if matched >= WHOLE else None
 
 
 class Index:
@@ -96,7 +96,7 @@ class Index:
         best: dict[int, tuple] = {}
         for item, shift in sorted(diagonals):
             found = best_overlap(self.items[item][1], doc, shift)
-            if enough(found[0], len(self.items[item][1])) and (item not in best or found[0] > best[item][0][0]):
+            if found and (item not in best or found[0] > best[item][0][0]):
                 best[item] = (found, shift)
         return [(item, *x) for item, x in sorted(best.items())]
 
@@ -145,7 +145,7 @@ def _compare(batches):
             if len(item) < MIN_ITEM:
                 continue
             found = [(best_overlap(item, doc, shift), shift) for shift in sorted(set(col["shifts"][i].as_py())) if -len(item) < shift < len(doc)]
-            found = [x for x in found if enough(x[0][0], len(item))]
+            found = [x for x in found if x[0]]
             if found:
                 (matched, start, length), shift = max(found, key=lambda x: x[0][0])
                 rows.append((col["doc_id"][i].as_py(), col["item_id"][i].as_py(), matched, length, len(item), shift + start, start))
