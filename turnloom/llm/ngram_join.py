@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import digest128, hashes_of, list_array, lower_words_of, mixed, rolling, signed, small_or_not, staged, text_rows
 from turnloom.llm.components import connected_components
 
-BAND_GROWTH = 1.5
+BAND_GROWTH = 1.6
 MIN_BITS = 256
-#: Members of a tile that one task compares with one another or with as many others; rows of small tiles to a group.
+#: Tiles of at most so many members give their pairs; those of more are compared in blocks of so many members.
+PAIRED_MEMBERS = 32
 BLOCK_MEMBERS = 1024
-GROUP_ROWS = 20_000
 
 
 def shingles(words: list[bytes], n: int) -> np.ndarray:
@@ -71,22 +71,26 @@ class Bands:
     def parts(self, family: int) -> tuple[int, int]:
         """Number of parts, and how many of them a linked pair has equal at least."""
         most = most_differences(2 * (self.edges[family + 1] - 1), self.percent)
-        spare = 1 + math.ceil((most + 1) * 2 * math.exp(-self.edges[family] / (most + 1)))
+        spare = 2 + math.ceil((most + 1) * 2 * math.exp(-self.edges[family] / (most + 1)))
         return most + 1 + spare, 1 + spare
 
 
-def tile_keys(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The tiles of a set."""
-    keys, total = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
+def tiles_of(s: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tiles of a set, the band of each, and how many tiles of that band it shares with a linked set at least."""
+    keys, families, needs = [], [], []
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
     for family in bands.families(len(s)):
         n, equal = bands.parts(family)
         part = (s >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)  # rises with s
         edge = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
         empty = edge[1:] == edge[:-1]
-        keep = np.ones(n, bool) if empty.sum() >= equal else ~empty
+        need = equal - int(empty.sum())
+        keep = np.ones(n, bool) if need < 1 else ~empty
         label = np.arange(n, dtype=np.uint64) + np.uint64(family << 40)
         keys.append(mixed(total[edge[1:]] - total[edge[:-1]] ^ mixed(label + np.uint64(1)))[keep])
-    return np.concatenate(keys)
+        families.append(np.full(int(keep.sum()), family))
+        needs.append(np.full(int(keep.sum()), max(1, need)))
+    return np.concatenate(keys), np.concatenate(families), np.concatenate(needs)
 
 
 def bitmap(s: np.ndarray) -> bytes:
@@ -115,26 +119,42 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum()) if len(b) else 0
 
 
-def _signatures(n: int, percent: int):
+def _signatures(n: int):
     def signatures(batches):
-        bands = Bands(percent)
         for batch in batches:
-            light, keys = [[] for _ in range(4)], []
+            light = [[] for _ in range(4)]
             for text in text_rows(batch):
                 s = shingles(lower_words_of(text), n)
                 a, b = digest128(s.tobytes())
                 for col, x in zip(light, (len(s), a, b, bitmap(s) if len(s) else None)):
                     col.append(x)
-                keys.append(signed(tile_keys(s, bands) if len(s) else s))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(light, kinds)), list_array(keys, pa.int64())],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bits", "keys"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(light, kinds))], ["doc_id", "n_shingles", "set_a", "set_b", "bits"])
 
     return signatures
 
 
+def short_tag(set_a: int) -> int:
+    """A few bits of a set's digest, to tell texts apart that have the same doc_id."""
+    return set_a & 0xFFFF
+
+
+def _tiles(n: int, percent: int):
+    def tiles(batches):
+        bands = Bands(percent)
+        for batch in batches:
+            keys, labels = [], []
+            for text in text_rows(batch):
+                s = shingles(lower_words_of(text), n)
+                key, family, need = tiles_of(s, bands) if len(s) else (s, s, s)
+                tag = short_tag(digest128(s.tobytes())[0])
+                keys.append(signed(key))
+                labels.append(need.astype(np.int64) << 24 | family.astype(np.int64) << 16 | tag)
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(keys, pa.int64()), list_array(labels, pa.int64())], ["doc_id", "keys", "labels"])
+
+    return tiles
+
+
 def _sets(n: int):
     def sets(batches):
         for batch in batches:
@@ -153,18 +173,32 @@ def _sets(n: int):
     return sets
 
 
+def _passing(percent: int):
+    """Pairs whose bit counts leave a link possible."""
+
+    def passing(batches):
+        for batch in batches:
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n_a", "n_b", "bits_a", "bits_b")]
+            ok = [
+                100 * min(na, nb) >= percent * max(na, nb) and bit_difference(xa, xb) <= most_differences(na + nb, percent)
+                for na, nb, xa, xb in zip(*cols)
+            ]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return passing
+
+
 def _linked(percent: int):
-    """Pairs that are similar enough: by bit counts first, then by their arrays."""
+    """Pairs whose sets are similar enough."""
 
     def linked(batches):
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            xs, ys, ok = col["grams_a"], col["grams_b"], []
-            for i, (bits_a, bits_b) in enumerate(zip(col["bits_a"].to_pylist(), col["bits_b"].to_pylist())):
-                x, y = (np.asarray(v[i].values).view(np.uint64) for v in (xs, ys))
-                near = bit_difference(bits_a, bits_b) <= most_differences(len(x) + len(y), percent)
-                both = overlap(x, y) if near else 0
-                ok.append(near and 100 * both >= percent * (len(x) + len(y) - both))
+            xs, ys = (batch.column(batch.schema.get_field_index(c)) for c in ("grams_a", "grams_b"))
+            ok = []
+            for x, y in zip(xs, ys):
+                x, y = (np.asarray(v.values).view(np.uint64) for v in (x, y))
+                both = overlap(x, y)
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return linked
@@ -199,20 +233,14 @@ def near_pairs(bits: list[bytes], sizes: np.ndarray, comps: np.ndarray, percent:
 
 
 def _tile_pairs(percent: int):
-    """near_pairs of the tiles in a group: whole tiles, or two blocks of one."""
+    """near_pairs of one or two blocks of a tile."""
 
     def pairs(table: pa.Table) -> pa.Table:
-        col = {n: table.column(n).to_numpy() for n in ("key", "doc_id", "sub", "n", "comp_doc", "comp_sub", "block")}
-        bits, order = table.column("bits").to_pylist(), np.argsort(col["key"], kind="stable")
-        halves = table.column("pair")[0].as_py()
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(col["key"][order]) != 0, [True]]))
+        col = {n: table.column(n).to_numpy() for n in ("doc_id", "sub", "n", "comp_doc", "comp_sub", "block")}
+        ends = table.column("pair")[0].as_py()
+        left = col["block"] == ends["i"] if ends["i"] != ends["j"] else None
         comps = np.unique(np.stack([col["comp_doc"], col["comp_sub"]], axis=1), axis=0, return_inverse=True)[1].ravel()
-        found = [np.empty((2, 0), np.int64)]
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            at = order[lo:hi]
-            left = col["block"][at] == halves["i"] if halves["i"] != halves["j"] else None
-            found.append(at[near_pairs([bits[k] for k in at], col["n"][at], comps[at], percent, left)])
-        x, y = np.concatenate(found, axis=1)
+        x, y = near_pairs(table.column("bits").to_pylist(), col["n"], comps, percent, left)
         node = lambda k: pa.StructArray.from_arrays([pa.array(col["doc_id"][k], pa.int64()), pa.array(col["sub"][k], pa.int32())], ["doc_id", "sub"])
         return pa.table({"a": node(x), "b": node(y)})
 
@@ -222,10 +250,27 @@ def _tile_pairs(percent: int):
 NODE = "struct<doc_id: bigint, sub: int>"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of nodes; sets: node, bits, grams."""
-    of = lambda side: sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("bits", "grams")))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_linked(percent), f"a {NODE}, b {NODE}")
+def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The linked ones of pairs (a, b) of nodes: by bit counts first, then by their sorted arrays."""
+    of = lambda df, side: df.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "node"))
+    near = pairs.join(of(bits, "a"), "a").join(of(bits, "b"), "b").mapInArrow(_passing(percent), f"a {NODE}, b {NODE}")
+    near = staged(near, "near")
+    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    sets = sets.join(small_or_not(staged(wanted, "wanted")), "node", "left_semi")
+    pairs = small_or_not(near).join(of(sets, "a"), "a").join(of(sets, "b"), "b")
+    return pairs.mapInArrow(_linked(percent), f"a {NODE}, b {NODE}").distinct()
+
+
+def _worth_a_look(members: DataFrame) -> DataFrame:
+    """Members (key, node, family, need) without those that can't be linked with anyone, as key, node.
+
+    A linked set shares `need` tiles of one band; so a node with fewer tiles there that others are in drops out, and with
+    it the tiles that it alone kept open.
+    """
+    several = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    enough = members.join(several(members), "key").groupBy("node", "family").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("least")).where("n >= least")
+    kept = members.join(small_or_not(staged(enough.select("node", "family"), "enough")), ["node", "family"])
+    return kept.join(several(kept), "key").select("key", "node")
 
 
 def _hub_pairs(tiles: DataFrame) -> DataFrame:
@@ -244,29 +289,27 @@ def _hub_pairs(tiles: DataFrame) -> DataFrame:
 def _residual_pairs(tiles: DataFrame, links: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
     """Pairs in one tile that links leave in different components, as far as their bit counts let them be linked.
 
-    A member counts to the component of the least node it is linked with. Small tiles are looked at many at a time;
-    the members of a large one are dealt to blocks, and each two blocks are a group of their own.
+    A member counts to the component of the least node it is linked with. Small tiles give their pairs; the members of a large
+    one are dealt to blocks, and each two blocks are compared in a task of their own, which tells what the bit counts let pass.
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     labels = small_or_not(staged(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "labels"))
     members = tiles.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed_tiles = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     open_ = members.join(mixed_tiles.where("c0 != c1").select("key", "members"), "key")
-    rest = staged(open_.join(bits, "node"), "open-tiles")
-    groups = max(1, rest.count() // GROUP_ROWS)
+    rest = staged(open_, "open-tiles")
+    small = rest.where(F.col("members") <= PAIRED_MEMBERS)
+    one, other = (small.select("key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b"))
+    pairs = one.join(other, "key").where("a < b and comp_a != comp_b").select("a", "b")
+
     n_blocks = F.ceil(F.col("members") / BLOCK_MEMBERS).cast("int")
-    large = rest.where(F.col("members") > BLOCK_MEMBERS).withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    ends = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    small = rest.where(F.col("members") <= BLOCK_MEMBERS).withColumns({"block": F.lit(0), "other": F.lit(0)})
-    dealt = (
-        small.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups)))
-        .unionByName(large.withColumn("group", F.col("key")))
-        .select("group", ends.alias("pair"), "key", "node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc"), F.col("comp.sub").alias("comp_sub"), "n", "bits", "block")
-    )
-    return dealt.groupBy("group", "pair").applyInArrow(_tile_pairs(percent), f"a {NODE}, b {NODE}").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    ).distinct()
+    large = rest.where(F.col("members") > PAIRED_MEMBERS).withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int")).join(bits, "node")
+    dealt = large.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1))).select(
+        F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("pair"), "key",
+        "node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc"), F.col("comp.sub").alias("comp_sub"), "n", "bits", "block",
+    )
+    blocks = dealt.groupBy("key", "pair").applyInArrow(_tile_pairs(percent), f"a {NODE}, b {NODE}")
+    return pairs.union(blocks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
@@ -276,35 +319,41 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     reach, the document's own included.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    base = staged(
-        docs.mapInArrow(_signatures(n, percent), "doc_id long, n_shingles long, set_a long, set_b long, bits binary, keys array<long>"), "signatures"
-    )
+    base = staged(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, set_a long, set_b long, bits binary"), "signatures")
     classes = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_doc"))
     # The first document of a class stands for it. sub tells classes apart that have the same first doc_id.
     nodes = classes.where("first_doc is not null").withColumn(
         "sub", F.row_number().over(Window.partitionBy("first_doc").orderBy("set_a", "set_b")) - 1
     )
-    nodes = nodes.select(F.col("first_doc").alias("doc_id"), "sub", "set_a", "set_b")
-    stand = base.join(nodes, ["doc_id", "set_a", "set_b"])
-
-    entered = stand.select(F.explode("keys").alias("key"), "doc_id", "sub")
-    ends = [f(c).alias(f"{c}{i}") for c in ("doc_id", "sub") for i, f in enumerate((F.min, F.max))]
-    shared = entered.groupBy("key").agg(*ends).where("doc_id0 < doc_id1 or sub0 < sub1").select("key")
-    tiles = staged(entered.join(shared, "key").select("key", F.struct("doc_id", "sub").alias("node")).distinct(), "tiles")
-    in_tiles = nodes.select(F.struct("doc_id", "sub").alias("node"), "doc_id", "sub", "set_a", "set_b").join(
-        tiles.select("node").distinct(), "node"
+    nodes = nodes.select(F.col("first_doc").alias("doc_id"), "sub", "set_a", "set_b", (F.col("set_a").bitwiseAND(0xFFFF)).cast("int").alias("tag"))
+    nodes = staged(nodes, "nodes")
+
+    # The tiles of all documents, made twice rather than kept: first to count, then to join. Copies come along and drop out
+    # when only first documents are kept.
+    made = docs.where("doc_id is not null").mapInArrow(_tiles(n, percent), "doc_id long, keys array<long>, labels array<long>")
+    entered = made.select("doc_id", F.explode(F.arrays_zip("keys", "labels")).alias("t")).select(F.col("t.keys").alias("key"), "doc_id", F.col("t.labels").alias("label"))
+    shared = staged(entered.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    firsts = nodes.select("doc_id", "tag", F.struct("doc_id", "sub").alias("node"))
+    label = F.col("label")
+    members = (
+        entered.join(shared, "key")
+        .withColumn("tag", label.bitwiseAND(0xFFFF).cast("int"))
+        .join(firsts, ["doc_id", "tag"])
+        .select("key", "node", F.shiftright(label, 16).bitwiseAND(0xFF).cast("int").alias("family"), F.shiftright(label, 24).cast("int").alias("need"))
+        .distinct()
     )
-    in_tiles = staged(in_tiles, "nodes")
+    tiles = staged(_worth_a_look(staged(members, "members")), "tiles")
+    in_tiles = nodes.withColumn("node", F.struct("doc_id", "sub")).join(tiles.select("node").distinct(), "node")
+    in_tiles = staged(in_tiles.drop("tag"), "tile-nodes")
     few = small_or_not(in_tiles)
     bits = base.join(few, ["doc_id", "set_a", "set_b"]).select("node", F.col("n_shingles").alias("n"), "bits")
     bits = staged(bits.dropDuplicates(["node"]), "bits")
     sets = docs.join(few, "doc_id").select("doc_id", "sub", F.col("set_a").alias("tag"), "text")
     sets = sets.mapInArrow(_sets(n), "doc_id long, sub int, grams array<long>")
-    sets = sets.select(F.struct("doc_id", "sub").alias("node"), "grams").dropDuplicates(["node"])
-    sets = staged(sets.join(bits.drop("n"), "node"), "sets")
+    sets = staged(sets.select(F.struct("doc_id", "sub").alias("node"), "grams"), "sets")
 
-    links = staged(_verified(_hub_pairs(tiles), sets, percent), "links")
-    more = staged(_verified(_residual_pairs(tiles, links, bits, percent), sets, percent), "links")
+    links = staged(_verified(_hub_pairs(tiles), bits, sets, percent), "links")
+    more = staged(_verified(_residual_pairs(tiles, links, bits, percent), bits, sets, percent), "links")
     labels = connected_components(links.union(more))
 
     named = labels.select("node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc")).join(nodes, ["doc_id", "sub"])
