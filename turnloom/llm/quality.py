@@ -18,6 +18,7 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from turnloom.llm.common import text_rows
 from turnloom.llm.text_features import SHAPES, WORDS, features
 
-SAMPLE = 3000
+SAMPLE = 2000
 DIMENSIONS = 64
 NEIGHBOURS = 15
 SHARPNESS = 4
@@ -78,9 +79,8 @@ def fit(rows: list[tuple[str | None, int]]) -> Model:
     # The leading right singular vectors, from the eigenvectors of the smaller Gram matrix.
     k = min(DIMENSIONS, len(rows))
     values, left = np.linalg.eigh(matrix @ matrix.T)
-    left, values = left[:, ::-1][:, :k], np.sqrt(np.maximum(values[::-1][:k], 1e-12))
-    projection = weight[:, None] * (matrix.T @ (left / values))
-    vectors = matrix @ (matrix.T @ (left / values))
+    right = matrix.T @ (left[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12)))
+    projection, vectors = weight[:, None] * right, matrix @ right
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     return Model(projection.astype(np.float32), vectors.astype(np.float32), labels, float(labels.mean()))
 
@@ -90,17 +90,27 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int, seed: int = 3) -> list[tuple[str | None, int]]:
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, size: int, seed: int = 3) -> DataFrame:
     """At most size rows (text, label) that may be learned from, the same ones however the tables are cut up.
 
-    The sample is chosen among the ids; only its own texts come to the driver.
+    The sample is chosen among the ids before any text is looked at.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chosen = known.join(there.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(size)
     rows = there.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label", "text").limit(size)
-    return [(r.text, r.label) for r in rows.select("text", "label").collect()]
+    return rows.select("text", "label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> list[tuple[str | None, int]]:
+    return [(r.text, r.label) for r in sample_rows(docs, labels, label, size).collect()]
+
+
+def _fit_task(batches):
+    """The model of all rows of one task, pickled."""
+    rows = [(text, y) for batch in batches for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
 
 
 def _score(shared):
@@ -132,7 +142,10 @@ def _keep(shared, threshold: float):
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    return fit(labelled_sample(docs, labels, "quality", sample))
+    """Fitted in one task over the bounded sample; only the model comes to the driver."""
+    rows = sample_rows(docs, labels, "quality", sample).coalesce(1)
+    fitted = rows.mapInArrow(_fit_task, "model binary").first()
+    return pickle.loads(bytes(fitted.model)) if fitted else fit([])
 
 
 def quality_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
