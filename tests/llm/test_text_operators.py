@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm import decontamination as dc
 from turnloom.llm import quality, secrets, toxicity
+from turnloom.llm.text_features import distinct_share, shape_terms
 from turnloom.llm.token_counts import MARK, VOCABULARY, UnigramCounter, pieces_of, token_counts
 
 DOCS = "doc_id long, text string"
@@ -162,6 +163,15 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == docs.columns and abs(kept.count() - scored.where("predicted = 1").count()) == 0
 
 
+def test_distinct_words_are_taken_from_the_whole_text():
+    varied, loop = [b"w%d" % i for i in range(200)], [b"a", b"b"] * 100
+    assert distinct_share(varied) == 1 and distinct_share([]) == 0 and distinct_share([b"a", b"a"]) == 0.5
+    assert distinct_share(varied + loop * 9) == distinct_share(loop * 9 + varied) == pytest.approx((1 + 9 * 0.01) / 10)
+    assert distinct_share(varied + varied[:50]) == 1
+    level = lambda words: {t for t in shape_terms(b" ".join(words), words) if t.startswith(b"#distinct")}
+    assert level(varied + loop * 9) == level(loop * 9 + varied) != level(varied)
+
+
 def test_quality_without_labels(spark):
     docs, labels = labelled(spark, 20)
     assert {r.score for r in quality.quality_scores(docs, quality.quality_model(docs, labels.limit(0))).collect()} == {0.5}

@@ -10,6 +10,8 @@ import numpy as np
 
 WORDS = 4096
 SHAPES = 1024
+#: Words in each block of which the distinct share is taken.
+BLOCK_WORDS = 200
 _CLASS = bytes(
     0x61 if 0x61 <= b <= 0x7A or b >= 0x80 else 0x41 if 0x41 <= b <= 0x5A else 0x30 if 0x30 <= b <= 0x39 else b for b in range(256)
 )
@@ -21,6 +23,14 @@ def _level(part: float) -> int:
     return int(np.sqrt(min(max(part, 0.0), 1.0)) * 10)
 
 
+def distinct_share(words: list[bytes]) -> float:
+    """The mean share of distinct words over all blocks of BLOCK_WORDS words; the last block ends with the text."""
+    n = len(words)
+    last = max(n - BLOCK_WORDS, 0)
+    shares = [len(set(words[i : i + BLOCK_WORDS])) / max(min(n, BLOCK_WORDS), 1) for i in [*range(0, last, BLOCK_WORDS), last]]
+    return sum(shares) / len(shares)
+
+
 def shape_terms(raw: bytes, words: list[bytes]) -> Counter:
     """Counts of word shapes (letters, capitals, digits and marks, runs shortened) and of levels of a few ratios."""
     shapes = Counter(_RUN.sub(rb"\1", raw.translate(_CLASS)).split())
@@ -36,7 +46,7 @@ def shape_terms(raw: bytes, words: list[bytes]) -> Counter:
         (b"#capital words", capitals / max(n, 1)),
         (b"#white", marks / max(len(raw), 1)),
         (b"#short", 1 / (1 + n)),
-        (b"#distinct", len(set(words[:200])) / max(min(n, 200), 1)),
+        (b"#distinct", distinct_share(words)),
     ):
         terms[name + b"%d" % _level(part)] += max(1, n // 8)
     return terms
