@@ -11,6 +11,7 @@ from turnloom.sources.lanes import stream_text, turn_events
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+DELTA_CHARS = 40
 
 
 def query(sql: str | None = None):
@@ -41,28 +42,28 @@ def sentence_split(spark, sf_dir):
 
 
 def event_script(spark, sf_dir: str) -> DataFrame:
-    """Turn events made of conversations: for each message speech starts, deltas come, and it completes with or without text, or never."""
+    """Turn events made of conversations: for each message speech starts, its whole text comes in deltas, and it completes with or without text, or never."""
     talk = _table(spark, sf_dir, "conversations")
-    steps = F.array(
-        *(
-            F.struct(F.lit(kind).alias("kind"), F.lit(at).alias("at"), text.alias("text"), item.alias("item_id"))
-            for kind, at, text, item in (
-                ("vad.speech_started", 0.5, F.lit(None).cast("string"), F.lit(None).cast("string")),
-                ("transcript.delta", 1.0, F.substring("text", 1, 40), F.col("turn").cast("string")),
-                ("transcript.delta", 2.0, F.substring("text", 41, 40), F.col("turn").cast("string")),
-                ("vad.speech_stopped", 5.0, F.lit(None).cast("string"), F.lit(None).cast("string")),
-                ("transcript.completed", 5.4, F.when(F.col("turn") % 2 == 0, F.col("text")), F.col("turn").cast("string")),
-                ("tick", 6.0, F.lit(None).cast("string"), F.lit(None).cast("string")),
-            )
-        )
+    none = F.lit(None).cast("string")
+    item = F.col("turn").cast("string")
+    step = lambda kind, at, text, item: F.struct(F.lit(kind).alias("kind"), at.alias("at"), text.alias("text"), item.alias("item_id"))
+    n = F.coalesce(F.ceil(F.length("text") / DELTA_CHARS).cast("int"), F.lit(0))
+    # A second apart, or closer so that all come before speech stops.
+    gap = F.least(F.lit(1.0), F.lit(4.0) / F.greatest(n, F.lit(1)))
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    deltas = F.transform(numbers, lambda j: step("transcript.delta", F.lit(1.0) + j * gap, F.substring(F.col("text"), j * DELTA_CHARS + 1, F.lit(DELTA_CHARS)), item))
+    ends = F.array(
+        step("vad.speech_stopped", F.lit(5.0), none, none),
+        step("transcript.completed", F.lit(5.4), F.when(F.col("turn") % 2 == 0, F.col("text")), item),
+        step("tick", F.lit(6.0), none, none),
     )
+    steps = F.concat(F.array(step("vad.speech_started", F.lit(0.5), none, none)), deltas, ends)
     kept = F.filter(steps, lambda s: (F.col("turn") % 3 != 2) | (s["kind"] != "transcript.completed"))
     rows = talk.select("conv_id", "turn", F.posexplode(kept).alias("i", "s"))
     rows = rows.select(
-        F.col("conv_id").cast("string").alias("session_id"), (F.col("turn") * 10 + F.col("i")).alias("seq"), (F.col("turn") * 6.0 + F.col("s.at")).alias("media_now"),
+        F.col("conv_id").cast("string").alias("session_id"), (F.shiftleft(F.col("turn").cast("long"), 32) + F.col("i")).alias("seq"), (F.col("turn") * 6.0 + F.col("s.at")).alias("media_now"),
         "s.kind", "s.item_id", "s.text",
     )
-    none = F.lit(None).cast("string")
     last = rows.groupBy("session_id").agg((F.max("seq") + 1).alias("seq"), (F.max("media_now") + 1).alias("media_now"))
     return rows.unionByName(last.withColumns({"kind": F.lit("turn_end"), "item_id": none, "text": none}))
 
@@ -173,7 +174,7 @@ def reading_coercion(spark, sf_dir):
 @query()
 def json_repair(spark, sf_dir):
     """Replies made of conversations, whole, fenced, in prose or cut off, and the JSON found in them."""
-    body = F.to_json(F.struct(F.col("role").alias("state"), F.substring("text", 1, 60).alias("note"), F.array("turn", "conv_id").alias("critique")))
+    body = F.to_json(F.struct(F.col("role").alias("state"), F.col("text").alias("note"), F.array("turn", "conv_id").alias("critique")))
     forms = F.array(body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Well: "), body, F.lit(" so.")), F.expr("left(_body, length(_body) - 3)"), F.expr("left(_body, 25)"), F.lit("none"))
     rows = _table(spark, sf_dir, "conversations").withColumn("_body", body)
     rows = rows.select("conv_id", "turn", F.element_at(forms, (F.col("turn") % 6 + 1).cast("int")).alias("reply"))
