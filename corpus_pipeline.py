@@ -27,16 +27,30 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group linked by five-word shingles at a similarity of 0.8 or more.
 
-    If a doc_id is repeated, one row of it stands for it, the one with the least text. Rows without an id stay.
+    If a doc_id is repeated, its rows are told apart by number: those with unlike texts all stay, and of a group's rows one
+    with the smallest doc_id does. Texts without words are copies of those with the same id alone. Rows without an id stay.
     """
     ids = docs.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
     if ids[0] != ids[1]:
-        named = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row"))
-        docs = staged(named.select("row.*").unionByName(docs.where("doc_id is null")), "one-row-an-id")
+        return _one_row_of_each(docs)
     gone = similar_documents(docs, n=5, percent=80).where("doc_id != component_id").select("doc_id")
     return docs.join(small_or_not(staged(gone, "gone")), "doc_id", "left_anti").select(docs.columns)
 
 
+def _one_row_of_each(docs: DataFrame) -> DataFrame:
+    """one_of_each for documents with repeated ids: groups are of rows, not of ids."""
+    rows = staged(docs.where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    groups = similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80).select(
+        F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")
+    )
+    # Ties go by the row's hash, so that only rows alike in all columns are left to chance.
+    order = rows.select("_row", "doc_id", F.xxhash64(*docs.columns).alias("_hash"))
+    wordless = F.when(F.col("_group").isNull(), F.col("doc_id")).alias("_wordless")
+    best = order.join(groups, "_row").groupBy("_group", wordless).agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("best"))
+    kept = small_or_not(staged(best.select("best._row"), "kept"))
+    return rows.join(kept, "_row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't contain an item of the benchmark."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()

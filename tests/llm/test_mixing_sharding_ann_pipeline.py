@@ -190,3 +190,17 @@ def test_pipeline_keeps_one_row_of_a_repeated_id(spark, tmp_path):
     assert sorted(map(str, (r.text for r in got))) == ["a b c d e f g", "k l m n o", "q"]
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert cp.one_of_each(spark, empty, str(tmp_path)).count() == 0 and cp.mixed_sources(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_unlike_texts_of_a_repeated_id(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "s"), (1, long, "s"), (1, long + " end", "t"), (2, "a b c d e f g", "s"), (2, "k l m n o p q", "t"), (3, "k l m n o p q", "s")]
+    rows += [(4, None, "s"), (4, "", "s"), (4, "r s t u v w x", "s"), (5, "", "s"), (None, long, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = cp.one_of_each(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    kept = [(r.doc_id, r.text or "") for r in got.collect()]
+    assert kept.count((None, long)) == 1 and sum(k[0] == 1 for k in kept) == 1 and sum(k == (4, "") for k in kept) == 1
+    assert sorted(k for k in kept if k[0] and k[0] != 1) == [(2, "a b c d e f g"), (2, "k l m n o p q"), (4, ""), (4, "r s t u v w x"), (5, "")]
