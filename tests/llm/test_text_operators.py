@@ -4,6 +4,7 @@ import base64
 import bz2
 import gzip
 import hashlib
+import itertools
 import lzma
 import random
 import re
@@ -134,6 +135,26 @@ def test_decontamination_both_ways(spark):
     assert dc.contaminated(a.limit(0), b).count() == 0 and dc.contaminated(a, b.limit(0)).count() == 0
 
 
+def test_decontamination_finds_every_placement_and_short_items(spark):
+    for n in range(1, 16):
+        for gone in itertools.combinations(range(n), n // 5 if n >= dc.MIN_ITEM else 0):
+            assert any(not {p + j for j, c in enumerate(m) if c == "1"} & set(gone) for m in dc.masks_of(n) for p in range(n - len(m) + 1))
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in (1, 3, 5, 7, 8, 9, 10, 15, 20, 25, 30)]
+    docs, want = [], set()
+    rng = random.Random(3)
+    for n, text in items:
+        for trial in range(30):
+            w = text.split()
+            for k in rng.sample(range(n), n // 5 if n >= dc.MIN_ITEM else trial % 2):
+                w[k] = "changed"
+            docs.append((n * 100 + trial, " ".join(["a", "b", *w, "c"])))
+            if n >= dc.MIN_ITEM or trial % 2 == 0:
+                want.add((n * 100 + trial, n))
+    a, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    for limit in (dc.INDEX_LIMIT, 0):
+        assert {(r.doc_id, r.item_id) for r in dc.contaminated(a, b, limit).collect()} == want
+
+
 def labelled(spark, n=400):
     rng = random.Random(2)
     words = [f"{a}{b}" for a in ("an", "the", "or", "in", "st", "re") for b in ("ing", "ed", "ly", "on", "at")]

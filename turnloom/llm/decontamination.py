@@ -11,8 +11,11 @@ The index of the test set goes to the executors if its seeds number at most INDE
 first. A larger test set is joined by hash: both sides' seeds are shuffled, and hot seeds (a phrase of a third of
 all documents) are split by the sort-merge join. Both ways give the same rows.
 
-Defined results: null and empty texts, items and ids give no rows; items of fewer than MIN_ITEM words aren't searched,
-since so few words prove nothing. Repeated rows give one row for each document and item. Of equally good overlaps the
+The HEAVY masks miss some placements of the substitutions that the 80 % allow in items of 8-17, 20-22, 25 and 30 words.
+Items of up to LIGHT_ITEM words are searched under all MASKS; so each placement in an item of any length has a seed.
+Items of fewer than MIN_ITEM words are found where a document holds them whole and unchanged.
+
+Defined results: null and empty texts, items and ids give no rows. Repeated rows give one row for each document and item. Of equally good overlaps the
 first in the document, then in the item, is returned. Extra columns are ignored; empty tables give an empty result.
 """
 
@@ -27,7 +30,9 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import hashes_of, list_array, mixed, signed, text_rows
 
-MASKS = ("1111111", "11101111", "110110111", "1101011011")
+HEAVY = ("1111111", "11101111", "110110111", "1101011011")
+MASKS = (*HEAVY, "1111", "11011")
+LIGHT_ITEM = 30
 MIN_ITEM = 8
 WHOLE = 13
 INDEX_LIMIT = 2_000_000
@@ -53,6 +58,13 @@ def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     return mixed(total)
 
 
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks under which an item of n words is searched."""
+    if n < MIN_ITEM:
+        return ("1" * n,) if n else ()
+    return MASKS if n <= LIGHT_ITEM else HEAVY
+
+
 def best_overlap(item: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int] | None:
     """With doc[shift + i] laid under item[i]: matches, start in the item and length of the overlap; None if it is too small."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
@@ -76,9 +88,10 @@ class Index:
         found = [
             np.stack([s, np.full(len(s), i, np.uint64), np.arange(len(s), dtype=np.uint64)])
             for i, (_, words) in enumerate(items)
-            for mask in MASKS
+            for mask in masks_of(len(words))
             if len(s := seeds(words, mask))
         ]
+        self.masks = sorted({mask for _, words in items for mask in masks_of(len(words))})
         table = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.uint64)
         self.seeds, self.item, self.at = table[:, np.argsort(table[0], kind="stable")]
         self.bits = np.zeros(1 << _FILTER_BITS, bool)
@@ -87,7 +100,7 @@ class Index:
     def overlaps(self, doc: np.ndarray):
         """item number, (matches, start in the item, length), shift: for each item with enough matches the best."""
         diagonals = set()
-        for mask in MASKS:
+        for mask in self.masks:
             s = seeds(doc, mask)
             at = np.flatnonzero(self.bits[(s & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(self.seeds, s[at]), np.searchsorted(self.seeds, s[at], "right")
@@ -125,15 +138,25 @@ def _search(shared):
     return search
 
 
-def _seed_rows(batches):
+def _item_masks(batches):
     for batch in batches:
-        keys, places = [], []
-        for text in text_rows(batch):
-            words = plain_words(text)
-            found = [seeds(words, mask) for mask in MASKS]
-            keys.append(signed(np.concatenate(found)))
-            places.append(np.concatenate([np.arange(len(f), dtype=np.int32) for f in found]))
-        yield pa.RecordBatch.from_arrays([batch.column(0), list_array(keys, pa.int64()), list_array(places, pa.int32())], ["id", "keys", "places"])
+        yield pa.RecordBatch.from_arrays([pa.array(sorted({m for text in text_rows(batch) for m in masks_of(len(plain_words(text)))}), pa.string())], ["mask"])
+
+
+def _seed_rows(masks: list[str] | None):
+    """Seeds under masks; None: under those of an item of the text's length."""
+
+    def seed_rows(batches):
+        for batch in batches:
+            keys, places = [], []
+            for text in text_rows(batch):
+                words = plain_words(text)
+                found = [np.empty(0, np.uint64), *(seeds(words, mask) for mask in (masks_of(len(words)) if masks is None else masks))]
+                keys.append(signed(np.concatenate(found)))
+                places.append(np.concatenate([np.arange(len(f), dtype=np.int32) for f in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), list_array(keys, pa.int64()), list_array(places, pa.int32())], ["id", "keys", "places"])
+
+    return seed_rows
 
 
 def _compare(batches):
@@ -142,8 +165,6 @@ def _compare(batches):
         rows = []
         for i, text in enumerate(text_rows(batch)):
             doc, item = plain_words(text), plain_words(col["item_text"][i].as_py())
-            if len(item) < MIN_ITEM:
-                continue
             found = [(best_overlap(item, doc, shift), shift) for shift in sorted(set(col["shifts"][i].as_py())) if -len(item) < shift < len(doc)]
             found = [x for x in found if x[0]]
             if found:
@@ -164,13 +185,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, index_limit: int = INDEX
     size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     if len(MASKS) * (size[0] + size[1]) // 2 <= index_limit:  # a word and what parts it from the next are two characters at least
         rows = [(r.item_id, plain_words(r.text)) for r in items.distinct().collect()]
-        index = Index(sorted(((i, w) for i, w in rows if len(w) >= MIN_ITEM), key=lambda x: (x[0], len(x[1]))))
+        index = Index(sorted(((i, w) for i, w in rows if len(w)), key=lambda x: (x[0], len(x[1]))))
         found = docs.mapInArrow(_search(docs.sparkSession.sparkContext.broadcast(index)), _SCHEMA)
     else:
-        seed = lambda df, name: df.mapInArrow(_seed_rows, "id long, keys array<long>, places array<int>").select(
+        masks = sorted(r.mask for r in items.select("item_id", "text").mapInArrow(_item_masks, "mask string").distinct().collect())
+        seed = lambda df, name, masks: df.mapInArrow(_seed_rows(masks), "id long, keys array<long>, places array<int>").select(
             F.col("id").alias(name), F.explode(F.arrays_zip("keys", "places")).alias("s")
         ).select(name, F.col("s.keys").alias("key"), F.col("s.places").alias(f"{name}_at"))
-        hits = seed(docs, "doc_id").join(seed(items, "item_id"), "key")
+        hits = seed(docs, "doc_id", masks).join(seed(items, "item_id", None), "key")
         shifts = hits.select("doc_id", "item_id", (F.col("doc_id_at") - F.col("item_id_at")).alias("shift")).groupBy("doc_id", "item_id")
         pairs = shifts.agg(F.collect_set("shift").alias("shifts"))
         found = pairs.join(items.withColumnRenamed("text", "item_text"), "item_id").join(docs, "doc_id").mapInArrow(_compare, _SCHEMA)
