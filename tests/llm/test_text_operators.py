@@ -63,10 +63,115 @@ def test_half_escaped_secret_and_cycles():
     assert secrets.secrets_in(b64(gzip.compress(b"a" * 1000)))[1] == 1
 
 
-def test_bombs_are_counted_not_opened(monkeypatch):
-    monkeypatch.setattr(secrets, "MOST_BYTES", 1000)
-    monkeypatch.setattr(secrets.decompressed, "__defaults__", (1000,))
-    assert secrets.secrets_in(b64(gzip.compress(b"a" * 5000)))[1:] == (0, 1)
+def broken_lines(data, columns=76):
+    text = b64(data)
+    return "\n".join(text[i : i + columns] for i in range(0, len(text), columns))
+
+
+PROSE = " ".join(random.Random(4).choice(("red", "green", "blue", "stone", "river")) + str(i) for i in range(600))
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        "".join(f"%{b:02X}" for b in b"\xe9" + SECRET.encode()), b64("\x1b[0m" + SECRET), b64("caf\xe9 ".encode("latin-1") + SECRET.encode()), b64(SECRET.encode("utf-16")), b64(SECRET.encode("utf-32-be")),
+        broken_lines(gzip.compress((PROSE + SECRET).encode())), broken_lines(gzip.compress((PROSE + SECRET).encode()), 61).replace("\n", "\r\n  "), broken_lines((PROSE[:90] + SECRET).encode(), 20),
+        b64(gzip.compress(b"one member") + gzip.compress(SECRET.encode())), b64(bz2.compress(b"one member") + bz2.compress(SECRET.encode())), b64(zstandard.compress(b"one") + zstandard.compress(SECRET.encode())),
+        b64(lzma.compress(b"one member") + lzma.compress(SECRET.encode())), b64(gzip.compress((SECRET + " " + PROSE).encode())[:-30]), b64(zlib.compress((SECRET + " " + PROSE).encode())[:-9]),
+    ],
+)
+def test_secrets_in_odd_layers(body):
+    """Bytes that aren't UTF-8, control characters, wide letters, broken lines, several members, streams that break off."""
+    text = f"é before\n{body}\nafter"
+    found = [(s, e) for k, s, e in spans(text) if k == "assign"]
+    # A word on the next line may be taken for the end of the run too; that is one more span.
+    assert any(9 <= s and e <= 9 + len(body) for s, e in found) and all(9 <= s and e <= 15 + len(body) for s, e in found)
+
+
+def test_any_nesting_is_undone():
+    wraps = [
+        lambda s: b64(s), lambda s: urllib.parse.quote(s, safe=""), lambda s: "".join(f"%{b:02x}" for b in s.encode()), lambda s: "".join(f"\\u{ord(c):04X}" for c in s), lambda s: b64(gzip.compress(s.encode())),
+        lambda s: b64(s.encode("utf-16-le")), lambda s: broken_lines(zlib.compress(s.encode())), lambda s: "".join(f"%{b:02x}" for b in bz2.compress(s.encode())),
+    ]
+    rng = random.Random(6)
+    for _ in range(120):
+        body = SECRET
+        for _ in range(rng.randrange(1, 5)):
+            body = rng.choice(wraps)(body)
+        text = f"é {body} end"
+        found = [(s, e) for k, s, e in spans(text) if k == "assign"]
+        assert found and all(2 <= s < e <= 2 + len(body) for s, e in found), body[:200]
+
+
+def test_bombs_are_counted_and_large_layers_come_in_windows(monkeypatch):
+    bomb = b64(gzip.compress(b"a b c d e f " * 50_000 + SECRET.encode() + b" a b c d" * 50_000))
+    assert secrets.secrets_in(bomb)[0] == [(0, len(bomb), "assign", 1)]
+    monkeypatch.setattr(secrets, "WINDOW", 100_000)
+    monkeypatch.setattr(secrets, "OVERLAP", 1_000)
+    assert secrets.secrets_in(bomb)[0] == [(0, len(bomb), "assign", 1)]
+    monkeypatch.setattr(secrets, "MOST_BYTES", 300_000)
+    found, _, refused = secrets.secrets_in(bomb)
+    assert not found and refused == 1
+
+
+def test_long_text_with_one_escape_needs_little_memory():
+    import tracemalloc
+
+    text = "word " * 200_000 + "%41 " + SECRET
+    tracemalloc.start()
+    assert spans(text) == [("assign", 1_000_004, 1_000_022)]
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def base_by_hand(text):
+    """The base rules, one place of the text after the other."""
+    out, n = [], len(text)
+    value, upper, low = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), set("0123456789abcdef")
+    fold = "".join(c.lower() if c.isascii() else c for c in text)
+
+    def run(i, of):
+        while i < n and text[i] in of:
+            i += 1
+        return i
+
+    def assign(i):
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if fold.startswith(word, i):
+                j = i + len(word)
+                j = run(j + (text[j : j + 1] in ('"', "'")), " ")
+                if text[j : j + 1] in (":", "="):
+                    j = run(j + 1, " ")
+                    start = j + (text[j : j + 1] in ('"', "'"))
+                    if (end := run(start, value)) > start:
+                        return start, end
+        return None
+
+    i = 0
+    while i < n:
+        if found := assign(i):
+            out += [(i, found[1], "assign")] * (found[1] - found[0] >= 6)
+        i = found[1] if found else i + 1
+    i = 0
+    while i < n:
+        end = run(i + 4, upper) if text.startswith("AKIA", i) else i
+        out += [(i, end, "access")] * (end - i >= 20)
+        i = end if end - i > 4 else i + 1
+    i = 0
+    while i < n:
+        end = run(i, low)
+        out += [(i, end, "hex")] * (end - i >= 24)
+        i = max(end, i + 1)
+    return sorted(out, key=lambda s: (s[0], ("assign", "access", "hex").index(s[2])))
+
+
+def test_base_spans_against_a_plain_scan():
+    rng = random.Random(8)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "APIKEY", "AKIA", "A1B2C3D4E5F6G7H8", "0a1b2c3d4e5f", "deadbeef", '"', "'", " ", "  ", ":", "=", "abc", "x/y+z", "é", "\n", "ſ"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 25)))
+        assert secrets.base_spans(text) == base_by_hand(text), text
+    assert secrets.base_spans("AKIAAKIA" + "B" * 20) == base_by_hand("AKIAAKIA" + "B" * 20)
 
 
 def test_secrets_query_columns(spark, tmp_path):
