@@ -152,6 +152,38 @@ def test_recall_of_sharded_graphs(spark):
     assert all(len(v) == 20 for v in got.values()) and sum(len(got[q] & want[q]) for q in want) / (20 * len(want)) >= 0.95
 
 
+def test_ties_go_to_the_smallest_ids(spark):
+    """More vectors with one product than a walk is wide, in one shard and in several; and equal vectors under many ids."""
+    rng = np.random.default_rng(1)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, *rng.normal(size=2).round(6).tolist()]) for i in range(1, 400)]
+    for shard in (16384, 100):
+        got = sorted((r.rank, r.vec_id) for r in ann.nearest(spark.createDataFrame(rows, VECTORS), query_step=1000, shard_vectors=shard).collect())
+        assert got == [(i, i) for i in range(1, 21)]
+    same = [(i, [1.0, 2.0]) for i in range(100)] + [(i, [1.0, 2.0 + i / 1000]) for i in range(100, 130)]
+    got = ann.nearest(spark.createDataFrame(same, VECTORS)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == sorted(w[:3] for w in neighbours_by_hand(same, 20, 20))
+
+
+def test_vectors_of_all_sizes(spark):
+    """Products that overflow, vectors of two lengths, one vector far longer than the rest."""
+    huge = [(0, [1e200, 1e200]), (1, [1e200, 1.0]), (2, [1e200, -1e200]), (3, [1.0, 1.0]), (4, [-1e200, 0.0]), (5, [1e-200, 1e-200]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 1.0, 1.0])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(spark.createDataFrame(huge, VECTORS)).collect())
+    assert [g[:3] for g in got] == [(0, 1, 1), (0, 2, 3), (0, 3, 5), (0, 4, 2), (0, 5, 4), (20, 1, 21)]
+    assert got[0][3] == math.inf and math.isnan(got[3][3]) and got[4][3] == -math.inf and got[5][3] == 6.0
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2000, 16)) * rng.uniform(0.5, 2, (2000, 1))
+    x[7], x[8] = x[7] * 1e4, x[8] * 1e9
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = collections.defaultdict(set)
+    for r in ann.nearest(spark.createDataFrame(rows, VECTORS)).collect():
+        found[r.query_id].add(r.vec_id)
+    scores, right = x[::20] @ x.T, 0
+    for q, s in zip(range(0, 2000, 20), scores):
+        s[q] = -np.inf
+        right += len(found[q] & set(np.argsort(-s)[:20].tolist()))
+    assert right / 2000 >= 0.95
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as cp
 
