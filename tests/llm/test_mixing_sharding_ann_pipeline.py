@@ -91,11 +91,50 @@ def test_shards(spark):
     grown = {r.doc_id: r.shard for r in sharding.shard_rows(df, 25)[0].collect()}
     assert all(grown[r.doc_id] == r.grown_shard for r in got)
     stored = versions.collect()
-    assert len(stored) == 2 * sharding.SLOTS and sum(r.n_rows for r in stored if r.version == 24) == len(rows)
-    assert sum(r.n_bytes for r in stored if r.version == 24) == sum(r.size for r in got)
+    assert len(stored) == 3 * sharding.SLOTS and {(r.version, r.edit, r.n_shards) for r in stored} == {(1, "base", 24), (2, "grow", 25), (3, "rebalance", 24)}
+    assert all(sum(r.n_rows for r in stored if r.version == v) == len(rows) for v in (1, 2, 3))
+    assert sum(r.n_bytes for r in stored if r.version == 1) == sum(r.size for r in got)
     assert sharding.shard_rows(df.limit(0))[0].count() == 0
 
 
+def test_shards_by_bytes(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * (rng.randrange(50) ** 2)) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    placed, versions = sharding.shard_rows(df, law="bytes")
+    size, slots = collections.Counter(), collections.defaultdict(list)
+    for r in placed.collect():
+        assert r.law == "bytes" and r.grown_shard is None
+        size[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+    assert max(size.values()) <= 1.001 * min(size.values()) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by_key = collections.Counter()
+    for r in sharding.shard_rows(df)[0].collect():
+        by_key[r.shard] += r.size
+    assert max(by_key.values()) > 1.05 * min(by_key.values())
+    moved = {v: {r.vslot: r.shard for r in versions.where(F.col("version") == v).collect()} for v in (1, 3)}
+    assert 0 < sum(moved[1][s] != moved[3][s] for s in moved[1]) < sharding.SLOTS / 4
+    assert sharding.shard_rows(df.limit(0), law="bytes")[0].count() == 0
+
+
+def test_slots_of_many_rows_are_cut(spark, monkeypatch):
+    """A third of all rows alike in all columns, and more rows with one id."""
+    monkeypatch.setattr(sharding, "SORT_ROWS", 50)
+    rows = [(None, "same")] * 1000 + [(7, f"t{i}") for i in range(500)] + [(i, "x" * 3000) for i in range(1500)]
+    placed = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(7))[0].collect()
+    by = collections.defaultdict(list)
+    for r in placed:
+        by[r.shard].append(r.slot)
+    assert len(placed) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_sharding_runs_no_python(spark):
+    """The plan of the main path, and what its tables are read from, hold no Python."""
+    placed, versions = sharding.shard_rows(spark.range(100).selectExpr("id as doc_id", "cast(id as string) as text"))
+    for x in (placed, versions, sharding.map_table(spark, [("base", 2, [0, 1])])):
+        assert "Python" not in x._jdf.queryExecution().executedPlan().toString() and "PythonRDD" not in x._jdf.rdd().toDebugString()
+
+
 def test_slot_maps():
     m = sharding.map_for(24)
     counts = collections.Counter(m)
