@@ -6,11 +6,13 @@ import gzip
 import hashlib
 import itertools
 import lzma
+import math
 import random
 import re
 import urllib.parse
 import zlib
 
+import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -316,5 +318,74 @@ def test_toxicity_without_labels_and_order_of_thresholds(spark):
     docs, labels = labelled(spark, 20)
     model = toxicity.toxicity_model(docs, labels.where("toxic = 0"))
     assert {r.toxic for r in toxicity.toxicity_scores(docs, model).collect()} == {0}
-    model = toxicity.fit(["bad bad thing"] * 30 + ["fine day"] * 30, [1] * 30 + [0] * 30)
+    texts = ["bad bad thing"] * 30 + ["fine day"] * 30
+    model = toxicity.fit([toxicity.words_in(t) for t in texts], [toxicity.marks_of(t) for t in texts], [1] * 30 + [0] * 30)
     assert list(model.thresholds) == sorted(model.thresholds)
+
+
+def test_votes_against_a_plain_sum():
+    """Scores by the rule, one document and neighbour after the other, with many equally near neighbours."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-2, 3, size=(12, 4)).astype(np.float32)
+    sample = base[rng.integers(0, 12, 90)]
+    sample = sample[np.abs(sample).sum(axis=1) > 0]
+    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    labels = rng.integers(0, 2, len(unit)).astype(float)
+    model = quality.Model(np.zeros((1, 4), np.float32), unit, labels, 0.25)
+    asked = np.concatenate([unit[:40], -unit[:5], np.zeros((1, 4), np.float32)])
+    for v, got in zip(asked, model.scores(asked)):
+        near = sorted((-float(c), i) for i, c in enumerate((v[None] @ unit.T)[0]))[: quality.NEIGHBOURS]
+        weight = [max(-c, 0.0) ** quality.SHARPNESS for c, _ in near]
+        want = sum(w * labels[i] for w, (_, i) in zip(weight, near)) / sum(weight) if sum(weight) else 0.25
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_quality_takes_the_same_sample_however_the_tables_are_cut(spark):
+    docs, labels = labelled(spark)
+    model, again = quality.quality_model(docs, labels, 50), quality.quality_model(docs.repartition(9), labels, 50)
+    assert len(model.labels) == 50 and (model.vectors == again.vectors).all() and (model.labels == again.labels).all()
+
+
+def test_toxicity_scores_and_fit_by_the_formulas():
+    rng = random.Random(1)
+    clean, bad = [f"word{i}" for i in range(60)], ["grolfing", "grolfed", "mipple", "snarked"]
+    texts = [" ".join(rng.choice(clean) for _ in range(30)) + "".join(f" {rng.choice(bad)}" for _ in range(k)) for i in range(400) for k in [(i % 4 == 0) * (1 + i % 3)]]
+    toxic = [int(i % 4 == 0) for i in range(400)]
+    rows = [toxicity.words_in(t) for t in texts]
+    model = toxicity.fit(rows, [[i] for i in range(400)], toxic)
+    assert model.weights
+    for t in ["", None, *texts[:30], "Grolfing grolfed! x"]:
+        z = sum(model.weights.get(term, 0.0) for term in toxicity.terms_of(toxicity.words_in(t)))
+        assert model.above(t) == pytest.approx([1 / (1 + math.exp(min(40, max(-40, b - z)))) for b in model.thresholds])
+    # No small change of a weight or a threshold makes the penalised likelihood much better.
+    grades = toxicity.severity_grades(rows, np.array(toxic))
+    assert set(grades[np.array(toxic) == 0]) == {0} and set(grades) <= {0, 1, 2, 3}
+
+    def likelihood(weights, thresholds):
+        total, weight = 0.0, [1.0 if g == 0 else toxic.count(0) / toxic.count(1) for g in grades]
+        for row, g, part in zip(rows, grades, weight):
+            z = sum(weights.get(term, 0.0) for term in toxicity.terms_of(row))
+            p = [1.0, *(1 / (1 + math.exp(b - z)) for b in thresholds), 0.0]
+            total += part / sum(weight) * math.log(max(p[g] - p[g + 1], 1e-12))
+        return total - toxicity.PENALTY / 2 * sum(w * w for w in weights.values())
+
+    best = likelihood(model.weights, model.thresholds)
+    for term in list(model.weights)[:6]:
+        for step in (-0.3, 0.3):
+            assert likelihood(model.weights | {term: model.weights[term] + step}, model.thresholds) <= best + 1e-3
+    for k in range(3):
+        for step in (-0.3, 0.3):
+            assert likelihood(model.weights, [b + step * (i == k) for i, b in enumerate(model.thresholds)]) <= best + 1e-3
+
+
+def test_text_operators_over_empty_tables_and_long_texts(spark):
+    none = spark.createDataFrame([], DOCS)
+    assert secrets.find_secrets(none).count() == 0 and token_counts(none).count() == 0
+    docs, labels = labelled(spark, 60)
+    model = toxicity.toxicity_model(docs, labels)
+    assert toxicity.toxicity_scores(none, model).count() == 0 and toxicity.toxicity_model(none, labels).weights == {}
+    long = " ".join(["word token one"] * 100_000)
+    items = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(20)))], "item_id long, text string")
+    one = spark.createDataFrame([(1, long + " " + " ".join(f"i{k}" for k in range(20)))], DOCS)
+    assert dc.contaminated(one, items).first().doc_start == 300_000
+    assert token_counts(one).first().n_tokens > 300_000 and secrets.find_secrets(one).first().spans == []

@@ -4,11 +4,12 @@ Fitting: of the labelled rows whose crc32(doc_id as text) modulo 5 isn't 0, thos
 smallest hashes (all, if there are fewer) are turned into sparse vectors of hashed words and word shapes
 (text_features), weighted by inverse document frequency, and projected on the DIMENSIONS leading right singular vectors
 of their matrix. The model is that projection, the sample's unit vectors there and their labels: at most a few MB at
-any size of the corpus, sent to the executors by broadcast.
+any size of the corpus, sent to the executors by broadcast. Texts become sparse vectors where they lie; only those meet in the
+one task that fits.
 
 Scoring: every text, whole, is projected likewise, and its cosines with all labelled vectors are computed exactly, a
-block of documents at a time. The NEIGHBOURS nearest vote with their labels, each weighted by cosine ** SHARPNESS.
-The score is the weighted mean, 0 to 1. Only the text enters it.
+block of documents at a time. The NEIGHBOURS nearest vote with their labels, each weighted by cosine ** SHARPNESS; of
+equally near ones those that come first in the sample's order (hash of the id, then id and label). The score is the weighted mean, 0 to 1. Only the text enters it.
 
 Defined results: null and empty texts have vectors too (they are short), so they are scored like others. Where no
 neighbour has a positive cosine, or no row is labelled, the score is the mean label, or 0.5. Rows with null labels or
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import text_rows
+from turnloom.llm.common import list_array, text_rows
 from turnloom.llm.text_features import SHAPES, WORDS, features
 
 SAMPLE = 2000
@@ -57,21 +58,23 @@ class Model:
         cosines = vectors @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.take_along_axis(cosines, near, axis=1).min(axis=1)
+        tied = np.flatnonzero((cosines >= least[:, None]).sum(axis=1) > k)
+        near[tied] = np.argsort(-cosines[tied], axis=1, kind="stable")[:, :k]
         weight = np.maximum(np.take_along_axis(cosines, near, axis=1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
         votes = (weight * self.labels[near]).sum(axis=1)
         return np.where(total > 0, votes / np.where(total > 0, total, 1), self.prior)
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """The model of labelled texts."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
+    """The model of labelled texts, given as columns and values of their features, and label."""
     size = WORDS + SHAPES
-    labels = np.array([y for _, y in rows], np.float64)
+    labels = np.array([y for *_, y in rows], np.float64)
     if not rows:
         return Model(np.zeros((size, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
     matrix = np.zeros((len(rows), size), np.float32)
-    for i, (text, _) in enumerate(rows):
-        columns, values = features(text)
+    for i, (columns, values, _) in enumerate(rows):
         matrix[i, columns] = values
     weight = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(axis=0))) + 0.1).astype(np.float32)
     weight[:WORDS] *= WORD_WEIGHT
@@ -90,61 +93,75 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, label: str, size: int, seed: int = 3) -> DataFrame:
-    """At most size rows (text, label) that may be learned from, the same ones however the tables are cut up.
+ORDER = ("place", "doc_id", "label", "digest")
+
 
-    The sample is chosen among the ids before any text is looked at.
+def sample_rows(docs: DataFrame, labels: DataFrame, label: str, size: int, make, columns: str, seed: int = 3) -> DataFrame:
+    """At most size labelled rows that may be learned from, as columns made of their texts, and those of ORDER, by which they come.
+
+    They are the same however the tables are cut up. The sample is chosen among the ids before any text is looked at, and make
+    works on its texts where they lie.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).distinct()
     there = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chosen = known.join(there.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label").limit(size)
-    rows = there.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "label", "text").limit(size)
-    return rows.select("text", "label")
+    placed = known.withColumn("place", F.xxhash64(F.lit(seed), "doc_id"))
+    chosen = placed.join(there.select("doc_id"), "doc_id", "left_semi").orderBy("place", "doc_id", "label").limit(size)
+    rows = there.join(F.broadcast(chosen), "doc_id").select("text", "place", "doc_id", "label", F.md5("text").alias("digest"))
+    # Ids may be repeated in docs, so the rows may be more again.
+    return rows.mapInArrow(make, f"{columns}, place long, doc_id long, label int, digest string").orderBy(*ORDER).limit(size)
+
 
+def in_order(batches) -> list[dict]:
+    return sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (*(r[c] for c in ORDER[:3]), r["digest"] or ""))
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, size: int) -> list[tuple[str | None, int]]:
-    return [(r.text, r.label) for r in sample_rows(docs, labels, label, size).collect()]
+
+def _features(batches):
+    for batch in batches:
+        rows = [features(text) for text in text_rows(batch)]
+        made = [list_array([c.astype(np.int32) for c, _ in rows], pa.int32()), list_array([v for _, v in rows], pa.float64())]
+        yield pa.RecordBatch.from_arrays([*made, *batch.columns[1:]], ["columns", "values", *ORDER])
 
 
 def _fit_task(batches):
     """The model of all rows of one task, pickled."""
-    rows = [(text, y) for batch in batches for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows))], pa.binary())], ["model"])
+    model = fit([(np.array(r["columns"], np.int64), np.array(r["values"]), r["label"]) for r in in_order(batches)])
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+
+def scores_of(model: Model, texts) -> np.ndarray:
+    """Scores of texts, a block at a time."""
+    scores, block = [], []
+    for text in texts:
+        block.append(model.vector(text))
+        if len(block) == BLOCK:
+            scores.append(model.scores(np.stack(block)))
+            block = []
+    if block:
+        scores.append(model.scores(np.stack(block)))
+    return np.clip(np.concatenate(scores), 0, 1) if scores else np.empty(0)
 
 
 def _score(shared):
     def score(batches):
-        model = shared.value
         for batch in batches:
-            scores, block = [], []
-            for text in text_rows(batch):
-                block.append(model.vector(text))
-                if len(block) == BLOCK:
-                    scores.append(model.scores(np.stack(block)))
-                    block = []
-            if block:
-                scores.append(model.scores(np.stack(block)))
-            flat = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.clip(flat, 0, 1), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores_of(shared.value, text_rows(batch)), pa.float64())], ["doc_id", "score"])
 
     return score
 
 
 def _keep(shared, threshold: float):
     def keep(batches):
-        model = shared.value
         for batch in batches:
-            scores = [model.scores(model.vector(text)[None])[0] for text in text_rows(batch)]
-            yield batch.filter(pa.array([s >= threshold for s in scores], pa.bool_()))
+            yield batch.filter(pa.array(scores_of(shared.value, text_rows(batch)) >= threshold, pa.bool_()))
 
     return keep
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fitted in one task over the bounded sample; only the model comes to the driver."""
-    rows = sample_rows(docs, labels, "quality", sample).coalesce(1)
-    fitted = rows.mapInArrow(_fit_task, "model binary").first()
+    rows = sample_rows(docs, labels, "quality", sample, _features, "columns array<int>, values array<double>")
+    fitted = rows.coalesce(1).mapInArrow(_fit_task, "model binary").first()
     return pickle.loads(bytes(fitted.model)) if fitted else fit([])
 
 

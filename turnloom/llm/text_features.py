@@ -39,7 +39,7 @@ def shape_terms(raw: bytes, words: list[bytes]) -> Counter:
     lines = raw.splitlines()
     marks = len(raw) - sum(map(len, words)) if n else 0
     capitals = sum(c for s, c in shapes.items() if b"A" in s and b"a" not in s)
-    terms = Counter({s[:12]: c for s, c in shapes.items()})
+    terms = Counter(shapes)
     for name, part in (
         (b"#again", again / max(n, 1)),
         (b"#same lines", 1 - len(set(lines)) / max(len(lines), 1)),
