@@ -5,12 +5,13 @@ whole block of `window // 2` words of that grid. So the index holds each documen
 every rolling window of block length in every document probes it. Neighbouring rolling windows mostly share
 their smallest inner gram (the leftmost one on ties, so equal windows agree on it); each run of them probes once,
 by that gram. A hit is only a candidate: runs of hits are extended to whole windows, and a window counts as a
-repeat if its 128-bit hash also starts in a document with a smaller doc_id. The removed words of a document are
+repeat if its 128-bit hash also starts in a document with a smaller doc_id. (Extending each hit by words against the document whose
+block it is would pair all documents that share a block; equal whole windows say the same of all of them at once.) The removed words of a document are
 the union of its repeated windows, that is, its maximal exact repeats of `window` words and more.
 
 Nothing is paired: a block, gram or window that a third of all documents hold costs a row for each of them.
-Grams and windows are counted by aggregates that combine before the shuffle, and joined back by sort-merge
-joins, whose large keys Spark splits.
+Grams and windows are counted by aggregates that combine before the shuffle, and joined back; grams of very many runs by
+broadcast, since there are few of those.
 
 Defined results: null and empty texts have no words, lose none and keep the empty string. Rows with a null doc_id
 lose nothing and take nothing from others. Rows with the same doc_id are not smaller than one another. Other
@@ -26,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import digest128, hashes_of, list_array, rolling, signed, staged, text_rows, words_of
+from turnloom.llm.common import digest128, hashes_of, list_array, rolling, signed, small_or_not, staged, text_rows, words_of
 
 WINDOW = 50
 GRAM = 5
+#: Runs of one key beyond which it is joined by broadcast. There are no more such keys than runs over HOT_RUNS.
+HOT_RUNS = 50_000
 _BASE_A, _BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -174,19 +177,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     live = (
         runs.groupBy("key")
         .agg(
-            F.min("tag").alias("t0"), F.max("tag").alias("t1"), F.max("doc_id").alias("last"),
-            F.min(F.when(F.col("run") % 2 == 1, F.col("doc_id"))).alias("first_block"), F.min("doc_id").alias("first"),
+            F.min("tag").alias("t0"), F.max("tag").alias("t1"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"),
+            F.min(F.when(F.col("run") % 2 == 1, F.col("doc_id"))).alias("first_block"),
         )
-        .where("t0 < t1 and first < last")
-        .select("key", (F.coalesce(F.col("first_block") < F.col("last"), F.lit(False))).alias("hit"))
+        .where("t0 < t1")
+        .select("key", "n", F.coalesce(F.col("first_block") < F.col("last"), F.lit(False)).alias("hit"))
     )
-    hits = (
-        runs.join(live, "key")
-        .groupBy("doc_id", "tag")
-        .agg(
-            F.collect_list((F.col("run") / 2).cast("int")).alias("shared"),
-            F.collect_list(F.when(F.col("hit"), (F.col("run") / 2).cast("int"))).alias("hits"),
-        )
+    live = staged(live, "live")
+    # Keys of a great many runs are few: these runs find theirs without a shuffle.
+    hot = small_or_not(staged(live.where(F.col("n") > HOT_RUNS).drop("n"), "hot"))
+    found = runs.join(hot, "key").unionByName(runs.join(hot, "key", "left_anti").join(live.where(F.col("n") <= HOT_RUNS).drop("n"), "key"))
+    hits = found.groupBy("doc_id", "tag").agg(
+        F.collect_list((F.col("run") / 2).cast("int")).alias("shared"),
+        F.collect_list(F.when(F.col("hit"), (F.col("run") / 2).cast("int"))).alias("hits"),
     )
     # Of equal texts only the first stands for all: the others start every window of theirs in it.
     firsts = known.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first_doc"))
@@ -226,3 +229,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Whole windows by list functions; quadratic in nothing, but a window's words are written out once each.
+OP1_SQL = f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+h AS (SELECT doc_id, list_transform(range(1, len(w) - {WINDOW} + 2), lambda p: md5(array_to_string(w[p:p + {WINDOW - 1}], ' '))) AS hs FROM d),
+win AS (SELECT doc_id, unnest(hs) AS h, generate_subscripts(hs, 1) AS p FROM h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS i FROM win JOIN (SELECT h, min(doc_id) AS first FROM win GROUP BY h) USING (h) WHERE first < doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (SELECT count(*) FROM gone WHERE gone.doc_id = d.doc_id)::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)"""
