@@ -112,6 +112,15 @@ def test_join_finds_every_component(spark, n, percent):
     assert sorted(map(tuple, got), key=key) == sorted(join_by_hand(rows, n, percent), key=key)
 
 
+def test_rows_without_id_link_others(spark):
+    w = [f"n{i}" for i in range(120)]
+    near = lambda *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    rows = [(5, near()), (None, near(0, 119)), (6, near(0, 119, 60)), (None, "a b c d"), (None, "a b c d"), (None, None), (7, "a b c e")]
+    for some in (rows, rows[3:6], rows[:1] + rows[2:3]):
+        got = nj.similar_documents(spark.createDataFrame(some, DOCS), 3, 90).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, join_by_hand(some, 3, 90)))
+
+
 def test_join_in_small_blocks_and_empty_table(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_MEMBERS", 4)
     monkeypatch.setattr(nj, "PAIRED_MEMBERS", 3)

@@ -19,8 +19,8 @@ which only the pairs come that the bit counts let pass. No link that joins two c
 component need no proof.
 
 Defined results: null and empty texts have no n-grams, are linked with nothing and are their own component. Texts
-with fewer words than an n-gram have one n-gram, the whole sequence. Rows with a null doc_id keep a null where no
-other row of their component has an id. Extra columns are ignored; an empty table gives an empty result.
+with fewer words than an n-gram have one n-gram, the whole sequence. Rows with a null doc_id link like others, and have a null
+component_id where no row of their component has an id. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -312,13 +312,32 @@ def _residual_pairs(tiles: DataFrame, links: DataFrame, bits: DataFrame, percent
     return pairs.union(blocks.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
+def _with_ids(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """docs whose rows without an id have ones above all others, and the greatest id of the others (None: all have one)."""
+    lacking, top = docs.agg(F.count_if(F.col("doc_id").isNull()), F.max("doc_id")).first()
+    if not lacking:
+        return docs, None
+    top = -1 if top is None else top
+    number = F.monotonically_increasing_id() + F.lit(top + 1)
+    named = staged(docs.where("doc_id is null").withColumn("doc_id", number), "rows-without-id")
+    return docs.where("doc_id is not null").unionByName(named), top
+
+
 def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_shingles, component_id.
 
     Documents are linked when 100 * |A & B| >= percent * |A | B|; component_id is the smallest doc_id that links
-    reach, the document's own included.
+    reach, the document's own included. Ids may not come within the number of rows of the greatest long.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs, top = _with_ids(docs)
+    found = _similar(docs, n, percent)
+    real = lambda c: (F.col(c) if top is None else F.when(F.col(c) <= top, F.col(c))).alias(c)
+    return found.select(real("doc_id"), "n_shingles", real("component_id"))
+
+
+def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """similar_documents of rows that all have an id."""
     base = staged(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, set_a long, set_b long, bits binary"), "signatures")
     classes = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_doc"))
     # The first document of a class stands for it. sub tells classes apart that have the same first doc_id.
@@ -367,3 +386,16 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)
+
+
+#: All pairs that share a shingle are counted: for tables of test size.
+OP8_SQL = """WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda p: w[p] || ' ' || w[p + 1] || ' ' || w[p + 2])) END AS g FROM d),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * common >= 90 * (na + nb - common)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id))::BIGINT AS component_id FROM s LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)"""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from turnloom.llm.ann import op7_ann
 from turnloom.llm.decontamination import op10_decontamination
 from turnloom.llm.mixing import op4_mixing
-from turnloom.llm.ngram_join import op8_ngram_join
+from turnloom.llm.ngram_join import OP8_SQL, op8_ngram_join
 from turnloom.llm.quality import op3_quality
 from turnloom.llm.secrets import op2_secrets
 from turnloom.llm.sharding import OP6_SQL, op6_sharding
-from turnloom.llm.substring_dedup import op1_substring_dedup
+from turnloom.llm.substring_dedup import OP1_SQL, op1_substring_dedup
 from turnloom.llm.token_counts import op9_token_counts
 from turnloom.llm.toxicity import op5_toxicity
 
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_sharding": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_substring_dedup": OP1_SQL, "op6_sharding": OP6_SQL, "op8_ngram_join": OP8_SQL}
