@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
 result of a stage is written as Parquet and read again before the next begins, so an executor lost later costs nothing
 of what is done. Null texts are low in quality by their shape and go in the first stage, like empty ones.
+
+All stages keep columns that they don't need, whatever their names; an empty table stays empty. What each makes of nulls, empty
+texts, ties and repeated rows stands with it.
 """
 
 from __future__ import annotations
@@ -18,8 +21,17 @@ from turnloom.llm.quality import keep_good, quality_model
 from turnloom.llm.sharding import shard_rows
 
 
+#: Tokens to draw as a part of all tokens there are: enough that a source of a third of them keeps every document among twenty.
+#: Below 1 documents are left out, too.
+TOKEN_BUDGET = 2.0
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from those of them that have labels, doesn't reject."""
+    """Documents that the quality classifier, learned from those of them that have labels, doesn't reject.
+
+    Null and empty texts are scored like others, by their shape; equal texts share a score, so repeated rows stay or go together, and a
+    score at the threshold stays. Ids play no part. Without labels all have the score 0.5 and stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, quality_model(docs, labels))
 
@@ -52,21 +64,31 @@ def _one_row_of_each(docs: DataFrame) -> DataFrame:
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that don't contain an item of the benchmark."""
+    """Documents that don't contain an item of the benchmark.
+
+    Null and empty texts, and all without a benchmark, stay; so do rows without an id. Rows that share an id go together.
+    """
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
     return docs.join(small_or_not(staged(found, "contaminated")), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix of sources takes it."""
-    taken = mix(docs, names=("_mix_tokens", "_mix_weight", "_mix_copies")).where("_mix_copies > 0")
+    """Each document as many times as the mix of sources takes it.
+
+    A null source is one of its own; a null or empty text has no tokens and is taken as often as the whole rounds of its source, like
+    the rows of a source without tokens, once. Repeated rows are taken alike.
+    """
+    taken = mix(docs, budget=TOKEN_BUDGET, names=("_mix_tokens", "_mix_weight", "_mix_copies")).where("_mix_copies > 0")
     rounds = F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))
     return taken.withColumn("_mix_round", F.explode(rounds)).select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every row."""
-    return shard_rows(docs)[0]
+    """The place of every row, in shards of nearly equal bytes: the copies that mixing made share a slot, so the map is rebalanced.
+
+    Rows without an id share a slot; repeated rows are numbered one by one.
+    """
+    return shard_rows(docs, law="bytes")[0]
 
 
 STAGES = [
