@@ -10,7 +10,8 @@ driver.
 The weights times the budget are quotas of tokens. A source's rows are dealt by hash to blocks of about
 BLOCK_ROWS rows, and the blocks in their order, each permuted by hash, are the source's permutation. The quota takes
 whole rounds of it, and in the last round its blocks, and then the rows of one block, up to what is left. So the plan
-needs the sums of blocks and the order of one block's rows for each source, and no task ever sorts a whole source; each
+needs the sums of blocks and the order of one block's rows for each source, and no task ever sorts a whole source (one block, about
+BLOCK_ROWS narrow rows, is what a task sorts for a source, however large that is); each
 row then reads off how often it is taken (copies). A quota is missed by less than one row, or one set of repeated rows.
 
 Defined results: a null source is a source of its own; a null text has no tokens. A source without tokens is taken
@@ -25,7 +26,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import staged
+from turnloom.llm.common import free_name, staged
 
 BLOCK_ROWS = 20_000
 STEPS = 16
@@ -143,19 +144,20 @@ def mix(
     n_tokens = word_count(F.col("text"))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col("source").cast("string"), F.lit("")), "doc_id", "text")
     light = staged(docs.select(F.col("source").cast("string").alias("source"), key.alias("key"), n_tokens.alias("n_tokens")), "mixing")
+    of, plan_name, key_name = (free_name(docs, c) for c in ("_mix_of", "_mix_plan", "_mix_key"))
     plan = mixing_plan(light, budget, entropy, max_repeats)
-    plan = staged(plan.select(F.col("of").alias("_mix_of"), F.struct("weight", "rounds", "n_blocks", "cut_block", "cut_key").alias("_mix_plan")), "plan")
+    plan = staged(plan.select(F.col("of").alias(of), F.struct("weight", "rounds", "n_blocks", "cut_block", "cut_key").alias(plan_name)), "plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    of = F.col("_mix_plan")
-    block = block_of(F.col("_mix_key"), of["n_blocks"])
-    once_more = (block < of["cut_block"]) | ((block == of["cut_block"]) & (F.col("_mix_key") <= of["cut_key"]))
+    own, row_key = F.col(plan_name), F.col(key_name)
+    block = block_of(row_key, own["n_blocks"])
+    once_more = (block < own["cut_block"]) | ((block == own["cut_block"]) & (row_key <= own["cut_key"]))
     return (
         docs.drop(*names)
-        .withColumns({names[0]: n_tokens, "_mix_key": key})
-        .join(plan, F.col("source").cast("string").eqNullSafe(F.col("_mix_of")))
-        .withColumns({names[1]: of["weight"], names[2]: (of["rounds"] + F.coalesce(once_more, F.lit(False)).cast("long")).cast("long")})
-        .drop("_mix_key", "_mix_of", "_mix_plan")
+        .withColumns({names[0]: n_tokens, key_name: key})
+        .join(plan, F.col("source").cast("string").eqNullSafe(F.col(of)))
+        .withColumns({names[1]: own["weight"], names[2]: (own["rounds"] + F.coalesce(once_more, F.lit(False)).cast("long")).cast("long")})
+        .drop(key_name, of, plan_name)
     )
 
 
