@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import small_or_not, staged
+from turnloom.llm.common import free_name, small_or_not, staged
 from turnloom.llm.decontamination import contaminated
 from turnloom.llm.mixing import mix
 from turnloom.llm.ngram_join import similar_documents
@@ -51,16 +51,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _one_row_of_each(docs: DataFrame) -> DataFrame:
     """one_of_each for documents with repeated ids: groups are of rows, not of ids."""
-    rows = staged(docs.where("doc_id is not null").withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = similar_documents(rows.select(F.col("_row").alias("doc_id"), "text"), n=5, percent=80).select(
-        F.col("doc_id").alias("_row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("_group")
+    row = free_name(docs, "_row")
+    rows = staged(docs.where("doc_id is not null").withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = similar_documents(rows.select(F.col(row).alias("doc_id"), "text"), n=5, percent=80).select(
+        F.col("doc_id").alias("row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("group")
     )
     # Ties go by the row's hash, so that only rows alike in all columns are left to chance.
-    order = rows.select("_row", "doc_id", F.xxhash64(*docs.columns).alias("_hash"))
-    wordless = F.when(F.col("_group").isNull(), F.col("doc_id")).alias("_wordless")
-    best = order.join(groups, "_row").groupBy("_group", wordless).agg(F.min(F.struct("doc_id", "_hash", "_row")).alias("best"))
-    kept = small_or_not(staged(best.select("best._row"), "kept"))
-    return rows.join(kept, "_row", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    order = rows.select(F.col(row).alias("row"), "doc_id", F.xxhash64(*docs.columns).alias("hash"))
+    wordless = F.when(F.col("group").isNull(), F.col("doc_id")).alias("wordless")
+    best = order.join(groups, "row").groupBy("group", wordless).agg(F.min(F.struct("doc_id", "hash", "row")).alias("best"))
+    kept = small_or_not(staged(best.select(F.col("best.row").alias(row)), "kept"))
+    return rows.join(kept, row, "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +79,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null source is one of its own; a null or empty text has no tokens and is taken as often as the whole rounds of its source, like
     the rows of a source without tokens, once. Repeated rows are taken alike.
     """
-    taken = mix(docs, budget=TOKEN_BUDGET, names=("_mix_tokens", "_mix_weight", "_mix_copies")).where("_mix_copies > 0")
-    rounds = F.sequence(F.lit(1).cast("long"), F.col("_mix_copies"))
-    return taken.withColumn("_mix_round", F.explode(rounds)).select(docs.columns)
+    tokens, weight, copies, round_ = (free_name(docs, c) for c in ("_mix_tokens", "_mix_weight", "_mix_copies", "_mix_round"))
+    taken = mix(docs, budget=TOKEN_BUDGET, names=(tokens, weight, copies)).where(F.col(copies) > 0)
+    return taken.withColumn(round_, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(docs.columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
