@@ -253,12 +253,37 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in placed) == sorted(kept["mixing"])
 
 
+def test_pipeline_over_odd_tables(spark, tmp_path, monkeypatch):
+    """Empty tables, clashing columns, very long texts, and a budget that leaves documents out."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit("x") for c in ("row", "_row", "component_id", "_mix_round", "_mix_key", "score", "shard", "slot", "copies", "weight", "item_id")}
+    items = spark.createDataFrame([(1, " ".join(f"i{k}" for k in range(20)))], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, f"{good} d{i} e{i} f{i} g{i} h{i} " * 3 if i % 2 else "XX!! " * 40, "en", f"s{i % 3}", 0) for i in range(60)]
+    rows += [(100, " ".join(f"l{k % 9000}" for k in range(60_000)), "en", "s0", 0), (None, good, None, None, None), (101, None, None, None, None), (102, "", "", "", 0)]
+    for table in (spark.createDataFrame([], schema), spark.createDataFrame(rows, schema)):
+        docs, n = table.withColumns(clash), table.count()
+        for _, stage in cp.STAGES[:-1]:
+            docs = cp.staged(stage(spark, docs, str(tmp_path)), "t")
+            assert docs.columns == [*schema.replace(" long", "").replace(" string", "").split(", "), *clash]
+        placed = cp.sharded(spark, docs, str(tmp_path))
+        assert placed.count() == docs.count() and (docs.count() > 0) == (n > 0)
+    monkeypatch.setattr(cp, "TOKEN_BUDGET", 0.5)
+    fair = spark.createDataFrame([(i, "a b c d", "en", "big" if i < 800 else "small", 0) for i in range(1000)], schema)
+    taken = collections.Counter(r.source for r in cp.mixed_sources(spark, fair, str(tmp_path)).collect())
+    assert taken["big"] < 400 and taken["small"] > 100 and abs(sum(taken.values()) - 500) <= 2
+
+
 def test_pipeline_keeps_one_row_of_a_repeated_id(spark, tmp_path):
     import corpus_pipeline as cp
 
     rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (2, "x y z", "s"), (2, "k l m n o", "s"), (None, "q", "s")]
     got = cp.one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), str(tmp_path)).collect()
-    assert sorted(map(str, (r.text for r in got))) == ["a b c d e f g", "k l m n o", "q"]
+    assert sorted(map(str, (r.text for r in got))) == ["a b c d e f g", "k l m n o", "q", "x y z"]
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert cp.one_of_each(spark, empty, str(tmp_path)).count() == 0 and cp.mixed_sources(spark, empty, str(tmp_path)).count() == 0
 
