@@ -26,6 +26,11 @@ from turnloom.sources.lanes import audio_clock, stream_text, turn_events
         ('{"a": "x", "b": [1, 2', {"a": "x", "b": [1, 2]}),
         ('{"a": {"b":', {"a": {"b": None}}),
         ('{"a": "q\\" {", "b": [', {"a": 'q" {', "b": []}),
+        ('{"a": 1, "b": tru', None),
+        ('{"a": 1, "b', None),
+        ('{"a": 1, ', {"a": 1}),
+        ('```\n{"a": 1}\n```\nThat is all.', {"a": 1}),
+        ('{"a": "x\\', None),
         ("nothing", None),
         ("", None),
         (None, None),

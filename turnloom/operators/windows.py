@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnloom.operators.folds import fold
+
 
 def window_number(t_us: str, width_us: int) -> Column:
     return F.expr(f"{t_us} div {width_us}L")
@@ -68,16 +70,12 @@ def rate_limited(rows: DataFrame, interval_us: int, tolerance_us: int = 1) -> Da
     A row counts as at the gate up to tolerance_us early. Which slot is next depends on the row kept last, so it is a fold
     over a session's rows in their order.
     """
-    kept = F.aggregate(
-        F.array_sort(F.collect_list("t_us")),
-        F.struct(F.lit(None).cast("long").alias("gate"), F.array().cast("array<bigint>").alias("kept")),
-        lambda acc, t: F.when(
-            acc["gate"].isNull() | (t + tolerance_us >= acc["gate"]),
-            F.struct((t + interval_us).alias("gate"), F.concat(acc["kept"], F.array(t)).alias("kept")),
-        ).otherwise(acc),
-        lambda acc: acc["kept"],
-    )
-    return rows.groupBy("session_id").agg(kept.alias("kept")).select("session_id", F.explode("kept").alias("t_us"))
+
+    def step(gate, row):
+        closed = gate is not None and row.t_us + tolerance_us < gate
+        return (gate, ()) if closed else (row.t_us + interval_us, [(row.t_us,)])
+
+    return fold(rows.select("session_id", "t_us"), "session_id", ["t_us"], None, step, "t_us long")
 
 
 def capped(items: Column, cap: int) -> Column:
@@ -99,23 +97,16 @@ def count_or_span(batches: DataFrame, most: int, span_us: int) -> DataFrame:
     batches: session_id, seq, n, last_end_us. After each batch, if the last end lies behind the anchor and either most
     items are pending or the span from the anchor is reached, [anchor, last end) is a window and the anchor moves there.
     """
-    fold = F.aggregate(
-        F.array_sort(F.collect_list(F.struct("seq", "n", "last_end_us"))),
-        F.struct(
-            F.lit(0).cast("long").alias("anchor"), F.lit(0).cast("long").alias("pending"),
-            F.array().cast("array<struct<start_us: bigint, end_us: bigint>>").alias("out"),
-        ),
-        lambda acc, b: F.when(
-            (b["last_end_us"] > acc["anchor"]) & ((acc["pending"] + b["n"] >= most) | (b["last_end_us"] - acc["anchor"] >= span_us)),
-            F.struct(
-                b["last_end_us"].alias("anchor"), F.lit(0).cast("long").alias("pending"),
-                F.concat(acc["out"], F.array(F.struct(acc["anchor"].alias("start_us"), b["last_end_us"].alias("end_us")))).alias("out"),
-            ),
-        ).otherwise(F.struct(acc["anchor"].alias("anchor"), (acc["pending"] + b["n"]).alias("pending"), acc["out"].alias("out"))),
-        lambda acc: acc["out"],
-    )
-    typed = batches.select("session_id", F.col("seq").cast("long").alias("seq"), F.col("n").cast("long").alias("n"), F.col("last_end_us").cast("long").alias("last_end_us"))
-    return typed.groupBy("session_id").agg(fold.alias("w")).select("session_id", F.explode("w").alias("w")).select("session_id", "w.*")
+    typed = batches.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("seq", "n", "last_end_us")))
+
+    def step(state, row):
+        anchor, pending = state
+        pending, span = pending + row.n, row.last_end_us - anchor
+        if span > 0 and (pending >= most or span >= span_us):
+            return (row.last_end_us, 0), [(anchor, row.last_end_us)]
+        return (anchor, pending), ()
+
+    return fold(typed, "session_id", ["seq"], (0, 0), step, "start_us long, end_us long")
 
 
 def first_poll(deadline: Column, ends: Column, step_us: int) -> tuple[Column, Column]:
