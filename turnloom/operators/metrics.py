@@ -6,6 +6,8 @@ coverage alone.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,11 +40,26 @@ def face_measures(rows: DataFrame, keys: list[str]) -> DataFrame:
         mean("smile").alias("smile_mean"),
         F.max(F.when(seen, F.col("smile"))).alias("smile_max"),
         F.avg(F.when(seen, (F.col("smile") > SMILE).cast("double"))).alias("smile_ratio"),
-        *(mean(c).alias(f"{c}_mean") for c in ("brow_down", "press", "gaze_off")),
+        mean("brow_down").alias("brow_down_mean"),
+        mean("press").alias("mouth_press_mean"),
+        mean("gaze_off").alias("gaze_off_mean"),
         *(F.stddev_pop(F.when(seen, F.col(c))).alias(f"{c}_std_deg") for c in ("yaw", "pitch")),
     )
 
 
+def face_window(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
+    """face_measures with blink_count and lip_motion, from row to row of those with a face: one shuffle for all."""
+    dealt = rows.repartition(*keys)
+    seen = Window.partitionBy(*keys, "face").orderBy(t)
+    steps = dealt.withColumns({"_up": (F.lag("blink", 1, 0.0).over(seen) < BLINK) & (F.col("blink") >= BLINK), "_move": mean_distance(F.lag("lips").over(seen), F.col("lips"))})
+    with_face = lambda c: F.when(F.col("face"), c)
+    moves = steps.groupBy(*keys).agg(
+        F.when(F.max("face"), F.count_if(with_face(F.col("_up")))).alias("blink_count"),
+        F.when(F.max("face"), F.coalesce(F.avg(with_face(F.col("_move"))), F.lit(0.0))).alias("lip_motion"),
+    )
+    return face_measures(dealt, keys).join(moves, keys)
+
+
 def distance(a: Column, b: Column) -> Column:
     """Euclidean distance of two points as arrays."""
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, d: s + d))
@@ -62,8 +79,11 @@ def velocity(rows: DataFrame, keys: list[str], t: str, points: str) -> DataFrame
 def pose_measures(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
     """Posture, sway and wrists of rows (sh_w, sh_x, sh_y, nose_x, nose_y, lx, ly, lv, rx, ry, rv), all in shoulder widths.
 
-    Wrist motion is the larger movement of the wrists visible both before and after; a movement over GESTURE is an event.
+    Wrist motion is the larger movement of the wrists visible both before and after; a movement over GESTURE is an event. Rows whose
+    flag pose is false (if there is one) count for coverage alone.
     """
+    rows = rows if "pose" in rows.columns else rows.withColumn("pose", F.lit(True))
+    all_rows, rows = rows, rows.where("pose")
     w = by_time(keys, t)
     moved = lambda s: F.when(
         (F.lag(f"{s}v").over(w) > VISIBLE) & (F.col(f"{s}v") > VISIBLE),
@@ -74,14 +94,15 @@ def pose_measures(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
     std = lambda a, b: (F.stddev_pop(a) + F.stddev_pop(b)) / 2 / F.first("_scale")
     enough = F.count(F.lit(1)) >= 2
     speed = F.col("_move") / F.col("_scale")
-    return steps.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pose_frames"),
+    cover = all_rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("pose_frames"), F.avg(F.col("pose").cast("double")).alias("pose_seen_ratio"))
+    moves = steps.groupBy(*keys).agg(
         F.when(enough, std("sh_x", "sh_y")).alias("posture_std"),
         F.when(enough, std("nose_x", "nose_y")).alias("head_sway"),
         F.when(enough, F.avg((F.greatest("lv", "rv") > VISIBLE).cast("double"))).alias("wrist_visible"),
         F.when(enough, F.coalesce(F.avg(speed), F.lit(0.0))).alias("wrist_motion"),
         F.when(enough, F.count_if(speed > GESTURE)).alias("gesture_events"),
     )
+    return cover.join(moves, keys, "left")
 
 
 def stable_segments(rows: DataFrame, keys: list[str], t: str, count: str, least: float) -> DataFrame:
@@ -104,6 +125,24 @@ def stable_segments(rows: DataFrame, keys: list[str], t: str, count: str, least:
     return kept.withColumn("_g", group).groupBy(*keys, "_g").agg(F.first("count").alias("count"), F.min("start_t").alias("start_t"), F.max("end_t").alias("end_t")).drop("_g")
 
 
+def hand_measures(rows: DataFrame, keys: list[str], t: str, least: float = LEAST_SEGMENT_S) -> DataFrame:
+    """Coverage of rows (hands, fingers), the segments with a steady number of fingers, and their numbers that aren't 0."""
+    cover = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("hand_frames"), F.avg((F.col("hands") > 0).cast("double")).alias("hand_seen_ratio"))
+    segments = stable_segments(rows.where("hands > 0"), keys, t, "fingers", least)
+    told = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start_t", "end_t", "count"))).alias("finger_segments"))
+    return cover.join(told.withColumn("finger_sequence", finger_sequence("finger_segments")), keys, "left")
+
+
+def finger_sequence(segments: str) -> Column:
+    return F.filter(F.transform(segments, lambda s: s["count"]), lambda n: n > 0)
+
+
+def window_measures(face: DataFrame | None, pose: DataFrame | None, keys: list[str], hand: DataFrame | None = None) -> DataFrame:
+    """The measures of all visual lanes that are on, one row for each window that any of them has rows of."""
+    lanes = [lane for lane in (face, pose, hand) if lane is not None]
+    return reduce(lambda a, b: a.join(b, keys, "full_outer"), lanes)
+
+
 def extended_fingers(points: Column) -> Column:
     """How many fingers of a 21-point hand are stretched: tips farther from the wrist than their middle joints, the thumb's off the palm."""
     p = lambda i: F.element_at(points, i + 1)
@@ -147,12 +186,12 @@ def energy_trend(frames: DataFrame, keys: list[str], t: str, db: str) -> DataFra
     )
 
 
-def quiet_runs(frames: DataFrame, keys: list[str], t: str, quiet: Column, leading: bool = False) -> DataFrame:
-    """keys, start_t, frames of the runs of quiet frames between loud ones (and before the first, with leading)."""
+def quiet_runs(frames: DataFrame, keys: list[str], t: str, quiet: Column, leading: bool = False, least: int = 1) -> DataFrame:
+    """keys, start_t, frames of the runs of least quiet frames or more between loud ones (and before the first, with leading)."""
     w = by_time(keys, t)
     marked = frames.withColumn("_quiet", quiet)
     loud_before = F.sum((~F.col("_quiet")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum((~F.col("_quiet")).cast("int")).over(Window.partitionBy(*keys))
     runs = marked.withColumns({"_before": loud_before, "_all": total}).where("_quiet and _before < _all")
     runs = runs if leading else runs.where("_before > 0")
-    return runs.groupBy(*keys, "_before").agg(F.min(t).alias("start_t"), F.count(F.lit(1)).alias("frames")).drop("_before")
+    return runs.groupBy(*keys, "_before").agg(F.min(t).alias("start_t"), F.count(F.lit(1)).alias("frames")).where(F.col("frames") >= least).drop("_before")

@@ -89,14 +89,14 @@ def turn_event_payloads(spark, sf_dir):
     return turn_events(rows, "payload").select("conv_id", "turn", "kind", "text", "item_id")
 
 
-@query("""SELECT conv_id, turn AS seq, text AS delta FROM conversations c WHERE text <> '' AND turn < 3""")
+@query("""SELECT conv_id, turn AS seq, text AS delta FROM conversations WHERE text <> ''""")
 def sse_delta_text(spark, sf_dir):
-    """Messages as server-sent chat lines with noise between them, ended after three; what follows isn't read."""
+    """Messages as server-sent chat lines with noise between them, each conversation ended after its last."""
     talk = _table(spark, sf_dir, "conversations")
     content = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices")))
     data = talk.select("conv_id", F.col("turn").alias("seq"), F.concat(F.lit("data: "), content).alias("line"))
     noise = talk.select("conv_id", F.col("turn").alias("seq"), F.explode(F.array(F.lit(": ping"), F.lit("data: {broken"), F.lit("event: x"))).alias("line"))
-    done = talk.select("conv_id").distinct().select("conv_id", F.lit(3).cast("long").alias("seq"), F.lit("data: [DONE]").alias("line"))
+    done = talk.groupBy("conv_id").agg((F.max("turn") + 1).alias("seq")).withColumn("line", F.lit("data: [DONE]"))
     return stream_text(data.unionByName(noise).unionByName(done), ["conv_id"], "seq", "line")
 
 
@@ -183,7 +183,7 @@ def json_repair(spark, sf_dir):
 
 def _pcm(spark, sf_dir: str) -> DataFrame:
     """A second and a half of sound for each vector: its numbers' bytes over and over, silent for a while."""
-    body = F.unhex(F.expr("repeat(hex(concat_ws('', transform(slice(embedding, 1, 20), x -> cast(cast(x * 100 as int) as string)))), 800)"))
+    body = F.unhex(F.expr("repeat(hex(concat_ws('', transform(embedding, x -> cast(cast(x * 100 as int) as string)))), 800)"))
     sound = F.substring(body, F.lit(1), F.lit(24000))
     gap = F.unhex(F.expr("repeat('00', 9600)"))
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.concat(sound, gap, sound).alias("pcm"))
@@ -199,7 +199,8 @@ def pause_positions(spark, sf_dir):
     return _pcm(spark, sf_dir).select("vec_id", F.explode(audio.silence_positions("pcm")).alias("p")).select("vec_id", "p.*")
 
 
-@query()
+@query("""WITH s AS (SELECT vec_id, least(24000, 800 * length(array_to_string(list_transform(embedding, lambda x: CAST(trunc(x * 100) AS INT)), ''))) AS n FROM embeddings)
+SELECT vec_id, (44 + (2 * n + 9600) // 2 * 2)::INT AS wav_bytes, 'UklGR' AS starts FROM s""")
 def audio_window(spark, sf_dir):
     """The sound of each vector as WAV in base64: its length and how it starts."""
     url = audio.audio_url(F.col("pcm"))

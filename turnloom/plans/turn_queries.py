@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import handoff, metrics, pairing, windows
+from turnloom.sources.landmarks import face_rows, pose_rows
 from turnloom.sources.lanes import SECOND_US, audio_clock, event_lanes, first_tracks, turn_ends
+from turnloom.sources.staging import staged
 
 W3, W16, STEP = 3 * SECOND_US, 16 * SECOND_US, 2 * SECOND_US
 QUERIES: dict = {}
@@ -58,6 +60,12 @@ def _lanes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return lanes, turn_ends(lanes)
 
 
+def _lanes_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lanes and ends for plans of many branches: events are read once, for the starts of turns and for the rows, and never again."""
+    lanes = staged(event_lanes(spark, sf_dir).drop("value"), "lanes")
+    return lanes, staged(turn_ends(lanes), "ends")
+
+
 def _readings(lanes: DataFrame, ends: DataFrame) -> DataFrame:
     """One reading a window with frames: session_id, k, n, state, intensity."""
     nv = windows.tumbling(lanes.where("lane = 'frame'"), ends, W3, F.sum("cents").alias("cents"))
@@ -134,7 +142,7 @@ TAIL = f"""tail AS (SELECT session_id, covered_us AS start_us, end_us - covered_
 FROM tail t JOIN ev ON ev.session_id = t.session_id AND t_us >= start_us AND t_us < start_us + dur_us GROUP BY ALL
 HAVING count(*) FILTER (lane = 'frame') > 0 AND count(*) FILTER (lane = 'audio') > 0""")
 def compact_tail(spark, sf_dir):
-    lanes, ends = _lanes(spark, sf_dir)
+    lanes, ends = _lanes_once(spark, sf_dir)
     tail = windows.compact_tail(_covered(lanes, ends), ends, SECOND_US)
     inside = windows.rows_in(tail, lanes.select("session_id", "t_us", "lane"), W16).groupBy("session_id", "start_us", "dur_us")
     counted = inside.agg(F.count_if(F.col("lane") == "frame").alias("n_frames"), F.count_if(F.col("lane") == "audio").alias("n_audio"))
@@ -153,7 +161,7 @@ u AS (SELECT 'eval' AS kind, session_id, k * {W16} + {W16 // 2} AS at_us FROM ev
   UNION ALL SELECT 'turn_end', session_id, end_us FROM ends)
 SELECT session_id, kind, at_us, row_number() OVER (PARTITION BY session_id ORDER BY kind = 'turn_end', at_us, kind) AS number FROM u""")
 def signal_union(spark, sf_dir):
-    lanes, ends = _lanes(spark, sf_dir)
+    lanes, ends = _lanes_once(spark, sf_dir)
     centre = lambda df, w: df.select("session_id", (F.col("k") * w + w // 2).alias("at_us"))
     all_ = pairing.signals(
         eval=centre(_evals(lanes, ends).where("ok"), W16),
@@ -335,8 +343,8 @@ VOCAL = f"""{EV}, v AS (SELECT session_id, t_us // {W16} AS k, count(*)::DOUBLE
   sum(cents)::BIGINT AS cents, max(cents) AS top, count(*) FILTER (lane = 'audio') AS pause_count FROM ev GROUP BY ALL)"""
 
 
-def _vocal(spark, sf_dir) -> DataFrame:
-    by = event_lanes(spark, sf_dir).withColumn("k", windows.window_number("t_us", W16)).groupBy("session_id", "k")
+def _vocal(lanes: DataFrame, width: int = W16) -> DataFrame:
+    by = lanes.withColumn("k", windows.window_number("t_us", width)).groupBy("session_id", "k")
     count = lambda lane: F.count_if(F.col("lane") == lane)
     v = by.agg(F.count(F.lit(1)).cast("double").alias("duration_s"), count("frame").alias("voiced_frames"), F.sum("cents").alias("cents"), F.max("cents").alias("top"), count("audio").alias("pause_count"))
     number = lambda m: F.when(F.col("voiced_frames") > 1, (F.col("cents") % m).cast("double"))
@@ -351,8 +359,8 @@ def _vocal(spark, sf_dir) -> DataFrame:
     )
 
 
-def _mean_sql(value: str, weight: str) -> str:
-    return f"round(sum(({value}) * ({weight})) FILTER (({value}) IS NOT NULL AND ({weight}) <> 0) / nullif(sum({weight}) FILTER (({value}) IS NOT NULL AND ({weight}) <> 0), 0), 4)"
+def _mean_sql(value: str, weight: str, digits: int = 4) -> str:
+    return f"round(sum(({value}) * ({weight})) FILTER (({value}) IS NOT NULL AND ({weight}) <> 0) / nullif(sum({weight}) FILTER (({value}) IS NOT NULL AND ({weight}) <> 0), 0), {digits})"
 
 
 @query(f"""{VOCAL}, m AS (SELECT *, CASE WHEN voiced_frames > 1 THEN (cents % 7)::DOUBLE END AS sd, CASE WHEN voiced_frames > 1 THEN (cents % 211)::DOUBLE END AS hz,
@@ -364,7 +372,7 @@ SELECT session_id, count(*) AS windows, sum(duration_s) AS duration_s, (sum(voic
   sum(pause_count)::BIGINT AS pause_count, {_mean_sql('med', 'pause_count + cents % 3')} AS juncture_median_s, {_mean_sql('delta', 'duration_s')} AS half_to_half_delta_db,
   min(-top::DOUBLE) FILTER (delta IS NOT NULL) AS sounding_trough_db FROM m GROUP BY session_id""")
 def vocal_rollup(spark, sf_dir):
-    r = handoff.vocal_rollup(_vocal(spark, sf_dir), ["session_id"])
+    r = handoff.vocal_rollup(_vocal(event_lanes(spark, sf_dir)), ["session_id"])
     rounded = ("sd_semitone", "mean_hz", "voiced_ratio", "speech_rate", "articulation_rate", "juncture_median_s", "half_to_half_delta_db")
     return r.select("session_id", "windows", "duration_s", "voiced_frames", "syllable_nuclei", "pause_count", "sounding_trough_db", *(F.round(c, 4).alias(c) for c in rounded))
 
@@ -372,7 +380,7 @@ def vocal_rollup(spark, sf_dir):
 @query(f"""{VOCAL}, p AS (SELECT session_id, unnest([top::DOUBLE, (cents % 97)::DOUBLE]) AS x FROM v)
 SELECT session_id, list(x ORDER BY x DESC)[1:5] AS longest FROM p GROUP BY session_id""")
 def longest_topk(spark, sf_dir):
-    return _vocal(spark, sf_dir).groupBy("session_id").agg(handoff.longest(F.col("longest_pauses_s")).alias("longest"))
+    return _vocal(event_lanes(spark, sf_dir)).groupBy("session_id").agg(handoff.longest(F.col("longest_pauses_s")).alias("longest"))
 
 
 @query(f"""{EV}, w AS (SELECT session_id, t_us // {W16} AS k, count(*) AS face_frames, count(*) FILTER (lane <> 'error') / count(*)::DOUBLE AS ratio, sum(cents)::BIGINT AS cents FROM ev GROUP BY ALL),
@@ -419,14 +427,14 @@ def highlights_top3(spark, sf_dir):
 
 
 def _handoff(spark, sf_dir) -> DataFrame:
-    lanes, ends = _lanes(spark, sf_dir)
+    lanes, ends = _lanes_once(spark, sf_dir)
     readings = _readings(lanes, ends)
     noted = readings.withColumn("note", F.when(F.col("n") > 1, F.concat(F.lit("n"), F.col("k").cast("string"))).otherwise(""))
     w = lanes.withColumn("k", windows.window_number("t_us", W16)).groupBy("session_id", "k").agg(
         F.count(F.lit(1)).alias("face_frames"), F.avg((F.col("lane") != "error").cast("double")).alias("face_seen_ratio"), (F.sum("cents") % 100).cast("double").alias("smile_mean")
     )
     visual = handoff.lane_rollup(w, ["session_id"], "face_frames", "face_seen_ratio", ["smile_mean"])
-    speech = handoff.vocal_rollup(_vocal(spark, sf_dir), ["session_id"])
+    speech = handoff.vocal_rollup(_vocal(lanes), ["session_id"])
     return handoff.turn_handoff(
         ends, pairing.transcript(_texts(lanes, ends)), _sentences(lanes, ends), speech, visual, handoff.state_shares(readings, ["session_id"], "k"), handoff.last_notes(noted, ["session_id"], "k")
     )
@@ -446,11 +454,117 @@ def turn_handoff(spark, sf_dir):
     )
 
 
+FACE_STATE = "CASE WHEN cents % 5 <> 0 THEN true ELSE false END"
+CHAIN = f"""{EV}, r AS (SELECT session_id, seq, t_us, cents, t_us // {W60} AS k, {FACE_STATE} AS face, cents % 4 <> 0 AS pose, cents % 3 AS hands, cents // 100 % 2 AS fingers FROM ev WHERE lane <> 'error'),
+f AS (SELECT *, lag(blink, 1, 0.0) OVER w AS before, lag(x) OVER w AS px FROM (SELECT *, (cents % 7) / 6.0 AS blink, (seq % 10) / 10.0 AS x FROM r WHERE face) WINDOW w AS (PARTITION BY session_id, k ORDER BY t_us)),
+fw AS (SELECT session_id, k, count(*) AS seen, avg((cents % 100) / 100.0) AS smile_mean, max((cents % 100) / 100.0) AS smile_max, avg((cents % 11) / 10.0) AS gaze_off, stddev_pop(degrees(atan2((cents % 3)::DOUBLE, 5.0))) AS yaw,
+  count(*) FILTER (before < 0.5 AND blink >= 0.5) AS blinks, coalesce(avg(abs(x - px)), 0) AS lips FROM f GROUP BY ALL),
+p AS (SELECT *, lag(cents) OVER w AS pc, lag(seq) OVER w AS ps FROM r WHERE pose WINDOW w AS (PARTITION BY session_id, k ORDER BY t_us)),
+pm AS (SELECT session_id, k, avg(1 + cents % 3) AS scale, count(*) AS seen FROM p GROUP BY ALL),
+pw AS (SELECT session_id, k, CASE WHEN seen >= 2 THEN stddev_pop((1 + cents % 3) / 2.0) / 2 / scale END AS posture_std,
+  CASE WHEN seen >= 2 THEN coalesce(avg(CASE WHEN seq % 2 = 1 AND ps % 2 = 1 THEN sqrt(power(cents % 11 - pc % 11, 2) + power(cents % 13 - pc % 13, 2)) / scale END), 0) END AS wrist_motion,
+  CASE WHEN seen >= 2 THEN count(*) FILTER (seq % 2 = 1 AND ps % 2 = 1 AND sqrt(power(cents % 11 - pc % 11, 2) + power(cents % 13 - pc % 13, 2)) / scale > 0.15) END AS gestures
+  FROM p JOIN pm USING (session_id, k) GROUP BY session_id, k, seen, scale),
+n AS (SELECT session_id, k, count(*) AS frames, round(count(*) FILTER (face) / count(*)::DOUBLE, 12) AS fr, count(*) FILTER (pose) / count(*)::DOUBLE AS pr, count(*) FILTER (hands > 0) / count(*)::DOUBLE AS hr FROM r GROUP BY ALL),
+h AS (SELECT session_id, k, t_us, fingers AS c FROM r WHERE hands > 0),
+m1 AS (SELECT *, list_sort(list(c) OVER (PARTITION BY session_id, k ORDER BY t_us ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS near FROM h),
+m2 AS (SELECT *, CAST(trunc((near[(len(near) - 1) // 2 + 1] + near[len(near) // 2 + 1]) / 2.0) AS INT) AS v FROM m1),
+m3 AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY session_id, k ORDER BY t_us) THEN 0 ELSE 1 END AS new FROM m2),
+m4 AS (SELECT *, sum(new) OVER (PARTITION BY session_id, k ORDER BY t_us) AS run FROM m3),
+m5 AS (SELECT session_id, run, k, any_value(v) AS v, min(t_us) AS a FROM m4 GROUP BY ALL HAVING max(t_us) - min(t_us) >= {W3}),
+m6 AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY session_id ORDER BY a) THEN 0 ELSE 1 END AS new FROM m5),
+seqs AS (SELECT session_id, list(v ORDER BY a) FILTER (v > 0) AS finger_sequence FROM m6 WHERE new = 1 GROUP BY 1)
+SELECT session_id, sum(frames)::BIGINT AS face_frames, round(sum(frames * fr) / sum(frames), 6) AS face_seen_ratio, {{face}}, sum(blinks)::BIGINT AS blink_count, max(smile_max) AS smile_max,
+  round(sum(frames * pr) / sum(frames), 6) AS pose_seen_ratio, {{pose}}, sum(gestures)::BIGINT AS gesture_events, round(sum(frames * hr) / sum(frames), 6) AS hand_seen_ratio,
+  any_value(coalesce(finger_sequence, CASE WHEN s.session_id IS NOT NULL THEN []::INT[] END)) AS finger_sequence
+FROM n LEFT JOIN fw USING (session_id, k) LEFT JOIN pw USING (session_id, k) LEFT JOIN seqs s USING (session_id) GROUP BY session_id"""
+_FACE_MEANS = {"smile_mean": "smile_mean", "gaze_off_mean": "gaze_off", "yaw_std_deg": "yaw", "lip_motion": "lips"}
+_POSE_MEANS = {"posture_std": "posture_std", "wrist_motion": "wrist_motion"}
+
+
+@query(
+    CHAIN.format(
+        face=", ".join(f"{_mean_sql(c, 'frames * fr', 6)} AS {n}" for n, c in _FACE_MEANS.items()), pose=", ".join(f"{_mean_sql(c, 'frames * pr', 6)} AS {n}" for n, c in _POSE_MEANS.items())
+    )
+)
+def visual_chain(spark, sf_dir):
+    """From what detectors give for each frame to a turn: rows of the lanes, measures of windows, all lanes merged, the roll-up."""
+    lanes = event_lanes(spark, sf_dir).where("lane != 'error'").withColumn("k", windows.window_number("t_us", W60))
+    rows = staged(lanes.select("session_id", "seq", "t_us", "cents", "k"), "frames")
+    c, keys = F.col("cents"), ["session_id", "k"]
+    part = lambda m, d: (c % m) / F.lit(float(d))
+    shapes = {f"{n}{side}": part(m, d) for n, m, d in (("mouthSmile", 100, 100), ("browDown", 3, 2), ("mouthPress", 3, 2), ("eyeBlink", 7, 6)) for side in ("Left", "Right")}
+    shapes |= {"eyeLookOutLeft": part(11, 10), "eyeLookUpLeft": part(11, 20)}
+    blend = F.when(c % 5 != 0, F.create_map(*(x for n, v in shapes.items() for x in (F.lit(n), v))))
+    turn = F.array(F.lit(5.0), *[F.lit(0.0)] * 2, (c % 3).cast("double"), *[F.lit(0.0)] * 5)
+    spot = F.array((F.col("seq") % 10) / F.lit(10.0), F.lit(0.5))
+    faces = face_rows(rows.withColumns({"blendshapes": blend, "matrix": turn, "points": F.array_repeat(spot, 300)}))
+    point = lambda x, y, v=1.0: F.array(*(F.lit(z).cast("double") if not isinstance(z, type(c)) else z.cast("double") for z in (x, y, v)))
+    wrist = point(c % 11, c % 13, F.col("seq") % 2)
+    body = [point(0, 0)] * 11 + [point(0, 0), point(1 + c % 3, 0)] + [point(0, 0)] * 2 + [wrist, wrist]
+    poses = pose_rows(rows.withColumn("points", F.when(c % 4 != 0, F.array(*body))))
+    hands = rows.withColumns({"hands": (c % 3).cast("int"), "fingers": (F.floor(c / 100) % 2).cast("int")})
+    merged = metrics.window_measures(metrics.face_window(faces, keys, "t_us"), metrics.pose_measures(poses, keys, "t_us"), keys, metrics.hand_measures(hands, keys, "t_us", W3))
+    r = handoff.visual_rollup(merged, ["session_id"])
+    rounded = ("face_seen_ratio", *_FACE_MEANS, "pose_seen_ratio", *_POSE_MEANS, "hand_seen_ratio")
+    return r.select("session_id", "face_frames", "blink_count", "smile_max", "gesture_events", "finger_sequence", *(F.round(x, 6).alias(x) for x in rounded))
+
+
+# Records of turns: every third session has sentences, half of the turns end without a transcript, the sentences of some have no reading.
+def _records(spark, sf_dir) -> tuple[DataFrame, ...]:
+    """Turn ends, sentences, evaluations and windows as turn_documents takes them."""
+    lanes, ends = _lanes_once(spark, sf_dir)
+    sides = lambda width: _vocal(lanes, width).select(
+        "session_id", "k", "cents", F.col("voiced_frames").alias("n"), F.struct(*(f for f in _vocal(lanes).columns if f not in ("session_id", "k", "cents", "top"))).alias("speech"),
+        F.struct(
+            F.col("duration_s").cast("long").alias("face_frames"), F.lit(1.0).alias("face_seen_ratio"), (F.col("cents") % 100 / 100.0).alias("smile_mean"), F.col("cents").alias("smile_max"),
+            (F.col("cents") % 3).alias("blink_count"), (F.col("cents") % 10 / 10.0).alias("gaze_off_mean"), F.col("duration_s").cast("long").alias("pose_frames"), F.lit(1.0).alias("pose_seen_ratio"),
+            *(F.lit(0.1).alias(x) for x in (*handoff.FACE, *handoff.POSE) if x not in ("smile_mean", "gaze_off_mean")), (F.col("cents") % 2).alias("gesture_events"),
+        ).alias("visual"),
+    )
+    reading = F.struct(F.expr(STATE).alias("state"), (F.col("cents") % 100 / 100.0).alias("intensity"), F.concat(F.lit("n"), F.col("k").cast("string")).alias("note"))
+    start = F.col("k") * 3.0
+    said = sides(W3).where("session_id % 3 = 0").select(
+        "session_id", start.alias("start_s"), (start + 3.0).alias("end_s"), F.concat(F.lit("s"), F.col("k").cast("string")).alias("text"), "speech", "visual",
+        F.when((F.col("session_id") % 2 == 0) & (F.col("n") > 0), reading).alias("nonverbal"),
+    )
+    evals = sides(W16).select("session_id", (F.col("k") * 16.0).alias("start_s"), "speech", "visual")
+    heard = _texts(lanes, ends).select("session_id", "k", "text")
+    both = _readings(lanes, ends).select("session_id", "k", reading.alias("nonverbal")).join(heard, ["session_id", "k"], "full_outer")
+    shown = both.select("session_id", start.alias("start_s"), F.coalesce("text", F.lit("")).alias("transcript"), "nonverbal")
+    full = F.when(F.col("session_id") % 2 == 0, F.concat(F.lit("turn "), F.col("session_id").cast("string"))).otherwise("")
+    return ends.select("session_id", F.col("end_us").alias("t"), full.alias("transcript_full")), said, evals, shown
+
+
+@query(f"""{GRID}, v AS (SELECT session_id, w, t_us // w AS k, count(*)::DOUBLE AS duration_s, count(*) FILTER (lane = 'frame') AS n, sum(cents)::BIGINT AS cents
+  FROM ev, (SELECT unnest([{W3}, {W16}]) AS w) GROUP BY ALL),
+m AS (SELECT * FROM v WHERE w = CASE WHEN session_id % 3 = 0 THEN {W3} ELSE {W16} END),
+r AS (SELECT session_id, k, n, cents, {STATE} AS state FROM v WHERE w = {W3} AND session_id % 6 = 0 AND n > 0
+  UNION ALL SELECT session_id, k, n, cents, {STATE} FROM nvw WHERE session_id NOT IN (SELECT session_id FROM v WHERE w = {W3} AND session_id % 6 = 0 AND n > 0)),
+st AS (SELECT session_id, state, count(*) AS c, min(k) AS first FROM r GROUP BY ALL),
+told AS (SELECT session_id, count(*) AS readings, round(avg((cents % 100) / 100.0), 2) AS intensity_mean, list('n' || k ORDER BY k)[-3:] AS notes FROM r GROUP BY 1),
+tx AS (SELECT session_id, string_agg('w' || first_seq, ' ' ORDER BY k) AS spoken FROM sttw GROUP BY 1),
+sp AS (SELECT session_id, count(*) AS speech_windows, sum(cents % 17)::BIGINT AS syllable_nuclei, round(sum(cents % 17) / nullif(sum(CASE WHEN cents % 4 <> 0 THEN duration_s WHEN cents % 17 > 0 THEN 2.0 END), 0), 4) AS articulation_rate,
+  sum(duration_s)::BIGINT AS face_frames, round(sum(cents % 100 / 100.0 * duration_s) / sum(duration_s), 4) AS smile_mean, count(*) FILTER (session_id % 3 = 0) AS sentences FROM m GROUP BY 1)
+SELECT session_id, end_us AS t, CASE WHEN session_id % 2 = 0 THEN 'turn ' || session_id ELSE coalesce(spoken, '') END AS transcript, sentences, speech_windows, syllable_nuclei, articulation_rate, face_frames, smile_mean,
+  readings, intensity_mean, notes, list_transform(list_sort(sts), lambda x: x.state) AS states
+FROM ends LEFT JOIN sp USING (session_id) LEFT JOIN tx USING (session_id) LEFT JOIN told USING (session_id)
+LEFT JOIN (SELECT session_id, list({{'c': -c, 'first': first, 'state': state}}) AS sts FROM st GROUP BY 1) USING (session_id)""")
+def turn_document(spark, sf_dir):
+    """The hand-off document of each turn from its records, with every fallback in use."""
+    d = handoff.turn_documents(*_records(spark, sf_dir))
+    return d.select(
+        "session_id", "t", "transcript", F.col("sentences").cast("long").alias("sentences"), F.col("speech.windows").alias("speech_windows"), F.col("speech.syllable_nuclei").alias("syllable_nuclei"),
+        F.round("speech.articulation_rate", 4).alias("articulation_rate"), F.col("visual.face_frames").alias("face_frames"), F.round("visual.smile_mean", 4).alias("smile_mean"),
+        F.col("nonverbal.windows").alias("readings"), F.col("nonverbal.intensity_mean").alias("intensity_mean"), F.col("nonverbal.notes").alias("notes"),
+        F.transform("nonverbal.states", lambda x: x["state"]).alias("states"),
+    )
+
+
 @query()
 def handoff_prompt(spark, sf_dir):
-    """A prompt line for each turn."""
-    h = _handoff(spark, sf_dir)
-    return h.select("session_id", handoff.prompt_fragment(h).alias("prompt"))
+    """The lines that tell a reader of each turn, and the one line that does."""
+    return handoff.turn_documents(*_records(spark, sf_dir)).select("session_id", F.array_join("prompt_block", "\n").alias("prompt_block"), "prompt")
 
 
 @query(f"""{GRID}, t AS (SELECT session_id, list('w' || first_seq ORDER BY k) AS window_transcripts, string_agg('w' || first_seq, ' ' ORDER BY k) AS transcript_full, count(*) AS c FROM sttw GROUP BY 1),
@@ -458,7 +572,7 @@ p AS (SELECT session_id, count(*) AS records FROM (SELECT session_id, k FROM nvw
 SELECT session_id, coalesce(records, 0) + 1 AS record_count, coalesce(transcript_full, '') AS transcript_full, coalesce(window_transcripts, []::VARCHAR[]) AS window_transcripts, end_us AS latest_turn_end_us,
   false AS raw_media_exposed, false AS raw_secrets_exposed FROM ends LEFT JOIN t USING (session_id) LEFT JOIN p USING (session_id)""")
 def signals_payload(spark, sf_dir):
-    lanes, ends = _lanes(spark, sf_dir)
+    lanes, ends = _lanes_once(spark, sf_dir)
     paired = pairing.pair_windows(_readings(lanes, ends), _texts(lanes, ends))
     told = F.transform(F.array_sort(F.collect_list(F.when(F.trim("transcript") != "", F.struct("k", "transcript")))), lambda x: x["transcript"])
     by = paired.groupBy("session_id").agg(F.count(F.lit(1)).alias("records"), told.alias("window_transcripts"))
@@ -469,7 +583,8 @@ def signals_payload(spark, sf_dir):
     )
 
 
-@query()
+@query(f"""WITH r AS ({PAIRED}), j AS (SELECT session_id, k, '{{"type":"window","session_id":' || session_id || ',"k":' || k || ',"state":' || coalesce('"' || state || '"', 'null') || ',"intensity":' || coalesce(intensity::DOUBLE::VARCHAR, 'null')
+  || ',"transcript":"' || transcript || '","transcript_final":' || transcript_final || '}}' AS line FROM r) SELECT session_id, k, line, 'data: ' || line || chr(10) || chr(10) AS frame FROM j""")
 def record_json(spark, sf_dir):
     """Window records as lines of JSON and as server-sent frames."""
     w = turn_windows(spark, sf_dir)
