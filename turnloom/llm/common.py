@@ -2,44 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Folders made for sessions that name none, as in tests.
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all run on this machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _OWN[app]
-
-
-def staged(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again.
-
-    It cuts the lineage, and what two branches need is made once; a lost executor costs no more than the
-    tasks it ran. The files stay until the cluster clears spark.checkpoint.dir.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from turnloom.sources.staging import drop_staged, shared_dir, staged  # noqa: F401
 
 #: A staged table of at most this many narrow rows (about 100 bytes each) may be broadcast.
 BROADCAST_ROWS = 100_000

@@ -2,7 +2,7 @@
 
 Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each step is a grouped minimum, combined
 before the shuffle, and a join back to the edges; no neighbourhood is ever gathered. The edges are written to the
-shared folder after each round.
+shared folder after each round, and those of the round before deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import staged
+from turnloom.llm.common import drop_staged, staged
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges, mark = staged(edges, "edges"), None
     while True:
-        edges = staged(_small(_large(edges)), "edges")
+        before, edges = edges, staged(_small(_large(edges)), "edges")
+        drop_staged(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break

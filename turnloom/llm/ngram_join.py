@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import digest128, hashes_of, list_array, lower_words_of, mixed, rolling, signed, small_or_not, staged, text_rows
+from turnloom.llm.common import digest128, drop_staged, hashes_of, list_array, lower_words_of, mixed, rolling, signed, small_or_not, staged, text_rows
 from turnloom.llm.components import connected_components
 
 BAND_GROWTH = 1.6
@@ -361,7 +361,9 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .select("key", "node", F.shiftright(label, 16).bitwiseAND(0xFF).cast("int").alias("family"), F.shiftright(label, 24).cast("int").alias("need"))
         .distinct()
     )
-    tiles = staged(_worth_a_look(staged(members, "members")), "tiles")
+    members = staged(members, "members")
+    tiles = staged(_worth_a_look(members), "tiles")
+    drop_staged(members, shared)
     in_tiles = nodes.withColumn("node", F.struct("doc_id", "sub")).join(tiles.select("node").distinct(), "node")
     in_tiles = staged(in_tiles.drop("tag"), "tile-nodes")
     few = small_or_not(in_tiles)
@@ -374,6 +376,7 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     links = staged(_verified(_hub_pairs(tiles), bits, sets, percent), "links")
     more = staged(_verified(_residual_pairs(tiles, links, bits, percent), bits, sets, percent), "links")
     labels = connected_components(links.union(more))
+    drop_staged(tiles, bits, sets, links, more, in_tiles)
 
     named = labels.select("node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc")).join(nodes, ["doc_id", "sub"])
     return (
