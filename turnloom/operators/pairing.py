@@ -33,6 +33,34 @@ def valid_reading(state: Column, intensity: Column, note: Column) -> tuple[Colum
     )
 
 
+def unmatched(nonverbal: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """session_id, halves: how many windows of a session have one lane alone, which a reset before the turn's end gives up."""
+    sides = [df.select("session_id", "k").distinct() for df in (nonverbal, transcripts)]
+    lanes = sides[0].unionAll(sides[1]).groupBy("session_id", "k").agg(F.count(F.lit(1)).alias("lanes"))
+    return lanes.groupBy("session_id").agg(F.count_if(F.col("lanes") == 1).alias("halves"))
+
+
+def _centre(start: Column, width: Column) -> Column:
+    return start + width / 2
+
+
+def record_columns(kind: str) -> dict[str, Column]:
+    """The columns of the records of a kind over its signals; all tell their type, session and time besides."""
+    return {
+        "window": {"t": _centre(F.col("start_s"), F.col("window_s")), **{c: F.col(c) for c in ("window_s", "nonverbal", "transcript", "transcript_final", "objective_nonverbal")}},
+        "eval": {"t": _centre(F.col("start_s"), F.col("window_s")), "window_s": F.col("window_s"), "eval": F.col("eval")},
+        "sentence": {"t": F.round(_centre(F.col("start_s"), F.col("end_s") - F.col("start_s")), 2), **{c: F.col(c) for c in ("start_s", "end_s", "text", "source", "speech", "visual", "nonverbal")}},
+        "turn_end": {"t": F.col("t"), "transcript_full": F.col("transcript_full"), "eval": F.col("eval")},
+    }[kind]
+
+
+def records(signals_: DataFrame, kind: str) -> DataFrame:
+    """Signals of a kind as its records: type, session_id and record_columns; what the signals lack is null."""
+    absent = {c for c in ("nonverbal", "objective_nonverbal", "eval", "speech", "visual") if c not in signals_.columns}
+    told = signals_.withColumns({c: F.lit(None).cast("string") for c in absent})
+    return told.select(F.lit(kind).alias("type"), "session_id", *(c.alias(n) for n, c in record_columns(kind).items()))
+
+
 def transcript(texts: DataFrame) -> DataFrame:
     """session_id, transcript: the non-blank texts of texts (session_id, k, seq, text) by k; the last one told for a k counts."""
     last = texts.groupBy("session_id", "k").agg(F.max_by("text", "seq").alias("text")).where("trim(text) != ''")

@@ -64,6 +64,22 @@ def rows_in(intervals: DataFrame, rows: DataFrame, bucket_us: int) -> DataFrame:
     return cut.join(near, ["session_id", "_b"]).where("t_us >= start_us and t_us < start_us + dur_us").drop("_b")
 
 
+def interval_media(intervals: DataFrame, frames: DataFrame, sound: DataFrame, bucket_us: int, least_us: int = 500_000) -> DataFrame:
+    """intervals (session_id, seq, start_us, dur_us) with what lies in them: frames, pcm, window_us and src_fps.
+
+    frames (session_id, t_us, frame) come by time; the pcm of sound (session_id, t_us, arrival, pcm) is joined in the order of arrival.
+    window_us is the duration, least_us at least, and src_fps the frames a second of that, half a one at least.
+    """
+    key = ["session_id", "seq"]
+    bounds = intervals.select(*key, "start_us", "dur_us")
+    seen = rows_in(bounds, frames, bucket_us).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("t_us", "frame"))), lambda x: x["frame"]).alias("frames"))
+    chunks = F.transform(F.array_sort(F.collect_list(F.struct("arrival", "pcm"))), lambda x: x["pcm"])
+    heard = rows_in(bounds, sound, bucket_us).groupBy(*key).agg(F.aggregate(chunks, F.lit(b""), lambda all_, x: F.concat(all_, x)).alias("pcm"))
+    window = F.greatest(F.col("dur_us"), F.lit(least_us))
+    both = intervals.join(seen, key, "left").join(heard, key, "left").withColumn("window_us", window)
+    return both.withColumn("src_fps", F.greatest(F.lit(0.5), F.coalesce(F.size("frames"), F.lit(0)) * 1e6 / F.col("window_us")))
+
+
 def rate_limited(rows: DataFrame, interval_us: int, tolerance_us: int = 1) -> DataFrame:
     """session_id, t_us of the rows that a greedy throttle keeps: each kept row closes the gate for interval_us.
 
