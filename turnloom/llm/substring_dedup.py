@@ -10,8 +10,8 @@ block it is would pair all documents that share a block; equal whole windows say
 the union of its repeated windows, that is, its maximal exact repeats of `window` words and more.
 
 Nothing is paired: a block, gram or window that a third of all documents hold costs a row for each of them.
-Grams and windows are counted by aggregates that combine before the shuffle, and joined back; grams of very many runs by
-broadcast, since there are few of those.
+Grams and windows are counted by aggregates that combine before the shuffle, and joined back; those that very many rows hold by
+broadcast, since there are few of them.
 
 Defined results: null and empty texts have no words, lose none and keep the empty string. Rows with a null doc_id
 lose nothing and take nothing from others. Rows with the same doc_id are not smaller than one another. Other
@@ -31,8 +31,8 @@ from turnloom.llm.common import digest128, hashes_of, list_array, rolling, signe
 
 WINDOW = 50
 GRAM = 5
-#: Runs of one key beyond which it is joined by broadcast. There are no more such keys than runs over HOT_RUNS.
-HOT_RUNS = 50_000
+#: Runs or windows of one key beyond which it is joined by broadcast. There are no more such keys than rows over HOT_RUNS.
+HOT_RUNS = 10_000
 _BASE_A, _BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -210,8 +210,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         ),
         "windows",
     )
-    origin = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last")
-    gone = windows.join(origin, ["hash_a", "hash_b"]).where("origin < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
+    origin = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    origin = staged(origin.where("origin < last").drop("last"), "origins")
+    hot = small_or_not(staged(origin.where(F.col("n") > HOT_RUNS).drop("n"), "hot-windows"))
+    both = ["hash_a", "hash_b"]
+    held = windows.join(hot, both).unionByName(windows.join(hot, both, "left_anti").join(origin.where(F.col("n") <= HOT_RUNS).drop("n"), both))
+    gone = held.where("origin < doc_id").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("at"))
     cut = docs.join(gone, "doc_id").mapInArrow(
         _cut(window, keep_text), "doc_id long, tag int, cut_words long, cut_sha string, cut_text string"
     ).dropDuplicates(["doc_id", "tag"])
