@@ -7,11 +7,11 @@ max_repeats times over the token budget, the smallest a that doesn't. Each round
 exponents in one aggregate over the sources, whose number may grow with the data; nothing but sums comes to the
 driver.
 
-The weights times the budget are quotas of tokens. A source's rows are dealt by hash to blocks of about
-BLOCK_ROWS rows, and the blocks in their order, each permuted by hash, are the source's permutation. The quota takes
+The weights times the budget are quotas of tokens. A source's rows are dealt by hash to blocks of about as
+many rows as there are blocks (but BLOCK_ROWS at most), and the blocks in their order, each permuted by hash, are the source's permutation. The quota takes
 whole rounds of it, and in the last round its blocks, and then the rows of one block, up to what is left. So the plan
-needs the sums of blocks and the order of one block's rows for each source, and no task ever sorts a whole source (one block, about
-BLOCK_ROWS narrow rows, is what a task sorts for a source, however large that is); each
+needs the sums of blocks and the order of one block's rows for each source, and no task ever sorts a whole source (the square root of
+its rows is what a task sorts: the sums of its blocks, or the rows of one); each
 row then reads off how often it is taken (copies). A quota is missed by less than one row, or one set of repeated rows.
 
 Defined results: a null source is a source of its own; a null text has no tokens. A source without tokens is taken
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from turnloom.llm.common import free_name, staged
 
+#: A block's rows at most. Only sources of more than its square have more blocks than a block has rows.
 BLOCK_ROWS = 20_000
 STEPS = 16
 ROUNDS = 8
@@ -101,7 +102,7 @@ def mixing_plan(light: DataFrame, budget: float, entropy: float, max_repeats: fl
             "weight",
             F.when(F.col("tokens") > 0, F.floor(quota / F.col("tokens"))).otherwise(1).cast("long").alias("rounds"),
             F.when(F.col("tokens") > 0, quota % F.col("tokens")).otherwise(0).cast("long").alias("left"),
-            F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK_ROWS)).cast("long").alias("n_blocks"),
+            F.ceil(F.col("rows") / F.least(F.lit(BLOCK_ROWS), F.ceil(F.sqrt("rows")))).cast("long").alias("n_blocks"),
         ),
         "quotas",
     )
