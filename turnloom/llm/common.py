@@ -22,6 +22,22 @@ def small_or_not(stage: DataFrame) -> DataFrame:
     return F.broadcast(stage) if stage.count() <= BROADCAST_ROWS else stage
 
 
+#: A key is hot if more than HOT_ROWS rows and more than one in HOT_KEYS of all rows hold it, so there are fewer hot keys than HOT_KEYS.
+HOT_ROWS = 1_000
+HOT_KEYS = 10_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, keys: str | list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with facts, a staged table with one row for each of the keys and n, the number of rows that hold it.
+
+    The rows of hot keys find theirs by broadcast, where they lie; the others go by shuffle, in which no key is hot. facts may
+    leave keys out; for a left join only those of few rows.
+    """
+    limit = F.greatest(F.lit(HOT_ROWS), F.lit(rows.count() // HOT_KEYS))
+    hot = F.broadcast(facts.where(F.col("n") > limit))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(keys), keys, "left_anti").join(facts.where(F.col("n") <= limit), keys, how))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with as many underscores after it as make it unlike all columns of df (whatever their case)."""
     taken = {c.lower() for c in df.columns}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import digest128, drop_staged, hashes_of, list_array, lower_words_of, mixed, rolling, signed, small_or_not, staged, text_rows
+from turnloom.llm.common import digest128, drop_staged, hashes_of, join_counted, list_array, lower_words_of, mixed, rolling, signed, small_or_not, staged, text_rows
 from turnloom.llm.components import connected_components
 
 BAND_GROWTH = 1.6
@@ -267,10 +267,11 @@ def _worth_a_look(members: DataFrame) -> DataFrame:
     A linked set shares `need` tiles of one band; so a node with fewer tiles there that others are in drops out, and with
     it the tiles that it alone kept open.
     """
-    several = lambda df: df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    enough = members.join(several(members), "key").groupBy("node", "family").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("least")).where("n >= least")
-    kept = members.join(small_or_not(staged(enough.select("node", "family"), "enough")), ["node", "family"])
-    return kept.join(several(kept), "key").select("key", "node")
+    several = lambda df: staged(df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    enough = join_counted(members, several(members), "key").groupBy("node", "family").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("least"))
+    enough = staged(enough.where("n >= least").select("node", "family"), "enough")
+    kept = staged(members.join(small_or_not(enough), ["node", "family"]).select("key", "node"), "kept")
+    return join_counted(kept, several(kept), "key").select("key", "node")
 
 
 def _hub_pairs(tiles: DataFrame) -> DataFrame:
@@ -279,10 +280,10 @@ def _hub_pairs(tiles: DataFrame) -> DataFrame:
     The hub is the member that shares tiles with the most others, so the text that near copies were made from, if
     it is there.
     """
-    sizes = tiles.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weights = small_or_not(staged(tiles.join(sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "weights"))
-    hubs = tiles.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node.doc_id"))).alias("hub"))
-    pairs = tiles.join(hubs, "key").where("node != hub")
+    sizes = staged(tiles.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    weights = small_or_not(staged(join_counted(tiles, sizes, "key").groupBy("node").agg(F.sum("n").alias("weight")), "weights"))
+    hubs = tiles.join(weights, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node.doc_id"))).alias("hub"), F.count(F.lit(1)).alias("n"))
+    pairs = join_counted(tiles, staged(hubs, "hubs"), "key").where("node != hub")
     return pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
 
@@ -294,10 +295,10 @@ def _residual_pairs(tiles: DataFrame, links: DataFrame, bits: DataFrame, percent
     """
     both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
     labels = small_or_not(staged(both.groupBy("node").agg(F.least("node", F.min("other")).alias("comp")), "labels"))
-    members = tiles.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed_tiles = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-    open_ = members.join(mixed_tiles.where("c0 != c1").select("key", "members"), "key")
-    rest = staged(open_, "open-tiles")
+    members = staged(tiles.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "labelled")
+    mixed_tiles = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    mixed_tiles = staged(mixed_tiles.where("c0 != c1").select("key", "n"), "mixed-tiles")
+    rest = staged(join_counted(members, mixed_tiles, "key").withColumnRenamed("n", "members"), "open-tiles")
     small = rest.where(F.col("members") <= PAIRED_MEMBERS)
     one, other = (small.select("key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b"))
     pairs = one.join(other, "key").where("a < b and comp_a != comp_b").select("a", "b")
@@ -339,7 +340,7 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
 def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """similar_documents of rows that all have an id."""
     base = staged(docs.mapInArrow(_signatures(n), "doc_id long, n_shingles long, set_a long, set_b long, bits binary"), "signatures")
-    classes = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_doc"))
+    classes = base.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     # The first document of a class stands for it. sub tells classes apart that have the same first doc_id.
     nodes = classes.where("first_doc is not null").withColumn(
         "sub", F.row_number().over(Window.partitionBy("first_doc").orderBy("set_a", "set_b")) - 1
@@ -379,12 +380,12 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     drop_staged(tiles, bits, sets, links, more, in_tiles)
 
     named = labels.select("node.doc_id", "node.sub", F.col("comp.doc_id").alias("comp_doc")).join(nodes, ["doc_id", "sub"])
-    return (
-        base.select("doc_id", "n_shingles", "set_a", "set_b")
-        .join(classes, ["set_a", "set_b"], "left")
-        .join(named.select("set_a", "set_b", "comp_doc"), ["set_a", "set_b"], "left")
-        .select("doc_id", "n_shingles", F.coalesce("comp_doc", "first_doc", "doc_id").alias("component_id"))
-    )
+    # Only rows of classes with several rows or links have to look up their component.
+    groups = classes.join(named.select("set_a", "set_b", "comp_doc"), ["set_a", "set_b"], "left").where("n > 1 or comp_doc is not null")
+    groups = staged(groups.select("set_a", "set_b", "n", F.coalesce("comp_doc", "first_doc").alias("component_id")), "groups")
+    rows = base.where("n_shingles > 0").select("doc_id", "n_shingles", "set_a", "set_b")
+    found = join_counted(rows, groups, ["set_a", "set_b"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return found.unionByName(base.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op8_ngram_join(spark, sf_dir: str) -> DataFrame:
