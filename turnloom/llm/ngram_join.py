@@ -262,16 +262,21 @@ def _verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int)
 
 
 def _worth_a_look(members: DataFrame) -> DataFrame:
-    """Members (key, node, family, need) without those that can't be linked with anyone, as key, node.
+    """Staged members (key, node, family, need), which go, without those that can't be linked with anyone, as key, node.
 
     A linked set shares `need` tiles of one band; so a node with fewer tiles there that others are in drops out, and with
     it the tiles that it alone kept open.
     """
     several = lambda df: staged(df.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-    enough = join_counted(members, several(members), "key").groupBy("node", "family").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("least"))
+    counts = several(members)
+    enough = join_counted(members, counts, "key").groupBy("node", "family").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("least"))
     enough = staged(enough.where("n >= least").select("node", "family"), "enough")
     kept = staged(members.join(small_or_not(enough), ["node", "family"]).select("key", "node"), "kept")
-    return join_counted(kept, several(kept), "key").select("key", "node")
+    drop_staged(members, counts, enough)
+    counts = several(kept)
+    tiles = staged(join_counted(kept, counts, "key").select("key", "node"), "tiles")
+    drop_staged(kept, counts)
+    return tiles
 
 
 def _hub_pairs(tiles: DataFrame) -> DataFrame:
@@ -299,6 +304,7 @@ def _residual_pairs(tiles: DataFrame, links: DataFrame, bits: DataFrame, percent
     mixed_tiles = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
     mixed_tiles = staged(mixed_tiles.where("c0 != c1").select("key", "n"), "mixed-tiles")
     rest = staged(join_counted(members, mixed_tiles, "key").withColumnRenamed("n", "members"), "open-tiles")
+    drop_staged(members, mixed_tiles)
     small = rest.where(F.col("members") <= PAIRED_MEMBERS)
     one, other = (small.select("key", F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")) for c in ("a", "b"))
     pairs = one.join(other, "key").where("a < b and comp_a != comp_b").select("a", "b")
@@ -363,8 +369,8 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .distinct()
     )
     members = staged(members, "members")
-    tiles = staged(_worth_a_look(members), "tiles")
-    drop_staged(members, shared)
+    drop_staged(shared)
+    tiles = _worth_a_look(members)
     in_tiles = nodes.withColumn("node", F.struct("doc_id", "sub")).join(tiles.select("node").distinct(), "node")
     in_tiles = staged(in_tiles.drop("tag"), "tile-nodes")
     few = small_or_not(in_tiles)
