@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnloom.llm import ngram_join as nj
 from turnloom.llm.common import lower_words_of, rolling, words_of
 from turnloom.llm.components import connected_components
-from turnloom.llm.substring_dedup import remove_repeats
+from turnloom.llm.substring_dedup import block_hits, remove_repeats, spots_of, windows_around
 
 DOCS = "doc_id long, text string"
 
@@ -73,6 +73,16 @@ def test_repeats_text_and_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_probes_hit_blocks_of_earlier_documents_and_hits_grow_to_windows(spark):
+    # Document 1 owns the blocks k and m; 2 has k off its grid; 3 has k at its grid, after 1; x is in one document alone.
+    probes = [(1, 7, 0, 10), (1, 7, 25, 11), (2, 8, 3, 10), (3, 9, 50, 10), (3, 9, 75, 12), (4, 9, 1, 13), (5, 9, 2, 13)]
+    got = block_hits(spark.createDataFrame(probes, "doc_id long, tag int, at int, key long"), 25).collect()
+    assert sorted(map(tuple, got)) == [(1, 7, 0, 1), (2, 8, 3, 1), (3, 9, 50, 1)]
+    assert windows_around(100, np.array([0, 60]), 50).tolist() == [0, *range(35, 51)]
+    assert windows_around(49, np.array([0]), 50).tolist() == [] and windows_around(60, np.array([], int), 50).tolist() == []
+    assert spots_of(100, np.array([10, 12]), 50).tolist() == list(range(10, 38)) and spots_of(50, np.array([0]), 50).tolist() == list(range(26))
+
+
 def join_by_hand(rows, n, percent):
     sets = []
     for i, t in rows:

@@ -1,16 +1,20 @@
 """Substring dedup by fixed-block anchors.
 
 A window of `window` words that occurs in two documents covers, wherever the first document's grid stands, one
-whole block of `window // 2` words of that grid. So the index holds each document's non-overlapping blocks, and
-every rolling window of block length in every document probes it. Neighbouring rolling windows mostly share
-their smallest inner gram (the leftmost one on ties, so equal windows agree on it); each run of them probes once,
-by that gram. A hit is only a candidate: runs of hits are extended to whole windows, and a window counts as a
-repeat if its 128-bit hash also starts in a document with a smaller doc_id. (Extending each hit by words against the document whose
-block it is would pair all documents that share a block; equal whole windows say the same of all of them at once.) The removed words of a document are
-the union of its repeated windows, that is, its maximal exact repeats of `window` words and more.
+whole block of `window // 2` words of that grid. So the index holds each document's non-overlapping blocks by hash, with the
+smallest doc_id that has them, and every rolling window of block length in every document probes it. A hit is a place in a
+document whose next words are a block of an earlier document; for the owner of a block that later documents hit, the block's own place
+is one. Hits are extended on both sides to whole windows, and an extended window is a repeat if its 128-bit hash starts in a document
+with a smaller doc_id, too. (Equal hashes extend a hit against all owners of its block at once; word by word it would take a pair of
+each document with each owner.) The removed words of a document are the union of its repeated windows, that is, its maximal exact
+repeats of `window` words and more.
+
+Most rolling windows hit nothing, so they are screened before they are shipped: neighbouring ones mostly share their smallest
+inner gram (the leftmost one on ties, so equal windows agree on it), and each run of them asks by that gram alone whether
+another text has it. A screen that lets more pass costs time, but changes nothing.
 
 Nothing is paired: a block, gram or window that a third of all documents hold costs a row for each of them.
-Grams and windows are counted by aggregates that combine before the shuffle, and joined back; those that very many rows hold by
+Grams, blocks and windows are counted by aggregates that combine before the shuffle, and joined back; those that very many rows hold by
 broadcast, since there are few of them.
 
 Defined results: null and empty texts have no words, lose none and keep the empty string. Rows with a null doc_id
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.llm.common import digest128, hashes_of, list_array, rolling, signed, small_or_not, staged, text_rows, words_of
+from turnloom.llm.common import digest128, drop_staged, hashes_of, join_counted, list_array, rolling, signed, small_or_not, staged, text_rows, words_of
 
 WINDOW = 50
 GRAM = 5
@@ -86,37 +90,73 @@ def _scan(window: int, gram: int):
     return scan
 
 
-def _window_hashes(window: int):
-    def hashed(batches):
+def spots_of(n_words: int, windows: np.ndarray, window: int) -> np.ndarray:
+    """Places of the rolling windows of block length that lie in one of `windows`."""
+    block = window // 2
+    edge = np.zeros(n_words - block + 2, np.int64)
+    np.add.at(edge, windows, 1)
+    np.add.at(edge, windows + window - block + 1, -1)
+    return np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+
+
+def windows_around(n_words: int, hits: np.ndarray, window: int) -> np.ndarray:
+    """Starts of the windows that hold the whole block at one of the hits, which rise."""
+    starts = np.arange(n_words - window + 1)
+    return starts[np.searchsorted(hits, starts + window - window // 2, "right") > np.searchsorted(hits, starts)]
+
+
+def _of_text(batch: pa.RecordBatch):
+    """Number and words of the rows whose text has their tag; others are other texts under the same doc_id."""
+    tags = batch.column(batch.schema.get_field_index("tag")).to_numpy(False)
+    for i, text in enumerate(text_rows(batch)):
+        words = words_of(text)
+        if digest128(b" ".join(words))[0] & 0x7FFFFFFF == tags[i]:
+            yield i, words
+
+
+def _probes(window: int):
+    """Hashes of the rolling windows of block length that the screen lets pass."""
+
+    def probes(batches):
         for batch in batches:
-            out = [[], [], [], []]
-            index = {n: i for i, n in enumerate(batch.schema.names)}
-            shared, hits = batch.column(index["shared"]), batch.column(index["hits"])
-            starts = batch.column(index["starts"])
-            ids, tags = batch.column(index["doc_id"]).to_numpy(False), batch.column(index["tag"]).to_numpy(False)
-            for i, text in enumerate(text_rows(batch)):
-                words = words_of(text)
-                if digest128(b" ".join(words))[0] & 0x7FFFFFFF != tags[i]:
-                    continue  # another text under the same doc_id
+            shared, hits, starts = (batch.column(batch.schema.get_field_index(c)) for c in ("shared", "hits", "starts"))
+            keep, places, keys = [], [], []
+            for i, words in _of_text(batch):
                 first = np.asarray(starts[i].values)
                 flags = np.zeros((2, len(first)), bool)
                 flags[0, np.asarray(shared[i].values)] = True
                 flags[1, np.asarray(hits[i].values, dtype=np.int64)] = True
-                at = candidate_windows(len(words), first, *flags, window)
+                at = spots_of(len(words), candidate_windows(len(words), first, *flags, window), window)
                 if len(at):
-                    h = hashes_of(words)
-                    out[0].append(signed(rolling(h, window, _BASE_A)[at]))
-                    out[1].append(signed(rolling(h, window, _BASE_B)[at]))
-                    out[2].append(np.full(len(at), ids[i]))
-                    out[3].append(at)
-                    out.append((tags[i], len(at)))
-            tags_out = [np.full(n, t, np.int32) for t, n in out[4:]]
+                    keep.append(i)
+                    places.append(at.astype(np.int32))
+                    keys.append(signed(rolling(hashes_of(words), window // 2)[at]))
+            rows = pa.array(keep, pa.int64())
+            ids, tags = (batch.column(batch.schema.get_field_index(c)).take(rows) for c in ("doc_id", "tag"))
+            yield pa.RecordBatch.from_arrays([ids, tags, list_array(places, pa.int32()), list_array(keys, pa.int64())], ["doc_id", "tag", "places", "keys"])
+
+    return probes
+
+
+def _extended(window: int):
+    """Hashes of the whole windows around hits."""
+
+    def extended(batches):
+        for batch in batches:
+            hits, ids = batch.column(batch.schema.get_field_index("hits")), batch.column(batch.schema.get_field_index("doc_id")).to_numpy(False)
+            tags = batch.column(batch.schema.get_field_index("tag")).to_numpy(False)
+            out = [[] for _ in range(5)]
+            for i, words in _of_text(batch):
+                at = windows_around(len(words), np.unique(np.asarray(hits[i].values)), window)
+                h = hashes_of(words)
+                for col, x in zip(out, (signed(rolling(h, window, _BASE_A)[at]), signed(rolling(h, window, _BASE_B)[at]), np.full(len(at), ids[i]), at, np.full(len(at), tags[i]))):
+                    col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x) if x else [], t) for x, t in zip([*out[:4], tags_out], (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
+                [pa.array(np.concatenate(x) if x else [], t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))],
                 ["hash_a", "hash_b", "doc_id", "at", "tag"],
             )
 
-    return hashed
+    return extended
 
 
 def kept_words(words: list[bytes], windows: np.ndarray, window: int) -> list[bytes]:
@@ -135,10 +175,7 @@ def _cut(window: int, keep_text: bool):
             out = [[] for _ in range(5)]
             at, tags = batch.column(index["at"]), batch.column(index["tag"]).to_numpy(False)
             ids = batch.column(index["doc_id"]).to_numpy(False)
-            for i, text in enumerate(text_rows(batch)):
-                words = words_of(text)
-                if digest128(b" ".join(words))[0] & 0x7FFFFFFF != tags[i]:
-                    continue
+            for i, words in _of_text(batch):
                 kept = kept_words(words, np.unique(np.asarray(at[i].values)), window)
                 joined = b" ".join(kept)
                 for col, x in zip(out, (ids[i], tags[i], len(words) - len(kept), hashlib.sha256(joined).hexdigest(), joined.decode() if keep_text else None)):
@@ -151,6 +188,18 @@ def _cut(window: int, keep_text: bool):
     return cut
 
 
+def block_hits(probes: DataFrame, block: int) -> DataFrame:
+    """The hits among probes (doc_id, tag, at, key), rolling windows of block words at a place of a document, with the block's owner.
+
+    Those at multiples of block are the index. A probe hits if a document with a smaller id owns its block, and a block of the
+    index is a hit itself if a document with a greater id probes it.
+    """
+    indexed = F.col("at") % block == 0
+    index = probes.groupBy("key").agg(F.min(F.when(indexed, F.col("doc_id"))).alias("owner"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+    found = join_counted(probes, staged(index.where("owner < last"), "blocks"), "key")
+    return found.where((F.col("owner") < F.col("doc_id")) | (indexed & (F.col("doc_id") < F.col("last")))).select("doc_id", "tag", "at", "owner")
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and with keep_text kept_text.
 
@@ -167,10 +216,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         ),
         "anchors",
     )
-    light = base.drop("keys", "starts", "grid")
+    light = staged(base.drop("keys", "starts", "grid"), "texts")
     known = base.where("doc_id is not null and n_words > 0")
 
-    # Index and probes, one row for each run of rolling windows; a run at an indexed block has that in its number.
+    # The screen: one row for each run of rolling windows; a run at an indexed block has that in its number.
     runs = known.select("doc_id", "tag", F.posexplode(F.arrays_zip("keys", "grid")).alias("i", "run")).select(
         F.col("run.keys").alias("key"), "doc_id", "tag", (F.col("i") * 2 + F.col("run.grid").cast("int")).alias("run")
     )
@@ -192,7 +241,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         F.collect_list(F.when(F.col("hit"), (F.col("run") / 2).cast("int"))).alias("hits"),
     )
     # Of equal texts only the first stands for all: the others start every window of theirs in it.
-    firsts = known.groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first_doc"))
+    firsts = light.where("doc_id is not null and n_words > 0").groupBy("text_a", "text_b").agg(F.min("doc_id").alias("first_doc"))
     marked = light.join(firsts, ["text_a", "text_b"], "left")
     distinct = (
         known.where(F.size("keys") > 0)
@@ -204,12 +253,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     )
     span = window - window // 2 + 1
     candidates = distinct.where(F.size("shared") * (window // 2) >= span).where(F.size("hits") > 0)
-    windows = staged(
+    probes = staged(
         docs.join(candidates.select("doc_id", "tag", "starts", "shared", "hits"), "doc_id").mapInArrow(
-            _window_hashes(window), "hash_a long, hash_b long, doc_id long, at int, tag int"
+            _probes(window), "doc_id long, tag int, places array<int>, keys array<long>"
         ),
-        "windows",
+        "probes",
     )
+    drop_staged(base, live, hot)
+
+    # Probes meet the index, and hits are extended.
+    probed = probes.select("doc_id", "tag", F.explode(F.arrays_zip("places", "keys")).alias("p")).select("doc_id", "tag", F.col("p.places").alias("at"), F.col("p.keys").alias("key"))
+    hits = block_hits(probed, window // 2).groupBy("doc_id", "tag").agg(F.collect_list("at").alias("hits"))
+    windows = staged(docs.join(hits, "doc_id").mapInArrow(_extended(window), "hash_a long, hash_b long, doc_id long, at int, tag int"), "windows")
+    drop_staged(probes)
     origin = windows.groupBy("hash_a", "hash_b").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
     origin = staged(origin.where("origin < last").drop("last"), "origins")
     hot = small_or_not(staged(origin.where(F.col("n") > HOT_RUNS).drop("n"), "hot-windows"))
