@@ -4,14 +4,15 @@ Every word occurrence starts a suffix, the up to max_n words from it on within i
 them, shuffled by language and first word and sorted in reverse, so that all that share a beginning follow one another: one stack of max_n open
 beginnings counts them all in one reading, batch by batch. The counts of beginnings are the counts of all phrases; phrases then meet their parts by joins.
 
-A suffix ends early where it can't be part of a frequent phrase: where a word or a pair of neighbours is rarer than least. Which are is known from
-a first reading that sums up hashes of words and pairs; those with enough occurrences set bits of a map, shared with all tasks. Hashes that fall
-together, and bits set by others, only let a suffix go on needlessly, so no phrase is lost and every count stays exact. The map has SCREEN_BITS bits
-for each frequent hash, MOST_BITS (128 MiB) at most: beyond some 100 million frequent words and pairs it lets more and more through, which costs shuffle only.
+A suffix ends early where it can't be part of a frequent phrase: where a word, a pair or a triple of neighbours is rarer than least. Which are is known from
+earlier readings that sum up hashes, first of words and pairs, then of triples whose pairs are frequent; those with enough occurrences set bits of a map,
+shared with all tasks. Hashes that fall together, and bits set by others, only let a suffix go on needlessly, so no phrase is lost and every count stays
+exact. A map has SCREEN_BITS bits for each frequent hash, MOST_BITS (128 MiB) at most: beyond some 100 million frequent words and pairs it lets more
+and more through, which costs shuffle only.
 
-A first word with more than HOT suffixes (or one in 100,000 of all, if more) is dealt out by the rest of the suffix, and its parts are summed
-up afterwards. Phrases meet parts by join_counted: those with a part that very many share find it by broadcast. The last rank of each language is taken
-from the best of 16 parts, theirs from 1,024.
+The suffixes of a first word with more than HOT rows (or one in HOT_KEYS of all, if more) are dealt out by their second word, and those of such a pair by the
+rest; what was parted so is summed up afterwards. Phrases meet parts by join_counted: those with a part that very many share find it by broadcast. The
+last rank of each language is taken from the best of 16 parts, theirs from 1,024.
 
 Defined results: a null lang is `und`, and so is one that is written so. Null and empty texts have no words. Repeated rows count each. doc_id
 plays no part, and extra columns are ignored. Ties are settled to the last by the phrase itself. An empty table gives an empty result. A long text
@@ -42,7 +43,8 @@ RUN_WORDS = 400_000
 HELD = 400_000
 SCREEN_BITS = 16
 MOST_BITS = 1 << 30
-HOT = 10_000
+HOT = 5_000
+HOT_KEYS = 10_000
 
 #: Stands between pieces: no word has this byte, since it isn't UTF-8.
 GAP = b"\xff"
@@ -97,29 +99,54 @@ def runs_of(batches, context: int):
         yield lang, *run.end()
 
 
-def hashed(lang: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each word and of each pair of neighbours, and where gaps are."""
+def grams(lang: str, words: list[bytes], longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where words are gaps, and hashes of the 1, 2, .. longest words from each on."""
     gaps = np.fromiter(map(GAP.__eq__, words), bool, len(words))
     h = hashes_of(words) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))
-    return mixed(h), mixed(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]), gaps
+    out, so_far = [], np.zeros(len(h) + 1, np.uint64)
+    for k in range(longest):
+        so_far = so_far[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k:]
+        out.append(mixed(so_far + np.uint64(k)))
+    return gaps, out
 
 
-def hash_counts(docs: DataFrame) -> DataFrame:
-    """lang, n: words by language; hash, n: occurrences of words and pairs, parts by task."""
+def possible(gaps: np.ndarray, hashes: list[np.ndarray], screens: list[Screen]) -> list[np.ndarray]:
+    """Whether the 1, 2, .. words from each on may be frequent: they are in the screen of their number, and so is all within them.
+
+    There is one more than there are screens, where hashes has it.
+    """
+    out = [~gaps]
+    for k, h in enumerate(hashes):
+        if k:
+            out.append(out[-1][:-1] & out[-1][1:])
+        if k == len(screens):
+            break
+        at = np.flatnonzero(out[k])
+        out[k][at] = screens[k].has(h[at])
+    return out
+
+
+def hash_counts(docs: DataFrame, shared: list, k: int) -> DataFrame:
+    """hash, n: occurrences of the k words from each word on (k = 2: of words, too), summed by hash; lang, n: words by language, with k = 2.
+
+    shared holds a screen for each smaller number of words, none for k = 2.
+    """
 
     def counts(batches):
         total: Counter[str] = Counter()
+        screens = [Screen(bits.value) for bits in shared]
         held, size = [], 0
 
         def handed_on():
-            hashes, n = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            n = np.bincount(n, np.concatenate([c for _, c in held])).astype(np.int64)
+            hashes, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([c for _, c in held])).astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array(signed(hashes)), pa.array(n)], ["lang", "hash", "n"])
 
-        for lang, words, starts in runs_of(batches, 1):
-            word, pair, gap = hashed(lang, words)
-            total[lang] += int((~gap[:starts]).sum())
-            keys = np.concatenate([word[:starts][~gap[:starts]], pair[:starts][~(gap[:-1] | gap[1:])[:starts]]])
+        for lang, words, starts in runs_of(batches, k - 1):
+            gaps, hashes = grams(lang, words, k)
+            ok = possible(gaps, hashes, screens) if screens else [~gaps, ~(gaps[:-1] | gaps[1:])]
+            total[lang] += int((~gaps[:starts]).sum())
+            keys = np.concatenate([h[:starts][o[:starts]] for h, o in zip(hashes[k - 1 if screens else 0 :], ok[k - 1 if screens else 0 :])])
             held.append(np.unique(keys, return_counts=True))
             size += len(held[-1][0])
             if size >= 4 * HELD:
@@ -127,7 +154,8 @@ def hash_counts(docs: DataFrame) -> DataFrame:
                 held, size = [], 0
         if held:
             yield handed_on()
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "hash", "n"])
+        if not screens:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.nulls(len(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["lang", "hash", "n"])
 
     return docs.mapInArrow(counts, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
 
@@ -159,13 +187,12 @@ def screen_of(frequent: DataFrame) -> Screen:
     return Screen(bits)
 
 
-def suffix_counts(docs: DataFrame, screen: Screen, longest: int) -> DataFrame:
-    """lang, w1 .. w<longest>, n: occurrences of suffixes, as long as the screen lets them go on; parts by task."""
+def suffix_counts(docs: DataFrame, shared: list, longest: int) -> DataFrame:
+    """lang, w1 .. w<longest>, n: occurrences of suffixes, as long as the screens let them go on; parts by task."""
     names = ["lang", *(f"w{i}" for i in range(1, longest + 1)), "n"]
-    shared = docs.sparkSession.sparkContext.broadcast(screen.bits)
 
     def counts(batches):
-        seen = Screen(shared.value)
+        screens = [Screen(bits.value) for bits in shared]
         single: defaultdict[str, Counter] = defaultdict(Counter)
         longer: defaultdict[str, Counter] = defaultdict(Counter)
 
@@ -178,17 +205,11 @@ def suffix_counts(docs: DataFrame, screen: Screen, longest: int) -> DataFrame:
             longer.clear()
 
         for lang, words, starts in runs_of(batches, longest - 1):
-            word, pair, gap = hashed(lang, words)
-            ok = seen.has(word) & ~gap
-            goes_on = seen.has(pair) & ok[:-1] & ok[1:]
-            length = ok[:starts].astype(np.int64)
-            on = ok[:starts].copy()
-            for i in range(1, longest):
-                step = np.zeros(starts, bool)
-                there = goes_on[i - 1 : i - 1 + starts]
-                step[: len(there)] = there
-                on &= step
-                length += on
+            gaps, hashes = grams(lang, words, longest)
+            # A suffix of k words is possible only where its beginnings are, so their number is its length.
+            length = np.zeros(starts, np.int64)
+            for ok in possible(gaps, hashes, screens):
+                length[: len(ok)] += ok[:starts]
             single[lang].update(compress(words, length == 1))
             at = np.flatnonzero(length > 1)
             longer[lang].update(tuple(words[i : i + k]) for i, k in zip(at.tolist(), length[at].tolist()))
@@ -205,14 +226,14 @@ class Stack:
 
     def __init__(self, longest: int):
         self.longest = longest
-        self.open: list[tuple | None] = [None] * (longest + 1)  # at k: (lang, salts, salt, k words), count
+        self.open: list[tuple | None] = [None] * (longest + 1)  # at k: (lang, salt, parted, k words), count
 
     def read(self, batch: pa.RecordBatch):
-        """Arrays of lang, salts, phrase, k and count for the beginnings that a batch closes."""
+        """Arrays of lang, parted, phrase, k and count for the beginnings that a batch closes."""
         n = len(batch)
         column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
         counts = np.asarray(column["n"])
-        head = ("lang", "salts", "salt")
+        head = ("lang", "salt")
         differs = np.zeros(n, bool)
         differs[0] = True
         there = np.ones(n, bool)
@@ -232,7 +253,7 @@ class Stack:
 
     def _close(self, k: int, rows: pa.RecordBatch, total: np.ndarray, starts: bool, ends: bool):
         """The beginnings of k words that a batch closes; the last stays open if the batch ends within it."""
-        names = ("lang", "salts", "salt", *(f"w{i}" for i in range(1, k + 1)))
+        names = ("lang", "salt", "parted", *(f"w{i}" for i in range(1, k + 1)))
         key = lambda i: tuple(rows.column(rows.schema.get_field_index(c))[i].as_py() for c in names)
         before, self.open[k] = self.open[k], None
         if before and starts and len(total) and key(0) == before[0]:
@@ -252,28 +273,31 @@ class Stack:
                 yield self._arrays(k, [pa.array([v]) for v in held[0]], np.array([held[1]]))
 
     def _arrays(self, k: int, key: list, total: np.ndarray):
-        lang, salts, _, *words = key
-        return lang, salts, pc.binary_join_element_wise(*words, " ") if k > 1 else words[0], k, total
+        lang, _, parted, *words = key
+        return lang, parted, pc.binary_join_element_wise(*words, " ") if k > 1 else words[0], k, total
 
 
 def beginning_counts(suffixes: DataFrame, longest: int, least: int) -> DataFrame:
     """lang, phrase, k, n: all beginnings of suffixes (a staged table) that occur least times."""
     words = [f"w{i}" for i in range(1, longest + 1)]
-    by_first = staged(suffixes.groupBy("lang", "w1").agg(F.count(F.lit(1)).alias("rows")), "first-words")
-    limit = max(HOT, suffixes.count() // 100_000)
-    hot = by_first.where(F.col("rows") > limit).select("lang", "w1", F.ceil(F.col("rows") / limit).cast("int").alias("salts"))
-    rest = F.pmod(F.xxhash64(*words[1:]), F.col("salts")).cast("int")
-    dealt = suffixes.join(F.broadcast(hot), ["lang", "w1"], "left").withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", rest)
-    order = ["lang", "w1", "salts", "salt", *(F.col(w).desc() for w in words[1:])]
+    limit = max(HOT, suffixes.count() // HOT_KEYS)
+    held = lambda *by: suffixes.groupBy("lang", *by).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > limit)
+    hot = held("w1").select("lang", "w1", F.ceil(F.col("rows") / limit * 2).cast("int").alias("salts"))
+    hot_pairs = held("w1", "w2").where("w2 is not null").select("lang", "w1", "w2", F.lit(True).alias("by_rest"))
+    dealt = suffixes.join(F.broadcast(staged(hot, "hot-words")), ["lang", "w1"], "left").join(F.broadcast(staged(hot_pairs, "hot-pairs")), ["lang", "w1", "w2"], "left")
+    salt = F.when(F.col("by_rest"), F.xxhash64(*words[1:])).otherwise(F.xxhash64("w2"))
+    dealt = dealt.withColumn("salt", F.coalesce(F.pmod(salt, F.col("salts")).cast("int"), F.lit(0)))
+    # Up to how many words a beginning may have rows elsewhere, too.
+    dealt = dealt.withColumn("parted", F.when(F.col("by_rest"), longest - 1).when(F.col("salts").isNotNull(), 1).otherwise(0)).drop("by_rest", "salts")
+    order = ["lang", "w1", "salt", *(F.col(w).desc() for w in words[1:])]
     ordered = dealt.repartition("lang", "w1", "salt").sortWithinPartitions(*order)
 
     def counted(batches):
         stack = Stack(longest)
 
         def rows(closed):
-            for lang, salts, phrase, k, total in closed:
-                # Where a first word is dealt out only whole suffixes lie together.
-                keep = (total >= least) | ((np.asarray(salts) > 1) & (k < longest))
+            for lang, parted, phrase, k, total in closed:
+                keep = (total >= least) | (k <= np.asarray(parted))
                 batch = pa.RecordBatch.from_arrays([lang, phrase, pa.array(np.full(len(total), k, np.int32)), pa.array(total)], ["lang", "phrase", "k", "n"])
                 yield batch.filter(pa.array(keep))
 
@@ -298,10 +322,14 @@ def _part(first: Column | int, size: Column | int) -> Column:
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, top: int = TOP) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two to longest words."""
     texts = docs.select("lang", "text")
-    sums = staged(hash_counts(texts), "word-hashes")
-    totals = sums.where("hash is null").select(F.col("lang"), F.col("n").alias("n"))
-    screen = screen_of(staged(sums.where(F.col("hash").isNotNull() & (F.col("n") >= least)).select("hash"), "frequent"))
-    suffixes = staged(suffix_counts(texts, screen, longest), "suffixes")
+    shared: list = []
+    for k in range(2, max(longest, 3)):
+        sums = staged(hash_counts(texts, shared, k).where(F.col("hash").isNull() | (F.col("n") >= least)), f"frequent-{k}")
+        bits = docs.sparkSession.sparkContext.broadcast(screen_of(sums.where("hash is not null")).bits)
+        if k == 2:  # words and pairs share one screen
+            totals, shared = sums.where("hash is null").select("lang", "n"), [bits]
+        shared.append(bits)
+    suffixes = staged(suffix_counts(texts, shared, longest), "suffixes")
     counts = staged(beginning_counts(suffixes, longest, least), "phrases")
 
     phrases = counts.where("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"))
