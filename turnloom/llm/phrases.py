@@ -1,11 +1,11 @@
 """Phrases that occur often, by sorted suffixes: counted, scored against their parts, freed of what longer ones explain.
 
 Every word occurrence starts a suffix, the up to max_n words from it on within its piece of text. Equal suffixes are summed in the task that finds
-them, shuffled by language and first word and sorted in reverse, so that all that share a beginning follow one another: one stack of max_n open
+them and then over all tasks, shuffled by language and first word and sorted in reverse, so that all that share a beginning follow one another: one stack of max_n open
 beginnings counts them all in one reading, batch by batch. The counts of beginnings are the counts of all phrases; phrases then meet their parts by joins.
 
-A suffix ends early where it can't be part of a frequent phrase: where a run of neighbours is rarer than least. Which are is known from earlier
-readings that sum up hashes, first of words and pairs, then of triples whose pairs are frequent, and so on to max_n; those with enough occurrences set
+A suffix ends early where it can't be part of a frequent phrase: where a run of fewer than max_n neighbours is rarer than least. Which are is known from
+earlier readings that sum up hashes, first of words and pairs, then of triples whose pairs are frequent, and so on; those with enough occurrences set
 bits of a map, shared with all tasks. Hashes that fall together, and bits set by others, only let a suffix go on needlessly, so no phrase is lost and every count stays
 exact. A map has SCREEN_BITS bits for each frequent hash, MOST_BITS (128 MiB) at most: beyond some 100 million frequent words and pairs it lets more
 and more through, which costs shuffle only.
@@ -323,13 +323,14 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, co
     """lang, rank, phrase, a, l, r, n, score: each language's best phrases of two to longest words."""
     texts = docs.select("lang", "text")
     shared: list = []
-    for k in range(2, longest + 1):
+    for k in range(2, max(longest, 3)):
         sums = staged(hash_counts(texts, shared, k).where(F.col("hash").isNull() | (F.col("n") >= least)), f"frequent-{k}")
         bits = docs.sparkSession.sparkContext.broadcast(screen_of(sums.where("hash is not null")).bits)
         if k == 2:  # words and pairs share one screen
             totals, shared = sums.where("hash is null").select("lang", "n"), [bits]
         shared.append(bits)
-    suffixes = staged(suffix_counts(texts, shared, longest), "suffixes")
+    words = [f"w{i}" for i in range(1, longest + 1)]
+    suffixes = staged(suffix_counts(texts, shared, longest).groupBy("lang", *words).agg(F.sum("n").alias("n")), "suffixes")
     counts = staged(beginning_counts(suffixes, longest, least), "phrases")
 
     phrases = counts.where("k > 1").select("lang", "phrase", "k", F.col("n").alias("a"))
