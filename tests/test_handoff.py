@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from turnloom.operators import handoff, metrics, pairing, windows
+from turnloom.operators import handoff, metrics, pairing, telling, windows
 from turnloom.plans import modes
 from turnloom.sources import landmarks
 
@@ -51,28 +51,47 @@ def test_documents_of_sentences_and_every_fallback(spark):
     assert d["e"].speech is None and d["e"].visual is None and d["e"].nonverbal is None and d["e"].transcript_chars == 9
 
     block = a.prompt_block
-    heads = [line for line in block if line.startswith("[")]
-    assert heads == ["[Speech as measured: 12.00 s in 2 windows]", "[Sight as measured]", "[Behaviour: 2 readings]", "[Where delivery changes]", "[Rules]"]
+    heads = [line for line in block if line.startswith("#")]
+    assert heads == ["## How to read this", "## Moments that stand out", "## States over the turn", "## Voice", "## Body"]
     assert block[0] == heads[0] and all(block[block.index(h) - 1] == "" for h in heads[1:]) and block.count("") == 4
-    assert "- Loudness: second half +0.00 dB against the first, it holds" in block and "- Pauses: 3 of 0.25 s or more, 6 shorter ones, median 0.20 s" in block
-    assert any("Caution: a face in 40%" in line for line in block) and any("wrists in 10% of frames" in line for line in block)
-    assert '- (0-4 s) "First one.": energy -2.0 dB, 2 pauses, nervous' in block and "- States: nervous 50%, neutral 50%; mean intensity 0.40" in block
-    assert [line for line in d["e"].prompt_block if line.startswith("[")] == ["[Rules]"]
-    assert "First one" not in a.prompt and "\n" not in a.prompt and "Changes: (0-4 s): energy -2.0 dB" in a.prompt and a.prompt.endswith("alone.")
-    assert d["e"].prompt == "Judge content by what you heard, delivery by these measures alone."
+    assert "* Volume stays level: +0.00 dB from one half to the other" in block and "* Silences: 3 pauses from 0.25 s up and 6 below" in block
+    assert "* At the median a silence lasts 0.20 s" in block and "* Only 40% of frames show a face" in block and "* Arms unknown: wrists shown in 10% of frames" in block
+    assert "* 0 to 4 s: nervous, 2 pauses, volume -2.0 dB | First one." in block and "* nervous 50%, neutral 50%; intensity 0.40" in block
+    assert [line for line in d["e"].prompt_block if line.startswith("#")] == ["## How to read this"]
+    assert "First one" not in a.prompt and "\n" not in a.prompt and a.prompt.endswith("moments: 0 to 4 s: nervous, 2 pauses, volume -2.0 dB")
+    assert d["e"].prompt == ""
 
 
 def test_lines_say_what_cannot_be_told(spark):
     whisper = VOCAL | {"sd_semitone": None, "voiced_ratio": 0.05, "syllable_nuclei": 0, "half_to_half_delta_db": 3.0}
     unseen = VISUAL | {"face_frames": 10, "face_seen_ratio": 0.0}
     d = handoff.turn_documents(*tables(spark, [("a", 1.0, "x")], evals=[("a", 0.0, whisper, unseen)])).first()
-    assert any("too little voice" in line and "5% voiced" in line for line in d.prompt_block) and any("no voiced syllables" in line for line in d.prompt_block)
-    assert "- No face seen: nothing to judge expression or gaze by" in d.prompt_block and not any("Smile" in line for line in d.prompt_block)
-    assert any(line.endswith("it rises") for line in d.prompt_block)
-    short = handoff.prompt_fragment(*(F.col(c) for c in ("speech", "visual", "nonverbal", "highlights", "articulation_mean")), 30)
+    assert "* Melody unknown: whispered, 5% voiced" in d.prompt_block and any(line.startswith("* Tempo unknown") for line in d.prompt_block)
+    assert "* Face unknown: none in any frame" in d.prompt_block and not any("smile" in line for line in d.prompt_block)
+    assert "* Volume goes up: +3.00 dB from one half to the other" in d.prompt_block
+    short = telling.prompt_fragment(*(F.col(c) for c in ("speech", "visual", "nonverbal", "highlights", "articulation_mean")), 30)
     assert len(handoff.turn_documents(*tables(spark, [("a", 1.0, "x")], evals=[("a", 0.0, VOCAL, VISUAL)])).select(short.alias("p")).first().p) == 30
 
 
+def test_fingers_are_told_where_hands_are_watched(spark):
+    lines = lambda n, seen, fingers: [
+        x for x in spark.createDataFrame([(n, seen, fingers)], "hand_frames long, hand_seen_ratio double, finger_sequence array<int>").select(
+            telling.facts(telling.HANDS, F.struct("hand_frames", "hand_seen_ratio", "finger_sequence"), False).alias("x")
+        ).first().x
+    ]
+    assert lines(9, 0.5, [3, 2, 5]) == ["Fingers held up, in turn: 3, 2, 5"]
+    assert lines(9, 0.0, []) == ["Fingers unknown: no hand in any frame"] and lines(0, 0.0, None) == [] and lines(9, 0.5, []) == []
+
+
+def test_halves_are_rounded_up(spark):
+    """The mean and the shares of hundredths that lie half-way, whatever the doubles make of them."""
+    rows = [("a", i, "engaged", v, "") for i, v in enumerate((0.48, 0.49))] + [("b", i, "engaged" if i else "neutral", 0.01 * (i == 0), "") for i in range(200)]
+    nv = spark.createDataFrame(rows, "session_id string, k int, state string, intensity double, note string")
+    r = {x.session_id: x.nonverbal for x in handoff.nonverbal_rollup(nv, ["session_id"], "k").collect()}
+    assert r["a"].intensity_mean == 0.49 and r["b"].intensity_mean == 0.0
+    assert [(x.state, x.share) for x in r["b"].states] == [("engaged", 1.0), ("neutral", 0.01)]
+
+
 def test_rows_of_detectors(spark):
     blend = {"mouthSmileLeft": 0.2, "mouthSmileRight": 0.4, "eyeLookInLeft": 0.7, "eyeLookUpLeft": 0.9, "eyeBlinkLeft": 1.0}
     face = spark.createDataFrame([(1, blend, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0], [[i / 100, 0.5, 9.0] for i in range(300)]), (2, None, None, None)], "t int, blendshapes map<string,double>, matrix array<double>, points array<array<double>>")

@@ -12,13 +12,14 @@ from turnloom.operators import pairing as p
 
 
 def test_blinks_and_smiles(spark):
-    data = [("w", i, b, s, True) for i, (b, s) in enumerate(zip((0.1, 0.7, 0.2, 0.9, 0.4, 0.6), (0.0, 0.3, 0.6, 0.1, 0.5, 0.0)))]
+    smiles = (0.9, 0.05, 0.25, 0.45, 0.15, 0.35, 0.8, 0.02)
+    data = [("w", i, b, s, True) for i, (b, s) in enumerate(zip((0.8, 0.95, 0.05, 0.3, 0.55, 0.85, 0.15, 0.99), smiles))]
     df = spark.createDataFrame(data, "w string, t int, blink double, smile double, face boolean")
-    assert m.crossings(df, ["w"], "t", "blink").first().crossings == 3
+    assert m.crossings(df, ["w"], "t", "blink").first().crossings == 3  # the first row, the fifth and the last
     full = df.withColumns({c: F.lit(0.0) for c in ("brow_down", "press", "gaze_off", "pitch")} | {"yaw": F.col("smile")})
     r = m.face_measures(full, ["w"]).first()
-    assert (r.face_frames, r.face_seen_ratio, r.smile_ratio, r.smile_max) == (6, 1.0, 0.5, 0.6)
-    assert math.isclose(r.yaw_std_deg, statistics.pstdev((0.0, 0.3, 0.6, 0.1, 0.5, 0.0)))
+    assert (r.face_frames, r.face_seen_ratio, r.smile_ratio, r.smile_max) == (8, 1.0, sum(s > 0.2 for s in smiles) / 8, 0.9)
+    assert math.isclose(r.yaw_std_deg, statistics.pstdev(smiles))
 
 
 def segments(counts, step, least):
@@ -40,21 +41,21 @@ def segments(counts, step, least):
 
 def test_stable_segments(spark):
     rng = random.Random(3)
-    lists = [[3] * 10 + [4] + [0] * 6 + [2] * 10 + [1] * 2 + [5] * 10] + [[rng.randrange(3) for _ in range(40)] for _ in range(5)]
+    lists = [[1] * 7 + [5, 5] + [4] * 9 + [0] + [4] * 3 + [2] * 8] + [[rng.randrange(3) for _ in range(40)] for _ in range(5)]
     df = spark.createDataFrame([(k, i * 10, c) for k, cs in enumerate(lists) for i, c in enumerate(cs)], "k int, t int, c int")
     got = sorted(tuple(r) for r in m.stable_segments(df, ["k"], "t", "c", 40).collect())
     assert got == sorted((k, *s) for k, cs in enumerate(lists) for s in segments(cs, 10, 40))
-    assert [s[1] for s in sorted(got, key=lambda s: s[2]) if s[0] == 0] == [3, 0, 2, 5]
+    assert [s[1] for s in sorted(got, key=lambda s: s[2]) if s[0] == 0] == [1, 4, 2]
 
 
 def test_pose_wrists(spark):
     cols = "k int, t int, sh_w double, sh_x double, sh_y double, nose_x double, nose_y double, lx double, ly double, lv double, rx double, ry double, rv double"
-    still = [(0, i, 0.2, 0.5, 0.5, 0.5, 0.4, 0.1, 0.1, 0.1, 0.9, 0.1, 0.1) for i in range(3)]
-    moved = [(1, i, 0.2, 0.5, 0.5, 0.5, 0.4, 0.1 + 0.08 * i, 0.1, 0.9, 0.9, 0.1, 0.1) for i in range(3)]
-    one = [(2, 0, 0.2, 0.5, 0.5, 0.5, 0.4, 0.1, 0.1, 0.9, 0.9, 0.1, 0.1)]
+    still = [(0, i, 0.5, 0.3, 0.6, 0.3, 0.2, 0.7 + 0.05 * i, 0.8, 0.3, 0.6, 0.8 - 0.1 * i, 0.2) for i in range(4)]
+    moved = [(1, i, 0.5, 0.3, 0.6, 0.3, 0.2, 0.7, 0.8, 0.2, 0.6, 0.8 - 0.15 * i, 0.7) for i in range(4)]
+    one = [(2, 0, 0.5, 0.3, 0.6, 0.3, 0.2, 0.7, 0.8, 0.6, 0.6, 0.8, 0.6)]
     r = {x.k: x for x in m.pose_measures(spark.createDataFrame(still + moved + one, cols), ["k"], "t").collect()}
     assert (r[0].wrist_visible, r[0].wrist_motion, r[0].gesture_events) == (0.0, 0.0, 0)
-    assert math.isclose(r[1].wrist_motion, 0.4) and r[1].gesture_events == 2
+    assert math.isclose(r[1].wrist_motion, 0.3) and r[1].gesture_events == 3
     assert r[2].pose_frames == 1 and r[2].posture_std is None
 
 
@@ -95,13 +96,13 @@ def vocal_rows(spark, *rows):
 def test_vocal_rollup_sums_before_it_divides(spark):
     rows = vocal_rows(
         spark,
-        vocal(duration_s=4.0, syllable_nuclei=24, phonation_s=4.0, sd_semitone=2.0, voiced_frames=100, voiced_ratio=0.5, pause_count=1, juncture_count=1, juncture_median_s=0.2, longest_pauses_s=[0.5, 0.3], half_to_half_delta_db=-2.0, sounding_trough_db=-20.0),
-        vocal(duration_s=8.0, syllable_nuclei=40, phonation_s=8.0, sd_semitone=4.0, voiced_frames=300, voiced_ratio=0.8, pause_count=0, juncture_count=0, juncture_median_s=9.0, longest_pauses_s=[0.9], half_to_half_delta_db=1.0, sounding_trough_db=-30.0),
+        vocal(duration_s=5.0, syllable_nuclei=15, phonation_s=3.0, sd_semitone=2.0, voiced_frames=100, voiced_ratio=0.5, pause_count=1, juncture_count=1, juncture_median_s=0.2, longest_pauses_s=[0.5, 0.3], half_to_half_delta_db=-2.0, sounding_trough_db=-20.0),
+        vocal(duration_s=10.0, syllable_nuclei=51, phonation_s=9.0, sd_semitone=4.0, voiced_frames=300, voiced_ratio=0.8, pause_count=0, juncture_count=0, juncture_median_s=9.0, longest_pauses_s=[0.9], half_to_half_delta_db=1.0, sounding_trough_db=-30.0),
         vocal(duration_s=1.0, voiced_ratio=0.1),
     )
     r = h.vocal_rollup(rows, ["session_id"]).first()
-    assert (r.windows, r.syllable_nuclei, r.voiced_frames, r.pause_count) == (3, 64, 400, 1)
-    assert math.isclose(r.articulation_rate, 64 / 12) and math.isclose(r.sd_semitone, 3.5) and math.isclose(r.voiced_ratio, 0.7)
+    assert (r.windows, r.syllable_nuclei, r.voiced_frames, r.pause_count) == (3, 66, 400, 1)
+    assert math.isclose(r.articulation_rate, 66 / 12) and math.isclose(r.sd_semitone, 3.5) and math.isclose(r.voiced_ratio, 0.7)
     assert math.isclose(r.juncture_median_s, 0.2) and r.longest_pauses_s == [0.9, 0.5, 0.3] and r.half_to_half_delta_db == 0.0 and r.sounding_trough_db == -30.0
     whisper = h.vocal_rollup(vocal_rows(spark, vocal(duration_s=2.0, voiced_ratio=0.1, voiced_frames=2)), ["session_id"]).first()
     assert whisper.voiced_ratio == 0.1 and whisper.voiced_frames is None and whisper.sd_semitone is None

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from turnloom.operators import chains
 from turnloom.operators import windows as w
 
 
@@ -51,6 +52,43 @@ def test_rate_limit_follows_the_last_kept_row(spark):
     assert got(w.rate_limited(rows(spark, data), 37), "session_id", "t_us") == sorted(want)
 
 
+def test_throttle_and_trigger_across_stretches(spark, monkeypatch):
+    """Long walks over dense and sparse rows, ties and nulls, in stretches far shorter than a session, against plain loops."""
+    monkeypatch.setattr(chains, "STRETCH_US", 100)
+    rng = random.Random(8)
+    data, batches = [], []
+    for s in ("dense", "sparse", None):
+        t, seq = 0, 0
+        for _ in range(300):
+            t += rng.choice((0, 1, 2, 5)) if s == "dense" else rng.choice((0, 3, 20, 36, 37, 38, 250))
+            data.append((s, seq, t, "frame"))
+            batches.append((s, seq, rng.choice((0, 1, 1, 3)), t))
+            seq += 1
+    kept, closed = [], []
+    for s in ("dense", "sparse", None):
+        gate = None
+        for t in sorted({r[2] for r in data if r[0] == s}):
+            if gate is None or t + 1 >= gate:
+                kept.append((s, t))
+                gate = t + 37
+        anchor = pending = 0
+        for _, _, n, e in (b for b in batches if b[0] == s):
+            pending += n
+            if e > anchor and (pending >= 9 or e - anchor >= 37):
+                closed.append((s, anchor, e))
+                anchor, pending = e, 0
+    by = lambda r: tuple(str(x) if i == 0 else x for i, x in enumerate(r))
+    got_kept = [tuple(r) for r in w.rate_limited(rows(spark, data), 37).collect()]
+    assert sorted(got_kept, key=by) == sorted(kept, key=by)
+    b = spark.createDataFrame(batches, "session_id string, seq long, n long, last_end_us long")
+    assert sorted((tuple(r) for r in w.count_or_span(b, 9, 37).collect()), key=by) == sorted(closed, key=by)
+
+
+def test_throttle_and_trigger_of_nothing(spark):
+    assert w.rate_limited(rows(spark, []), 37).collect() == []
+    assert w.count_or_span(spark.createDataFrame([], "session_id string, seq long, n long, last_end_us long"), 4, 15).collect() == []
+
+
 def test_count_or_span_windows(spark):
     batches = spark.createDataFrame([("a", i, n, e) for i, (n, e) in enumerate([(1, 3), (2, 5), (1, 6), (1, 6), (4, 6), (1, 30), (1, 31)])], "session_id string, seq long, n long, last_end_us long")
     assert got(w.count_or_span(batches, 4, 15), "start_us", "end_us") == [(0, 6), (6, 30)]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators.folds import fold
+from turnloom.operators import chains
 
 
 def window_number(t_us: str, width_us: int) -> Column:
@@ -83,15 +83,16 @@ def interval_media(intervals: DataFrame, frames: DataFrame, sound: DataFrame, bu
 def rate_limited(rows: DataFrame, interval_us: int, tolerance_us: int = 1) -> DataFrame:
     """session_id, t_us of the rows that a greedy throttle keeps: each kept row closes the gate for interval_us.
 
-    A row counts as at the gate up to tolerance_us early. Which slot is next depends on the row kept last, so it is a fold
-    over a session's rows in their order.
+    A row counts as at the gate up to tolerance_us early. Rows of one time are one, unless nothing closes the gate. After a gap as long
+    as the gate is closed a row is kept whatever came before it.
     """
-
-    def step(gate, row):
-        closed = gate is not None and row.t_us + tolerance_us < gate
-        return (gate, ()) if closed else (row.t_us + interval_us, [(row.t_us,)])
-
-    return fold(rows.select("session_id", "t_us"), "session_id", ["t_us"], None, step, "t_us long")
+    closed = interval_us - tolerance_us
+    if closed <= 0:
+        return rows.select("session_id", "t_us")
+    placed = chains.in_stretches(rows.select("session_id", F.col("t_us").cast("long").alias("t_us")).where("t_us is not null").distinct(), "t_us", closed)
+    before = F.lag("t_us").over(Window.partitionBy("session_id", "_stretch").orderBy("t_us"))
+    placed = placed.withColumn("begins", F.coalesce(F.col("t_us") - before >= closed, F.lit(True)))
+    return chains.touched(chains.first_from(placed, "t_us", F.col("t_us") + closed, ["t_us"], "next"), ["t_us"])
 
 
 def capped(items: Column, cap: int) -> Column:
@@ -110,19 +111,38 @@ def latest(items: Column, k: Column | int) -> Column:
 def count_or_span(batches: DataFrame, most: int, span_us: int) -> DataFrame:
     """session_id, start_us, end_us of windows that close on a count or a span.
 
-    batches: session_id, seq, n, last_end_us. After each batch, if the last end lies behind the anchor and either most
-    items are pending or the span from the anchor is reached, [anchor, last end) is a window and the anchor moves there.
+    batches: session_id, seq, n (0 or more), last_end_us, which doesn't fall from one seq to the next. After each batch, if the last end lies
+    behind the anchor, at first 0, and either most items are pending or the span from the anchor is reached, [anchor, last end) is a
+    window and the anchor moves there. A batch that ends span_us or more after the one before it closes a window in any case.
     """
     typed = batches.select("session_id", *(F.col(c).cast("long").alias(c) for c in ("seq", "n", "last_end_us")))
-
-    def step(state, row):
-        anchor, pending = state
-        pending, span = pending + row.n, row.last_end_us - anchor
-        if span > 0 and (pending >= most or span >= span_us):
-            return (row.last_end_us, 0), [(anchor, row.last_end_us)]
-        return (anchor, pending), ()
-
-    return fold(typed, "session_id", ["seq"], (0, 0), step, "start_us long, end_us long")
+    # A row at 0 before the first stands for the first anchor.
+    first = typed.groupBy("session_id").agg((F.min("seq") - 1).alias("seq")).select("session_id", "seq", F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("last_end_us"))
+    key = ["last_end_us", "seq"]
+    placed = chains.in_stretches(typed.withColumn("begins", F.lit(False)).unionByName(first.withColumn("begins", F.lit(True))), "last_end_us", span_us)
+    order = Window.partitionBy("session_id", "_stretch").orderBy(*key)
+    apart = F.col("last_end_us") - F.lag("last_end_us").over(order) >= span_us
+    placed = placed.withColumn("begins", F.col("begins") | F.coalesce(apart, F.lit(True))).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    found = placed
+    for at, wanted, name in (("upto", F.col("upto") + most, "full"), ("last_end_us", F.col("last_end_us") + 1, "later"), ("last_end_us", F.col("last_end_us") + span_us, "spanned")):
+        asked = chains.first_from(placed, at, wanted, key, name).select("session_id", "_stretch", *key, name)
+        found = asked if found is placed else found.alias("f").join(asked.alias("g"), F.expr("f.session_id <=> g.session_id and f._stretch = g._stretch and f.last_end_us = g.last_end_us and f.seq = g.seq")).select("f.*", f"g.{name}")
+    begins = placed.where("_own").select("session_id", "_stretch", *key, "begins")
+    both = F.when(F.col("full").isNotNull() & F.col("later").isNotNull(), F.greatest("full", "later"))
+    linked = found.alias("f").join(begins.alias("g"), F.expr("f.session_id <=> g.session_id and f._stretch = g._stretch and f.last_end_us = g.last_end_us and f.seq = g.seq"))
+    closing = chains.touched(linked.select("f.session_id", *(f"f.{c}" for c in key), "begins", F.least(both, F.col("spanned")).alias("next")), key)
+    return between(closing)
+
+
+def between(ends: DataFrame) -> DataFrame:
+    """session_id, start_us, end_us from each of ends (session_id, last_end_us, seq) to the next of its session, found by stretches of time."""
+    placed = ends.withColumn("_b", F.expr(f"last_end_us div {chains.STRETCH_US}L"))
+    last = placed.groupBy("session_id", "_b").agg(F.max("last_end_us").alias("_last"))
+    last = last.withColumn("_last", F.lag("_last").over(Window.partitionBy("session_id").orderBy("_b")))
+    inside = placed.withColumn("_start", F.lag("last_end_us").over(Window.partitionBy("session_id", "_b").orderBy("last_end_us", "seq")))
+    joined = inside.alias("a").join(last.alias("b"), F.expr("a.session_id <=> b.session_id and a._b = b._b"))
+    start = F.coalesce("_start", "_last")
+    return joined.select("a.session_id", start.alias("start_us"), F.col("last_end_us").alias("end_us")).where("start_us is not null")
 
 
 def first_poll(deadline: Column, ends: Column, step_us: int) -> tuple[Column, Column]:

@@ -542,10 +542,10 @@ m AS (SELECT * FROM v WHERE w = CASE WHEN session_id % 3 = 0 THEN {W3} ELSE {W16
 r AS (SELECT session_id, k, n, cents, {STATE} AS state FROM v WHERE w = {W3} AND session_id % 6 = 0 AND n > 0
   UNION ALL SELECT session_id, k, n, cents, {STATE} FROM nvw WHERE session_id NOT IN (SELECT session_id FROM v WHERE w = {W3} AND session_id % 6 = 0 AND n > 0)),
 st AS (SELECT session_id, state, count(*) AS c, min(k) AS first FROM r GROUP BY ALL),
-told AS (SELECT session_id, count(*) AS readings, round(avg((cents % 100) / 100.0), 2) AS intensity_mean, list('n' || k ORDER BY k)[-3:] AS notes FROM r GROUP BY 1),
+told AS (SELECT session_id, count(*) AS readings, ((2 * sum(cents % 100) + count(*)) // (2 * count(*)))::DOUBLE / 100 AS intensity_mean, list('n' || k ORDER BY k)[-3:] AS notes FROM r GROUP BY 1),
 tx AS (SELECT session_id, string_agg('w' || first_seq, ' ' ORDER BY k) AS spoken FROM sttw GROUP BY 1),
-sp AS (SELECT session_id, count(*) AS speech_windows, sum(cents % 17)::BIGINT AS syllable_nuclei, round(sum(cents % 17) / nullif(sum(CASE WHEN cents % 4 <> 0 THEN duration_s WHEN cents % 17 > 0 THEN 2.0 END), 0), 4) AS articulation_rate,
-  sum(duration_s)::BIGINT AS face_frames, round(sum(cents % 100 / 100.0 * duration_s) / sum(duration_s), 4) AS smile_mean, count(*) FILTER (session_id % 3 = 0) AS sentences FROM m GROUP BY 1)
+sp AS (SELECT session_id, count(*) AS speech_windows, sum(cents % 17)::BIGINT AS syllable_nuclei, round(sum(cents % 17) / nullif(sum(CASE WHEN cents % 4 <> 0 THEN duration_s WHEN cents % 17 > 0 THEN 2.0 END), 0), 9) AS articulation_rate,
+  sum(duration_s)::BIGINT AS face_frames, round(sum(cents % 100 / 100.0 * duration_s) / sum(duration_s), 9) AS smile_mean, count(*) FILTER (session_id % 3 = 0) AS sentences FROM m GROUP BY 1)
 SELECT session_id, end_us AS t, CASE WHEN session_id % 2 = 0 THEN 'turn ' || session_id ELSE coalesce(spoken, '') END AS transcript, sentences, speech_windows, syllable_nuclei, articulation_rate, face_frames, smile_mean,
   readings, intensity_mean, notes, list_transform(list_sort(sts), lambda x: x.state) AS states
 FROM ends LEFT JOIN sp USING (session_id) LEFT JOIN tx USING (session_id) LEFT JOIN told USING (session_id)
@@ -555,7 +555,7 @@ def turn_document(spark, sf_dir):
     d = handoff.turn_documents(*_records(spark, sf_dir))
     return d.select(
         "session_id", "t", "transcript", F.col("sentences").cast("long").alias("sentences"), F.col("speech.windows").alias("speech_windows"), F.col("speech.syllable_nuclei").alias("syllable_nuclei"),
-        F.round("speech.articulation_rate", 4).alias("articulation_rate"), F.col("visual.face_frames").alias("face_frames"), F.round("visual.smile_mean", 4).alias("smile_mean"),
+        F.round("speech.articulation_rate", 9).alias("articulation_rate"), F.col("visual.face_frames").alias("face_frames"), F.round("visual.smile_mean", 9).alias("smile_mean"),
         F.col("nonverbal.windows").alias("readings"), F.col("nonverbal.intensity_mean").alias("intensity_mean"), F.col("nonverbal.notes").alias("notes"),
         F.transform("nonverbal.states", lambda x: x["state"]).alias("states"),
     )
