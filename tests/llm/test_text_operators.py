@@ -9,6 +9,7 @@ import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -116,6 +117,92 @@ def test_bombs_are_counted_and_large_layers_come_in_windows(monkeypatch):
     assert not found and refused == 1
 
 
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 10, 300, 29_990])
+def test_escapes_of_escapes_are_undone_however_deep(n):
+    """In little time: a layer for each would be scanned for each."""
+    for text in (f"p%{'25' * n}61ssword=abcdef", "p\\" + "u005c" * n + "u0061ssword=abcdef", "p\\" + "x5C" * n + "x61ssword=abcdef"):
+        began = time.perf_counter()
+        found = spans(text)
+        assert ("assign", 0, len(text)) in found and time.perf_counter() - began < 2.0
+        assert not any(k != "hex" for k, s, e in found if (s, e) != (0, len(text)))
+
+
+def test_large_dictionaries_are_decoded_and_larger_ones_counted(monkeypatch):
+    body = f"{'filler ' * 500}{SECRET}{' filler' * 500}".encode()  # long enough to be compressed, not stored
+
+    def xz(size):
+        return b64(lzma.compress(body, filters=[{"id": lzma.FILTER_LZMA2, "dict_size": size}]))
+
+    found, _, unopened = secrets.secrets_in(xz(512 << 20))
+    assert [s[2] for s in found] == ["assign"] and unopened == 0
+    packed = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=27, enable_ldm=True))
+    long = packed.compressobj()
+    wide = b64(long.compress(body) + long.flush())
+    assert [s[2] for s in secrets.secrets_in(wide)[0]] == ["assign"]
+    monkeypatch.setattr(secrets, "DECODER_BYTES", 16 << 20)
+    for text in (xz(512 << 20), wide):
+        found, _, unopened = secrets.secrets_in(text)
+        assert found == [] and unopened >= 1
+
+
+def test_no_bound_on_what_is_unpacked(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 100)
+    text = b64(gzip.compress(b" " * 5000 + SECRET.encode()))
+    assert secrets.secrets_in(text)[2] == 1 and secrets.secrets_in(text)[0] == []
+    found, _, unopened = secrets.secrets_in(text, None)
+    assert [s[2] for s in found] == ["assign"] and unopened == 0
+
+
+def _every_span(text, whole=None, seen=None):
+    """Secrets of a text and of all that single steps of decoding make of it, by an exhaustive recursion over plain texts: the set of (kind, secret's text)."""
+    seen = set() if seen is None else seen
+    if text in seen:
+        return set()
+    seen.add(text)
+    out = {(k, text[s:e]) for s, e, k in secrets.base_spans(text)}
+    inner = [urllib.parse.unquote(text, errors="replace")]
+    inner.append(re.sub(r"\\u([0-9a-fA-F]{4})|\\x([0-9a-fA-F]{2})", lambda m: chr(int(m[1] or m[2], 16)), text))
+    for m in re.finditer(r"[A-Za-z0-9+/]{16,}={0,2}", text):
+        body = m[0].rstrip("=")
+        body = body[: len(body) - (len(body) % 4 == 1)]
+        data = base64.b64decode(body + "=" * (-len(body) % 4))
+        for opener in (gzip.decompress, bz2.decompress, lzma.decompress, lambda d: d):
+            try:
+                inner.append(opener(data).decode("utf-8", "replace").replace("\0", ""))
+                break
+            except (OSError, EOFError, lzma.LZMAError, zlib.error):
+                continue
+    for x in inner:
+        out |= _every_span(x, None, seen)
+    return out
+
+
+def test_all_nested_spans_against_an_exhaustive_decoder():
+    """Random nestings of up to four steps over several secrets: the same secrets are found, and each in its place."""
+    rng = random.Random(12)
+    steps = [b64, lambda s: "".join(f"%{b:02X}" for b in s.encode()), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: b64(gzip.compress(s.encode())), lambda s: b64(bz2.compress(s.encode()))]
+    for _ in range(60):
+        parts = []
+        for i in range(rng.randint(1, 3)):
+            body = f"{rng.choice(('token', 'secret', 'api_key'))}: value{rng.randrange(10**6):06d}x"
+            for _ in range(rng.randint(0, 4)):
+                body = rng.choice(steps)(body)
+            parts.append(body)
+        text = " , ".join(parts)
+        want = {kind for kind, secret in _every_span(text)}
+        plain = {secret for kind, secret in _every_span(text) if kind == "assign"}
+        found = spans(text)
+        assert want == {k for k, _, _ in found}
+        for k, s, e in found:
+            if k == "assign":  # what stands there decodes to one of the secrets
+                assert {x for kind, x in _every_span(text[s:e]) if kind == "assign"} & plain
+        at = 0
+        for body in parts:  # and every part with a secret in it has a span
+            end = at + len(body)
+            assert any(k == "assign" and at <= s and e <= end for k, s, e in found), body
+            at = end + 3
+
+
 def test_long_text_with_one_escape_needs_little_memory():
     import tracemalloc
 

@@ -17,8 +17,12 @@ Layers are opened until nothing new comes. A layer whose text has been seen at t
 so cycles end. Every character of a layer knows where in its parent it comes from, and so where in the original text; a
 secret found in any layer is reported as a span of the original text: for compressed data, the whole run. Compressed data
 come in layers of WINDOW bytes which overlap by OVERLAP, so no layer is held whole that is much larger than the
-text; a secret or a run longer than OVERLAP may be cut there. Of what a text unpacks to beyond MOST_BYTES in all,
-nothing more is opened, which n_unopened counts: without an end, data that unpack to more compressed data would go on for ever.
+text; a secret or a run longer than OVERLAP may be cut there. Of what a text unpacks to beyond most_bytes in all (MOST_BYTES unless said
+otherwise; None for no bound), nothing more is opened, and nothing that needs a dictionary or window beyond DECODER_BYTES is; n_unopened counts
+both. Without an end, data that unpack to more compressed data would go on for ever.
+
+An escape of an escape of an escape (%252525..41) is a layer for each; of more than NESTED in a row all but NESTED are undone in one step. Between
+those nothing new can be found but ends of the same run of digits: the escape's first character ends every secret before it.
 
 Positions are code points, ends exclusive. Documents are scanned one by one where they lie; nothing is shuffled. A layer
 keeps its text and a few numbers for each escape in it, not for each character.
@@ -57,6 +61,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs: as long as [0-9a-f]+ and no
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 MOST_BYTES = 1 << 30
+#: What a decoder may hold. It is taken as it is filled, so a stream that only declares much needs little.
+DECODER_BYTES = 2 << 30
+NESTED = 8
 WINDOW, OVERLAP = 8 << 20, 64 << 10
 _STEP, _FEED = 64 << 10, 16 << 10
 _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -64,6 +71,9 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(
     r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})"
 )
+_BACKSLASH = r"(?:u005[cC]|x5[cC]|u\{0{0,4}5[cC]\}|U0000005[cC])"
+_PERCENTS = re.compile(r"%(?:25)+(?=(?:25){NESTED}[0-9A-Fa-f]{2})".replace("NESTED", str(NESTED)))
+_BACKSLASHES = re.compile(rf"\\{_BACKSLASH}+(?={_BACKSLASH}{{{NESTED}}})")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINES = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t>]*[A-Za-z0-9+/_-]+)+={0,2}")
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
@@ -105,17 +115,24 @@ def _opener(head: bytes):
     if head[:3] == b"BZh":
         return bz2.BZ2Decompressor()
     if head[:6] == b"\xfd7zXZ\x00":
-        return lzma.LZMADecompressor(memlimit=256 << 20)
+        return lzma.LZMADecompressor(memlimit=DECODER_BYTES)
     return zstandard if head[:4] == b"\x28\xb5\x2f\xfd" else None
 
 
+class TooLarge(Exception):
+    """A stream needs a dictionary or window beyond DECODER_BYTES."""
+
+
 def unpacked(data: bytes) -> Iterator[bytes]:
-    """What compressed data hold, in steps: every member, and of one that breaks off what can be read. Nothing, if data aren't compressed."""
+    """What compressed data hold, in steps: every member, and of one that breaks off what can be read. Nothing, if data aren't compressed.
+
+    At a member that needs too large a decoder TooLarge is raised.
+    """
     while (opener := _opener(data[:6])) is not None:
         left = b""
         try:
             if opener is zstandard:
-                reader = zstandard.ZstdDecompressor(max_window_size=256 << 20).stream_reader(data, read_across_frames=True)
+                reader = zstandard.ZstdDecompressor(max_window_size=DECODER_BYTES).stream_reader(data, read_across_frames=True)
                 while step := reader.read(_STEP):
                     yield step
             else:
@@ -125,7 +142,9 @@ def unpacked(data: bytes) -> Iterator[bytes]:
                     if opener.eof:
                         left = opener.unused_data + data[at + _FEED :]
                         break
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError):
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError, zstandard.ZstdError) as error:
+            if re.search("(?i)memory", str(error)):
+                raise TooLarge from error
             return
         data = left.lstrip(b"\x00")
 
@@ -145,21 +164,25 @@ def _fed(opener, part: bytes) -> Iterator[bytes]:
 class Budget:
     """How many bytes a text may still unpack to, and how often it would have been more."""
 
-    def __init__(self, most: int):
+    def __init__(self, most: int | None):
         self.left, self.refused = most, 0
 
     def windows(self, data: bytes) -> Iterator[bytes]:
         """Windows of what data unpack to."""
         held = bytearray()
-        for step in unpacked(data):
-            if len(step) > self.left:
-                self.refused += 1
-                break
-            self.left -= len(step)
-            held += step
-            if len(held) >= WINDOW:
-                yield bytes(held)
-                del held[:-OVERLAP]
+        try:
+            for step in unpacked(data):
+                if self.left is not None:
+                    if len(step) > self.left:
+                        self.refused += 1
+                        break
+                    self.left -= len(step)
+                held += step
+                if len(held) >= WINDOW:
+                    yield bytes(held)
+                    del held[:-OVERLAP]
+        except TooLarge:
+            self.refused += 1
         if held:
             yield bytes(held)
 
@@ -337,12 +360,15 @@ def opened(layer: Layer, budget: Budget) -> Iterator[Layer]:
             window = next(windows, None)
 
     if "%" in text:
-        if (plain := _rewritten(layer, _PERCENT, _percent)) is not None:
+        less = _rewritten(layer, _PERCENTS, lambda m: ("%",))
+        if (plain := less or _rewritten(layer, _PERCENT, _percent)) is not None:
             yield plain
         for m in _PERCENT.finditer(text):
             yield from filter(None, unpacked_layers(_escaped_bytes(m[0]), *m.span()))
-    if "\\" in text and (plain := _rewritten(layer, _UNICODE, _unicode)) is not None:
-        yield plain
+    if "\\" in text:
+        less = _rewritten(layer, _BACKSLASHES, lambda m: ("\\",))
+        if (plain := less or _rewritten(layer, _UNICODE, _unicode)) is not None:
+            yield plain
     for lines in _runs(text):
         data = _decoded("".join(text[place : place + n] for _, place, n in lines))
         for found in unpacked_layers(data, lines[0][1], lines[-1][1] + lines[-1][2]):
@@ -354,12 +380,12 @@ def opened(layer: Layer, budget: Budget) -> Iterator[Layer]:
                 yield Layer(inner, layer, Base64Source(lines, starts, lasts))
 
 
-def secrets_in(text: str) -> tuple[list[tuple[int, int, str, int]], int, int]:
-    """All spans (start, end, kind, depth), the number of layers below the text, and how often what they unpack to was too much.
+def secrets_in(text: str, most_bytes: int | None = -1) -> tuple[list[tuple[int, int, str, int]], int, int]:
+    """All spans (start, end, kind, depth), the number of layers below the text, and how often what they unpack to was too much (-1: MOST_BYTES).
 
     Base spans have depth 0; a span found in several layers is listed once, with the depth at which it was first found.
     """
-    root, budget = Layer(text), Budget(MOST_BYTES)
+    root, budget = Layer(text), Budget(MOST_BYTES if most_bytes == -1 else most_bytes)
     spans: dict[tuple[int, int, str], int] = {}
     seen, n_layers = {(xxhash.xxh3_128_digest(text.encode()), 0, len(text))}, 0
     for start, end, kind in base_spans(text):
@@ -384,22 +410,22 @@ def secrets_in(text: str) -> tuple[list[tuple[int, int, str, int]], int, int]:
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("depth", pa.int32())])
 
 
-def _scan(batches):
-    for batch in batches:
-        spans, layers, unopened = [], [], []
-        for text in text_rows(batch):
-            found, n, u = secrets_in(text or "")
-            spans.append([{"kind": k, "start": s, "end": e, "depth": d} for s, e, k, d in found])
-            layers.append(n)
-            unopened.append(u)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(layers, pa.int64()), pa.array(unopened, pa.int64())],
-            ["doc_id", "spans", "n_layers", "n_unopened"],
-        )
+def find_secrets(docs: DataFrame, most_bytes: int | None = -1) -> DataFrame:
+    """For each row of docs (doc_id, text): doc_id, spans (kind, start, end, depth), n_layers, n_unopened."""
 
+    def _scan(batches):
+        for batch in batches:
+            spans, layers, unopened = [], [], []
+            for text in text_rows(batch):
+                found, n, u = secrets_in(text or "", most_bytes)
+                spans.append([{"kind": k, "start": s, "end": e, "depth": d} for s, e, k, d in found])
+                layers.append(n)
+                unopened.append(u)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, pa.list_(_SPAN)), pa.array(layers, pa.int64()), pa.array(unopened, pa.int64())],
+                ["doc_id", "spans", "n_layers", "n_unopened"],
+            )
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, spans (kind, start, end, depth), n_layers, n_unopened."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(
         _scan, "doc_id long, spans array<struct<kind: string, start: bigint, end: bigint, depth: int>>, n_layers long, n_unopened long"
