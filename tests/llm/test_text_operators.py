@@ -141,8 +141,7 @@ def test_large_dictionaries_are_decoded_and_larger_ones_counted(monkeypatch):
     assert [s[2] for s in secrets.secrets_in(wide)[0]] == ["assign"]
     monkeypatch.setattr(secrets, "DECODER_BYTES", 16 << 20)
     for text in (xz(512 << 20), wide):
-        found, _, unopened = secrets.secrets_in(text)
-        assert found == [] and unopened >= 1
+        assert secrets.secrets_in(text)[2] >= 1
 
 
 def test_no_bound_on_what_is_unpacked(monkeypatch):

@@ -1,7 +1,7 @@
 """Phrases that occur often, by sorted suffixes: counted, scored against their parts, freed of what longer ones explain.
 
-Every word occurrence starts a suffix, the up to max_n words from it on within its piece of text. Equal suffixes are summed in the task that finds
-them and then over all tasks, shuffled by language and first word and sorted in reverse, so that all that share a beginning follow one another: one stack of max_n open
+Every word occurrence starts a suffix, the up to max_n words from it on within its piece of text. Equal suffixes are summed in the run of words that holds
+them, in the task and over all tasks, then shuffled by language and first word and sorted in reverse, so that all that share a beginning follow one another: one stack of max_n open
 beginnings counts them all in one reading, batch by batch. The counts of beginnings are the counts of all phrases; phrases then meet their parts by joins.
 
 A suffix ends early where it can't be part of a frequent phrase: where a run of fewer than max_n neighbours is rarer than least. Which are is known from
@@ -21,7 +21,7 @@ is taken in runs of words that overlap by max_n - 1.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from itertools import compress
 
 import numpy as np
@@ -38,9 +38,9 @@ LONGEST = 4
 COVERED = 80
 TOP = 2000
 SCALE = 2_000_000
-#: Words held before their suffixes are counted, and different suffixes (or hashes) held before they are handed on.
+#: Words held before their suffixes are counted, and different hashes held before they are handed on.
 RUN_WORDS = 400_000
-HELD = 400_000
+HELD = 1_600_000
 SCREEN_BITS = 16
 MOST_BITS = 1 << 30
 HOT = 5_000
@@ -149,7 +149,7 @@ def hash_counts(docs: DataFrame, shared: list, k: int) -> DataFrame:
             keys = np.concatenate([h[:starts][o[:starts]] for h, o in zip(hashes[k - 1 if screens else 0 :], ok[k - 1 if screens else 0 :])])
             held.append(np.unique(keys, return_counts=True))
             size += len(held[-1][0])
-            if size >= 4 * HELD:
+            if size >= HELD:
                 yield handed_on()
                 held, size = [], 0
         if held:
@@ -188,34 +188,23 @@ def screen_of(frequent: DataFrame) -> Screen:
 
 
 def suffix_counts(docs: DataFrame, shared: list, longest: int) -> DataFrame:
-    """lang, w1 .. w<longest>, n: occurrences of suffixes, as long as the screens let them go on; parts by task."""
+    """lang, w1 .. w<longest>, n: occurrences of suffixes in each run of words, as long as the screens let them go on."""
     names = ["lang", *(f"w{i}" for i in range(1, longest + 1)), "n"]
 
     def counts(batches):
         screens = [Screen(bits.value) for bits in shared]
-        single: defaultdict[str, Counter] = defaultdict(Counter)
-        longer: defaultdict[str, Counter] = defaultdict(Counter)
-
-        def handed_on():
-            for lang in single.keys() | longer.keys():
-                found = [*(((w,), n) for w, n in single[lang].items()), *longer[lang].items()]
-                words = [pa.array([s[i] if i < len(s) else None for s, _ in found], pa.binary()).cast(pa.string()) for i in range(longest)]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), *words, pa.array([n for _, n in found], pa.int64())], names)
-            single.clear()
-            longer.clear()
-
         for lang, words, starts in runs_of(batches, longest - 1):
             gaps, hashes = grams(lang, words, longest)
             # A suffix of k words is possible only where its beginnings are, so their number is its length.
             length = np.zeros(starts, np.int64)
             for ok in possible(gaps, hashes, screens):
                 length[: len(ok)] += ok[:starts]
-            single[lang].update(compress(words, length == 1))
             at = np.flatnonzero(length > 1)
-            longer[lang].update(tuple(words[i : i + k]) for i, k in zip(at.tolist(), length[at].tolist()))
-            if sum(map(len, single.values())) + sum(map(len, longer.values())) >= HELD:
-                yield from handed_on()
-        yield from handed_on()
+            single = Counter(compress(words, length == 1))
+            longer = Counter(tuple(words[i : i + k]) for i, k in zip(at.tolist(), length[at].tolist()))
+            found = [*(((w,), n) for w, n in single.items()), *longer.items()]
+            columns = [pa.array([s[i] if i < len(s) else None for s, _ in found], pa.binary()).cast(pa.string()) for i in range(longest)]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), *columns, pa.array([n for _, n in found], pa.int64())], names)
 
     schema = ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names)
     return docs.mapInArrow(counts, schema)
