@@ -39,8 +39,8 @@ COVERED = 80
 TOP = 2000
 SCALE = 2_000_000
 #: Words held before their suffixes are counted, and different hashes held before they are handed on.
-RUN_WORDS = 100_000
-HELD = 200_000
+RUN_WORDS = 200_000
+HELD = 400_000
 SCREEN_BITS = 16
 MOST_BITS = 1 << 30
 HOT = 5_000
