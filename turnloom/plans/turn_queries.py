@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnloom.operators import handoff, metrics, pairing, windows
+from turnloom.operators import handoff, metrics, pairing, turns, windows
 from turnloom.sources.landmarks import face_rows, pose_rows
 from turnloom.sources.lanes import SECOND_US, audio_clock, event_lanes, first_tracks, turn_ends
 from turnloom.sources.staging import staged
@@ -590,3 +590,77 @@ def record_json(spark, sf_dir):
     w = turn_windows(spark, sf_dir)
     record = F.struct(F.lit("window").alias("type"), *w.columns)
     return w.select("session_id", "k", pairing.as_json(record).alias("line"), pairing.sse_frame(record).alias("frame"))
+
+
+# Signals with delays by number, a result in five without a reading, and every thirteenth told again.
+DEADLINE = 3 * SECOND_US
+LAST = 2**40
+NV_AT, STT_AT = f"(k + 1) * {W3}L + (k * 7 + session_id * 3) % 11 * {2 * SECOND_US // 5}L", f"(k + 1) * {W3}L + (k * 5 + session_id) % 7 * {3 * SECOND_US // 10}L"
+
+
+def turn_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The signals of operators.turns as workers would tell them of the events' windows."""
+    lanes, ends = _lanes_once(spark, sf_dir)
+    names = [c.split()[0] for c in turns.SIGNAL.split(", ")[1:]]
+    forms = dict(c.split() for c in turns.SIGNAL.split(", ")[1:])
+
+    def told(rows: DataFrame, **columns: str) -> DataFrame:
+        return rows.select("session_id", *(F.expr(columns.get(c, "null")).cast(forms[c]).alias(c) for c in names))
+
+    nv, stt = _readings(lanes, ends), _texts(lanes, ends)
+    grid, read = {"start_us": f"k * {W3}L", "window_us": str(W3)}, {"state": "state", "intensity": "intensity", "ok": "n % 5 <> 0"}
+    parts = [
+        told(nv, seq="k * 16", at_us=f"(k + 1) * {W3}L", kind="'submitted'", lane="'nonverbal'", ok="true", **grid),
+        told(stt, seq="k * 16 + 1", at_us=f"(k + 1) * {W3}L", kind="'submitted'", lane="'transcript'", ok="true", **grid),
+        told(nv, seq="k * 16 + 2", at_us=NV_AT, kind="'nonverbal'", **grid, **read),
+        told(nv.where("k % 13 = 0"), seq="k * 16 + 3", at_us=f"{NV_AT} + {5 * SECOND_US}L", kind="'nonverbal'", **grid, **read),
+        told(stt, seq="k * 16 + 4", at_us=STT_AT, kind="'transcript'", text="text", ok="n % 5 <> 0", **grid),
+        told(_evals(lanes, ends), seq="k * 16 + 5", at_us=f"(k + 1) * {W16}L + k % 3 * {SECOND_US}L", kind="'eval'", start_us=f"k * {W16}L", window_us=str(W16), text="concat('e', k)", ok="ok"),
+        told(ends, seq=f"{LAST}L", at_us="end_us", kind="'ended'", start_us="end_us", ok="true"),
+        told(ends, seq=f"{LAST + 1}L", at_us=f"end_us + session_id % 6 * {7 * SECOND_US // 10}L", kind="'tail'", text="concat('t', session_id)", ok="session_id % 4 <> 0"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+BIG = f"{4 * LAST}::HUGEINT"
+SIGNALS = f"""{FULL}{GRID[len(EV):]}, sig AS (
+  SELECT session_id, k * 16 AS seq, (k + 1) * {W3} AS at_us, 'submitted' AS kind, 'nonverbal' AS lane, k * {W3} AS start_us, {W3} AS window_us, true AS ok, NULL AS text, NULL AS state, NULL::DOUBLE AS intensity FROM nvw
+  UNION ALL SELECT session_id, k * 16 + 1, (k + 1) * {W3}, 'submitted', 'transcript', k * {W3}, {W3}, true, NULL, NULL, NULL FROM sttw
+  UNION ALL SELECT session_id, k * 16 + 2 + i, {NV_AT.replace('L', '')} + i * {5 * SECOND_US}, 'nonverbal', NULL, k * {W3}, {W3}, n % 5 <> 0, NULL, {STATE}, (cents % 100) / 100.0 FROM nvw, range(2) r(i) WHERE i = 0 OR k % 13 = 0
+  UNION ALL SELECT session_id, k * 16 + 4, {STT_AT.replace('L', '')}, 'transcript', NULL, k * {W3}, {W3}, n % 5 <> 0, 'w' || first_seq, NULL, NULL FROM sttw
+  UNION ALL SELECT session_id, k * 16 + 5, (k + 1) * {W16} + k % 3 * {SECOND_US}, 'eval', NULL, k * {W16}, {W16}, ok, 'e' || k, NULL, NULL FROM evals
+  UNION ALL SELECT session_id, {LAST + 1}, end_us + session_id % 6 * {7 * SECOND_US // 10}, 'tail', NULL, NULL, NULL, session_id % 4 <> 0, 't' || session_id, NULL, NULL FROM ends),
+s AS (SELECT sig.*, end_us, at_us * {BIG} + seq AS o, end_us * {BIG} + {LAST} AS eo FROM sig JOIN ends USING (session_id)),
+res AS (SELECT *, row_number() OVER (PARTITION BY session_id, kind, start_us ORDER BY o) AS nth FROM s WHERE kind IN ('nonverbal', 'transcript', 'tail')),
+cov AS (
+  SELECT session_id, any_value(end_us) AS end_us, {W16} * min(g) FILTER (d IS NULL) AS c
+  FROM (SELECT session_id, end_us, unnest(range(0, end_us // {W16} + 1)) AS g FROM ends) LEFT JOIN (SELECT session_id, start_us // {W16} AS g, true AS d FROM s WHERE kind = 'eval' AND ok AND o < eo) USING (session_id, g)
+  GROUP BY session_id),
+due AS (SELECT session_id, c AS start_us, end_us - c AS window_us, end_us FROM cov WHERE end_us > c AND (c = 0 OR end_us - c > {SECOND_US})),
+owed AS (SELECT session_id, lane AS kind, start_us FROM s WHERE kind = 'submitted' AND o < eo UNION ALL SELECT session_id, 'tail', NULL FROM due),
+come AS (SELECT w.session_id, r.at_us, r.o FROM owed w LEFT JOIN res r ON r.session_id = w.session_id AND r.kind = w.kind AND r.start_us IS NOT DISTINCT FROM w.start_us AND r.nth = 1),
+shut AS (
+  SELECT e.session_id, e.end_us, count(*) FILTER (c.session_id IS NOT NULL AND (c.o IS NULL OR c.at_us > e.end_us + {DEADLINE})) AS late, max(c.o) AS last
+  FROM ends e LEFT JOIN come c USING (session_id) GROUP BY e.session_id, e.end_us),
+closing AS (
+  SELECT session_id, end_us, late, CASE WHEN late > 0 THEN (end_us + {DEADLINE} + 1) * {BIG} - 1 ELSE greatest(end_us * {BIG} + {LAST}, coalesce(last, 0)) END AS co FROM shut),
+kept AS (SELECT res.*, co FROM res JOIN closing USING (session_id) WHERE nth = 1 AND o <= co AND (kind <> 'tail' OR session_id IN (SELECT session_id FROM due))),
+pair AS (
+  SELECT session_id, start_us, bool_or(kind = 'nonverbal') AS a, bool_or(kind = 'transcript') AS b, max(at_us) AS met_us, any_value(co) // {BIG} AS end_us, max(state) FILTER (kind = 'nonverbal') AS state,
+    max(intensity) FILTER (kind = 'nonverbal') AS intensity, coalesce(max(text), '') AS text FROM kept WHERE ok AND kind <> 'tail' GROUP BY ALL)
+SELECT session_id, 'window' AS type, CASE WHEN a AND b THEN met_us ELSE end_us::BIGINT END AS at_us, start_us, {W3} AS window_us, state, intensity, text, b AS heard, NULL AS eval, NULL::BIGINT AS n FROM pair
+UNION ALL SELECT session_id, 'eval', at_us, start_us, window_us, NULL, NULL, text, NULL, NULL, NULL FROM s WHERE kind = 'eval' AND ok
+UNION ALL SELECT session_id, 'tail', end_us, start_us, window_us, NULL, NULL, NULL, NULL, NULL, NULL FROM due
+UNION ALL SELECT session_id, 'turn_end', (co // {BIG})::BIGINT, end_us, NULL, NULL, NULL,
+  coalesce((SELECT string_agg(text, ' ' ORDER BY start_us) FROM kept k WHERE k.session_id = c.session_id AND kind = 'transcript' AND ok), ''), NULL,
+  (SELECT max(text) FROM kept k WHERE k.session_id = c.session_id AND kind = 'tail' AND ok), late FROM closing c
+UNION ALL SELECT session_id, 'dropped', max(at_us), NULL, NULL, NULL, NULL, NULL, NULL, NULL, count(*) - (SELECT count(*) FROM kept k WHERE k.session_id = res.session_id) AS n
+  FROM res GROUP BY session_id HAVING count(*) > (SELECT count(*) FROM kept k WHERE k.session_id = res.session_id)"""
+
+
+@query(SIGNALS)
+def turn_records(spark, sf_dir):
+    return turns.turn_records(staged(turn_signals(spark, sf_dir), "signals"), DEADLINE, SECOND_US)
