@@ -19,8 +19,8 @@ FINGERS = ((6, 8), (10, 12), (14, 16), (18, 20))  # middle joint and tip in a 21
 WRIST, THUMB_TIP, MIDDLE_KNUCKLE = 0, 4, 9
 
 
-def by_time(keys: list[str], t: str):
-    return Window.partitionBy(*keys).orderBy(t)
+def by_time(keys: list[str], *t: str):
+    return Window.partitionBy(*keys).orderBy(*t)
 
 
 def crossings(rows: DataFrame, keys: list[str], t: str, value: str, at: float = BLINK) -> DataFrame:
@@ -105,18 +105,18 @@ def pose_measures(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
     return cover.join(moves, keys, "left")
 
 
-def stable_segments(rows: DataFrame, keys: list[str], t: str, count: str, least: float) -> DataFrame:
-    """keys, count, start_t, end_t of stretches with a steady count.
+def stable_segments(rows: DataFrame, keys: list[str], t: str, count: str, least: float, ties: tuple[str, ...] = ()) -> DataFrame:
+    """keys, count, start_t, end_t of stretches with a steady count; ties are the columns that order rows of one time.
 
     Counts are smoothed by the median of two rows on either side (cut to an integer), equal neighbours make runs, runs
     shorter than least go, and kept runs of equal count that meet are one.
     """
-    around = Window.partitionBy(*keys).orderBy(t).rowsBetween(-2, 2)
+    around = by_time(keys, t, *ties).rowsBetween(-2, 2)
     near = F.array_sort(F.collect_list(count).over(around))
     n = F.size(near)
     middle = (F.element_at(near, ((n - 1) / 2).cast("int") + 1) + F.element_at(near, (n / 2).cast("int") + 1)) / 2
     smooth = rows.withColumn("_c", middle.cast("int"))
-    w = by_time(keys, t)
+    w = by_time(keys, t, *ties)
     run = F.sum((~F.col("_c").eqNullSafe(F.lag("_c").over(w))).cast("int")).over(w)
     runs = smooth.withColumn("_run", run).groupBy(*keys, "_run").agg(F.first("_c").alias("count"), F.min(t).alias("start_t"), F.max(t).alias("end_t"))
     kept = runs.where(F.col("end_t") - F.col("start_t") >= least)
@@ -167,15 +167,15 @@ def angle_degrees(vertex: Column, a: Column, b: Column) -> Column:
     return F.when(den < 1e-9, 0.0).otherwise(F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot / den)))))
 
 
-def energy_trend(frames: DataFrame, keys: list[str], t: str, db: str) -> DataFrame:
+def energy_trend(frames: DataFrame, keys: list[str], t: str, db: str, ties: tuple[str, ...] = ()) -> DataFrame:
     """Slope, change from first to second half (medians) and lowest level of the frames louder than 60 % of the window.
 
-    Windows of fewer than 8 frames, or 4 loud ones, have nulls.
+    Windows of fewer than 8 frames, or 4 loud ones, have nulls. ties are the columns that order frames of one time. The frames are read
+    once and shuffled once, by window.
     """
-    floor = frames.groupBy(*keys).agg(F.percentile(db, 0.4).alias("_floor"), F.count(F.lit(1)).alias("frames"))
-    loud = frames.join(floor, keys).withColumn("_loud", F.col(db) > F.col("_floor"))
-    order, whole = by_time(keys, t), Window.partitionBy(*keys)
-    halves = loud.where("_loud").withColumns({"_i": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole)})
+    order, whole = by_time(keys, t, *ties), Window.partitionBy(*keys)
+    loud = frames.withColumns({"_floor": F.percentile(db, 0.4).over(whole), "frames": F.count(F.lit(1)).over(whole)}).where(F.col(db) > F.col("_floor"))
+    halves = loud.withColumns({"_i": F.row_number().over(order), "_n": F.count(F.lit(1)).over(whole)})
     first = F.col("_i") <= F.floor(F.col("_n") / 2)
     ok = (F.first("frames") >= 8) & (F.count(F.lit(1)) >= 4)
     return halves.groupBy(*keys).agg(

@@ -175,7 +175,7 @@ def reading_coercion(spark, sf_dir):
 def json_repair(spark, sf_dir):
     """Replies made of conversations, whole, fenced, in prose or cut off, and the JSON found in them."""
     body = F.to_json(F.struct(F.col("role").alias("state"), F.col("text").alias("note"), F.array("turn", "conv_id").alias("critique")))
-    forms = F.array(body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Well: "), body, F.lit(" so.")), F.expr("left(_body, length(_body) - 3)"), F.expr("left(_body, 25)"), F.lit("none"))
+    forms = F.array(body, F.concat(F.lit("```json\n"), body, F.lit("\n```")), F.concat(F.lit("Well: "), body, F.lit(" so.")), F.expr("left(_body, length(_body) - 3)"), F.expr("left(_body, cast(length(_body) * 2 / 3 as int))"), F.lit("none"))
     rows = _table(spark, sf_dir, "conversations").withColumn("_body", body)
     rows = rows.select("conv_id", "turn", F.element_at(forms, (F.col("turn") % 6 + 1).cast("int")).alias("reply"))
     return rows.select("conv_id", "turn", replies.extract_json("reply").alias("json"))

@@ -301,7 +301,7 @@ h AS (SELECT *, sum(new) OVER (PARTITION BY session_id ORDER BY a) AS grp FROM g
 SELECT session_id, any_value(v) AS count, min(a) AS start_t, max(b) AS end_t FROM h GROUP BY session_id, grp""")
 def run_segments(spark, sf_dir):
     rows = event_lanes(spark, sf_dir).withColumn("c", (F.floor(F.col("cents") / 100) % 2).cast("int"))
-    return metrics.stable_segments(rows, ["session_id"], "t_us", "c", W3)
+    return metrics.stable_segments(rows, ["session_id"], "t_us", "c", W3, ("seq",))
 
 
 @query(f"""{EV}, f AS (SELECT session_id, t_us // {W60} AS k, quantile_cont(value, 0.4) AS floor, count(*) AS frames FROM ev GROUP BY ALL),
@@ -312,7 +312,7 @@ SELECT session_id, k, count(*) AS loud_frames, CASE WHEN ok THEN round(regr_slop
 FROM (SELECT *, frames >= 8 AND n >= 4 AS ok FROM l) GROUP BY session_id, k, ok""")
 def energy_trend(spark, sf_dir):
     rows = _series(spark, sf_dir).withColumn("s", F.col("t_us") / float(SECOND_US))
-    m = metrics.energy_trend(rows, ["session_id", "k"], "s", "value")
+    m = metrics.energy_trend(rows, ["session_id", "k"], "s", "value", ("seq",))
     return m.select("session_id", "k", "loud_frames", *(F.round(c, 4).alias(c) for c in ("slope", "half_to_half", "trough")))
 
 
