@@ -97,3 +97,15 @@ def latest_by_session(records: DataFrame, wanted: list[str], at: str) -> DataFra
 def write_json_lines(records: DataFrame, path: str) -> None:
     """Append records, one JSON object a line."""
     records.select(as_json(F.struct(*records.columns))).write.mode("append").text(path)
+
+
+def json_lines_by_batch(path: str):
+    """A sink for streams (foreachBatch, or streaming.live.fan_out): records, one JSON object a line, in a folder a batch.
+
+    A batch that comes again takes the place of what was written of it, so records are there once however often a query starts again.
+    """
+
+    def write(records: DataFrame, batch_id: int) -> None:
+        records.select(as_json(F.struct(*records.columns))).write.mode("overwrite").text(f"{path}/batch={batch_id}")
+
+    return write
