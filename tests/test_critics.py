@@ -1,5 +1,8 @@
 """Model calls, sinks and resampling."""
 
+import threading
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -63,3 +66,76 @@ def test_resampling_joins_chunks_without_seams(spark):
 def test_frames_without_a_time_get_their_number(spark):
     df = spark.createDataFrame([("s", 1, 5), ("s", 2, None)], "s string, seq int, pts long")
     assert sorted(r.t_us for r in frame_times(df, ["s"], "seq", "pts", 100).collect()) == [5, 100]
+
+
+def test_calls_side_by_side_keep_order_and_memory_bounds():
+    running, most = [], []
+
+    def slow(row):
+        running.append(row["k"])
+        most.append(len(running))
+        time.sleep(0.02 if row["k"] % 2 else 0.001)
+        running.remove(row["k"])
+        if row["k"] == 7:
+            raise KeyError("seven")
+        return {"twice": row["k"] * 2}
+
+    taken = []
+
+    def rows():
+        for k in range(40):
+            taken.append(k)
+            yield {"k": k}
+
+    told = critics.in_order(slow, rows(), 4)
+    next(told)
+    assert len(taken) <= 5
+    rest = list(told)
+    assert [r and r["twice"] for r, _ in rest] == [None if k == 7 else k * 2 for k in range(1, 40)] and rest[6][1] == "KeyError: 'seven'"
+    assert 1 < max(most) <= 4
+
+
+def test_calls_past_their_deadline_are_values_until_too_many(monkeypatch):
+    never = threading.Event()
+
+    def stuck(row):
+        if row["k"] % 2:
+            never.wait(20)
+        return {"k": row["k"]}
+
+    told = list(critics.in_order(stuck, ({"k": k} for k in range(6)), 6, 0.2))
+    assert [e for _, e in told] == [None, "DeadlineExceeded: 0.2 s"] * 3
+    monkeypatch.setattr(critics, "MOST_LOST", 2)
+    with pytest.raises(RuntimeError, match="3 calls are past"):
+        list(critics.in_order(stuck, ({"k": k} for k in range(6)), 6, 0.2))
+    own = list(critics.in_order(lambda row: (_ for _ in ()).throw(TimeoutError("busy")), [{}], 1, 5.0))
+    assert own == [(None, "TimeoutError: busy")]
+    never.set()
+
+
+def test_calls_are_tried_again_with_the_same_key(spark):
+    def make():
+        def critic(row):
+            if row["call_try"] <= (row["k"] or 0):
+                raise OSError(f"try {row['call_try']}")
+            return {"seen": row["call_key"], "n": row["n"]}
+
+        return critics.with_tries(critic, 3, 0.001)
+
+    df = spark.createDataFrame([(0, 1.5, b"x"), (1, None, None), (2, 0.0, b""), (3, 1.0, b"y"), (None, None, None), (0, 1.5, b"x")], "k int, n double, pcm binary")
+    rows = critics.scored(df, make, "seen string, tries int", ["k"], in_flight=3)
+    told = rows.collect()
+    assert [r.tries for r in told if r.k is not None and r.k < 3] == [1, 2, 3, 1]
+    assert all(r.seen == r.call_key for r in told if r.error is None) and len({r.call_key for r in told}) == 5
+    assert [r.error for r in told if r.k == 3] == ["OSError: try 3"]
+    assert told[2].n == 0.0 and told[1].n is None and bytes(told[0].pcm) == b"x"
+    again = {(r.k, r.call_key) for r in rows.repartition(3).collect()}
+    assert again == {(r.k, r.call_key) for r in told}
+    assert critics.scored(df.limit(0), make, "seen string").count() == 0
+    with pytest.raises(ValueError, match="error"):
+        critics.scored(df.withColumn("error", F.lit(1)), make, "seen string")
+
+
+def test_a_result_of_another_type_is_an_error_of_its_row(spark):
+    rows = critics.scored(spark.range(4, numPartitions=1), lambda: lambda row: {"n": "many" if row["id"] == 2 else 1}, "n int").collect()
+    assert [r.n for r in rows] == [1, 1, None, 1] and [r.error is None for r in rows] == [True, True, False, True]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.functions import audio, replies
+from turnloom.functions import audio, replies, table_functions
 from turnloom.operators import metrics, pairing, sentences
 from turnloom.sources.lanes import stream_text, turn_events
 
@@ -68,11 +68,61 @@ def event_script(spark, sf_dir: str) -> DataFrame:
     return rows.unionByName(last.withColumns({"kind": F.lit("turn_end"), "item_id": none, "text": none}))
 
 
-@query()
+# The fold by recursion: each step takes a session's next event to the state after it (start, stopped, items) and to the utterance it ends (told).
+FOLD = """WITH RECURSIVE m AS (
+  SELECT conv_id, turn, text, ceil(length(text) / 40.0)::INT AS n FROM conversations),
+steps AS (
+  SELECT conv_id, turn, 0 AS o, 'vad.speech_started' AS kind, 0.5::DOUBLE AS since, NULL AS item_id, NULL AS text FROM m
+  UNION ALL SELECT conv_id, turn, 1 + j, 'transcript.delta', 1.0::DOUBLE + j * least(1.0::DOUBLE, 4.0::DOUBLE / n), turn::VARCHAR, substr(text, j * 40 + 1, 40) FROM (SELECT *, unnest(range(0, n)) AS j FROM m WHERE n > 0)
+  UNION ALL SELECT conv_id, turn, 1000000001, 'vad.speech_stopped', 5.0, NULL, NULL FROM m
+  UNION ALL SELECT conv_id, turn, 1000000002, 'transcript.completed', 5.4, turn::VARCHAR, CASE WHEN turn % 2 = 0 THEN text END FROM m WHERE turn % 3 <> 2
+  UNION ALL SELECT conv_id, turn, 1000000003, 'tick', 6.0, NULL, NULL FROM m),
+numbered AS (SELECT conv_id::VARCHAR AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, o) AS i, kind, turn * 6.0::DOUBLE + since AS now, item_id, text FROM steps),
+e AS MATERIALIZED (
+  SELECT * FROM numbered UNION ALL SELECT session_id, max(i) + 1, 'turn_end', max(now) + 1, NULL, NULL FROM numbered GROUP BY session_id),
+walk AS (
+  SELECT DISTINCT session_id, 0::BIGINT AS i, 0.0::DOUBLE AS start, NULL::DOUBLE AS stopped, []::STRUCT(name VARCHAR, said VARCHAR)[] AS items,
+    NULL::STRUCT(a DOUBLE, b DOUBLE, said VARCHAR, source VARCHAR) AS told FROM e
+  UNION ALL
+  SELECT session_id, i, CASE WHEN ends THEN stop WHEN kind = 'vad.speech_started' THEN greatest(start, now) ELSE start END,
+    CASE WHEN ends AND done THEN NULL WHEN kind = 'vad.speech_stopped' THEN now ELSE stopped END,
+    CASE WHEN due THEN rest
+      WHEN kind <> 'transcript.delta' OR coalesce(text, '') = '' THEN items
+      WHEN len(list_filter(items, lambda x: x.name = item_id)) > 0 THEN list_transform(items, lambda x: CASE WHEN x.name = item_id THEN {'name': x.name, 'said': x.said || text} ELSE x END)
+      ELSE list_append(items, {'name': item_id, 'said': text}) END,
+    CASE WHEN ends AND (said <> '' OR stop - start >= 1.0) THEN {'a': start, 'b': stop, 'said': said, 'source': CASE WHEN said = '' THEN 'utterance' WHEN done THEN 'punct' WHEN kind = 'tick' THEN 'timeout' ELSE 'flush' END} END
+  FROM (SELECT *, due AND (said <> '' OR done) AS ends, greatest(CASE WHEN done THEN coalesce(stopped, now) ELSE now END, start + 0.2::DOUBLE) AS stop
+    FROM (SELECT *,
+        CASE WHEN done THEN coalesce(nullif(own, ''), regexp_replace(list_filter(items, lambda x: x.name = called)[1].said, '^\\s+|\\s+$', '', 'g'), '')
+          ELSE coalesce(regexp_replace(array_to_string(list_transform(items, lambda x: x.said), ' '), '^\\s+|\\s+$', '', 'g'), '') END AS said,
+        CASE WHEN done THEN list_filter(items, lambda x: x.name IS DISTINCT FROM called) ELSE [] END AS rest
+      FROM (SELECT *, CASE WHEN own <> '' OR len(list_filter(items, lambda x: x.name = item_id)) > 0 THEN item_id ELSE items[1].name END AS called
+        FROM (SELECT e.session_id, e.i, w.start, w.stopped, w.items, e.kind, e.now, e.item_id, e.text, e.kind = 'transcript.completed' AS done,
+            e.kind IN ('transcript.completed', 'turn_end') OR (e.kind = 'tick' AND e.now - w.start > 10.0) AS due, coalesce(regexp_replace(e.text, '^\\s+|\\s+$', '', 'g'), '') AS own
+          FROM walk w JOIN e ON e.session_id = w.session_id AND e.i = w.i + 1))))),
+cut AS (
+  SELECT session_id, i, told.a AS a, told.b AS b, told.source AS source,
+    CASE WHEN told.said = '' THEN [''] ELSE list_filter(string_split(regexp_replace(told.said, '([.?!])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda p: p <> '') END AS pieces
+  FROM walk WHERE told IS NOT NULL),
+spread AS (SELECT *, list_transform(pieces, lambda p: (b - a) * length(p) / list_sum(list_transform(pieces, lambda q: length(q)))) AS widths, generate_subscripts(pieces, 1) AS p FROM cut),
+bounds AS (
+  SELECT session_id, pieces[p] AS text, source, list_reduce([a] || widths[1:p - 1], lambda x, y: x + y) AS start_s,
+    CASE WHEN p = len(pieces) THEN b ELSE list_reduce([a] || widths[1:p], lambda x, y: x + y) END AS end_s FROM spread)
+SELECT session_id, format('{:.2f}', start_s)::DOUBLE AS start_s, format('{:.2f}', end_s)::DOUBLE AS end_s, text, source FROM bounds"""
+
+
+@query(FOLD)
 def sentence_fold(spark, sf_dir):
     return sentences.fold_sentences(event_script(spark, sf_dir))
 
 
+@query(FOLD)
+def sentence_sql(spark, sf_dir):
+    """The same sentences by a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT session_id, start_s, end_s, text, source FROM sentences_of(TABLE({events}))", events=event_script(spark, sf_dir))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'transcript.completed' WHEN turn % 3 = 1 THEN 'transcript.delta' ELSE 'vad.speech_started' END AS kind,
   CASE WHEN turn % 3 = 2 THEN NULL ELSE nullif(text, '') END AS text, CASE WHEN turn % 2 = 0 THEN 'i' || turn ELSE 'top' END AS item_id FROM conversations""")
 def turn_event_payloads(spark, sf_dir):

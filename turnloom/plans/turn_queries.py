@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from turnloom.functions import critics
 from turnloom.operators import handoff, metrics, pairing, turns, windows
 from turnloom.sources.landmarks import face_rows, pose_rows
 from turnloom.sources.lanes import SECOND_US, audio_clock, event_lanes, first_tracks, turn_ends
@@ -664,3 +665,39 @@ UNION ALL SELECT session_id, 'dropped', max(at_us), NULL, NULL, NULL, NULL, NULL
 @query(SIGNALS)
 def turn_records(spark, sf_dir):
     return turns.turn_records(staged(turn_signals(spark, sf_dir), "signals"), DEADLINE, SECOND_US)
+
+
+READ_AS = (*pairing.STATES[:6], "Bored")  # what the stand-in for a model says, by the number of frames
+KNOWN = ", ".join(f"'{state}'" for state in pairing.STATES[:6])
+
+
+def _reader() -> critics.Critic:
+    """A stand-in for a model that is reset on every third window's first call, busy on every fifth, and whose fallback lacks some of these."""
+
+    def model(row: dict) -> dict:
+        if row["k"] % 5 == 0:
+            raise TimeoutError("busy")
+        if row["k"] % 3 == 0 and row["call_try"] == 1:
+            raise ConnectionError("reset")
+        return {"state": READ_AS[row["n_frames"] % 7], "intensity": str(row["n_audio"] * 3 % 16 / 10) if row["k"] % 2 else "strong", "note": f"heard {row['n_audio']}"}
+
+    def local(row: dict) -> dict:
+        if row["k"] % 20 == 0:
+            raise LookupError("no local model")
+        return {"state": "neutral", "intensity": "0.5", "note": None}
+
+    return critics.with_fallback(critics.with_tries(model, 2), local)
+
+
+@query(f"""{FULL}, w AS (SELECT session_id, k, n_frames, n_audio, k % 5 = 0 AS busy, k % 20 = 0 AS lost FROM evals)
+SELECT session_id, k, sha256('{{"session_id":' || session_id || ',"k":' || k || '}}') AS call_key, CASE WHEN lost THEN NULL WHEN busy THEN 'fallback' ELSE 'primary' END AS engine, CASE WHEN NOT busy THEN CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END END AS tries,
+  CASE WHEN lost THEN NULL WHEN busy THEN 'neutral' ELSE coalesce([{KNOWN}][n_frames % 7 + 1], 'neutral') END AS state,
+  CASE WHEN lost THEN NULL WHEN busy THEN 0.5 WHEN k % 2 = 1 THEN least(1.0, n_audio * 3 % 16 / 10.0) ELSE 0.0 END::DOUBLE AS intensity,
+  CASE WHEN lost THEN NULL WHEN busy THEN '' ELSE 'heard ' || n_audio END AS note, CASE WHEN lost THEN 'LookupError: no local model' END AS error FROM w""")
+def critic_calls(spark, sf_dir):
+    """Readings of a model for each window with frames and sound: calls side by side, tried again, with a fallback, failures as values."""
+    wide = critics.gated(_evals(*_lanes(spark, sf_dir)), needs_frames=True, needs_sound=True).select("session_id", "k", "n_frames", "n_audio")
+    told = critics.scored(wide, _reader, "state string, intensity string, note string, engine string, tries int", ["session_id", "k"], in_flight=8, deadline_s=60.0)
+    read = pairing.valid_reading(*map(F.col, ("state", "intensity", "note")))
+    ok = F.col("error").isNull()
+    return told.select("session_id", "k", "call_key", "engine", "tries", *(F.when(ok, c).alias(n) for n, c in zip(("state", "intensity", "note"), read)), "error")
