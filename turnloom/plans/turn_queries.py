@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from turnloom.functions import critics
-from turnloom.operators import handoff, metrics, pairing, turns, windows
+from turnloom.operators import handoff, lookup, metrics, pairing, turns, windows
 from turnloom.sources.landmarks import face_rows, pose_rows
 from turnloom.sources.lanes import SECOND_US, audio_clock, event_lanes, first_tracks, turn_ends
 from turnloom.sources.staging import staged
@@ -701,3 +701,28 @@ def critic_calls(spark, sf_dir):
     read = pairing.valid_reading(*map(F.col, ("state", "intensity", "note")))
     ok = F.col("error").isNull()
     return told.select("session_id", "k", "call_key", "engine", "tries", *(F.when(ok, c).alias(n) for n, c in zip(("state", "intensity", "note"), read)), "error")
+
+
+# Ten workers that begin a session every four seconds in which there is something; half of them end with their last row, the others when the next begins.
+SPELL = 4 * SECOND_US
+
+
+@query(f"""{EV}, r AS (SELECT *, session_id % 10 AS worker, t_us // {SPELL} AS k FROM ev),
+s AS (SELECT worker, worker || '-' || k AS session_id, min(t_us) AS at_us, CASE WHEN k % 2 = 0 THEN max(t_us) END AS ended_us, count(*) AS n FROM r GROUP BY worker, k),
+p AS (SELECT *, lag(session_id) OVER (PARTITION BY worker ORDER BY at_us) AS previous FROM s),
+a AS (SELECT seq, worker, t_us + seq % 5 * {SECOND_US} AS at_us, CASE WHEN seq % 3 > 0 THEN worker || '-' || (k - seq % 4 + 1) END AS asked FROM r WHERE lane = 'error'),
+m AS (SELECT a.*, p.session_id, p.previous, p.session_id IS NOT NULL AND (p.ended_us IS NULL OR p.ended_us > a.at_us) AS going_on FROM a ASOF LEFT JOIN p ON a.worker = p.worker AND a.at_us >= p.at_us),
+f AS (SELECT *, CASE WHEN asked IS NULL OR asked = session_id THEN session_id WHEN going_on AND asked = previous THEN previous END AS found FROM m)
+SELECT seq, asked, found, CASE WHEN found IS NOT NULL THEN going_on AND found = f.session_id END AS active, coalesce(s.n, 0) AS record_count FROM f LEFT JOIN s ON found = s.session_id""")
+def session_lookup(spark, sf_dir):
+    """Which session a worker answers for when it is asked, by name or not, and how many records that has."""
+    rows = event_lanes(spark, sf_dir).select("seq", "lane", "t_us", (F.col("session_id") % 10).alias("worker"), F.floor(F.col("t_us") / SPELL).alias("k"))
+    name = lambda k: F.concat(F.col("worker").cast("string"), F.lit("-"), k.cast("string"))
+    sessions = rows.groupBy("worker", "k").agg(F.min("t_us").alias("at_us"), F.max("t_us").alias("last_us"), F.count(F.lit(1)).alias("n"))
+    sessions = sessions.select("worker", name(F.col("k")).alias("session_id"), "at_us", F.when(F.col("k") % 2 == 0, F.col("last_us")).alias("ended_us"), "n")
+    sessions = staged(sessions, "sessions")
+    asked = F.when(F.col("seq") % 3 > 0, name(F.col("k") - F.col("seq") % 4 + 1))
+    asks = rows.where("lane = 'error'").select("seq", "worker", (F.col("t_us") + F.col("seq") % 5 * SECOND_US).alias("at_us"), asked.alias("asked"))
+    told = lookup.sessions_asked(asks, sessions.drop("n"), 60 * SECOND_US)
+    counts = sessions.select(F.col("session_id").alias("found"), "n")
+    return told.join(counts, "found", "left").select("seq", "asked", "found", "active", F.coalesce("n", F.lit(0)).alias("record_count"))
