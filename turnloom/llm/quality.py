@@ -37,6 +37,7 @@ SHARPNESS = 4
 WORD_WEIGHT = 0.4
 THRESHOLD = 0.3
 BLOCK = 256
+LEAST_VALUE = 1e-6  # of an eigenvalue, as a part of the largest
 
 
 @dataclass
@@ -79,9 +80,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
     weight = (np.log((1 + len(rows)) / (1 + (matrix > 0).sum(axis=0))) + 0.1).astype(np.float32)
     weight[:WORDS] *= WORD_WEIGHT
     matrix *= weight
-    # The leading right singular vectors, from the eigenvectors of the smaller Gram matrix.
-    k = min(DIMENSIONS, len(rows))
+    # The leading right singular vectors, from the eigenvectors of the smaller Gram matrix; fewer, if the rest is rounding.
     values, left = np.linalg.eigh(matrix @ matrix.T)
+    k = max(1, min(DIMENSIONS, int((values > LEAST_VALUE * values[-1]).sum())))
     right = matrix.T @ (left[:, ::-1][:, :k] / np.sqrt(np.maximum(values[::-1][:k], 1e-12)))
     projection, vectors = weight[:, None] * right, matrix @ right
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
