@@ -52,6 +52,36 @@ def test_mix_meets_weights(spark, monkeypatch, budget, blocks):
     assert {r.copies for r in got if r.source == "empty"} == {1}
 
 
+@pytest.mark.parametrize(("budget", "blocks"), [(0.6, 20_000), (2.3, 20_000), (0.6, 10)])
+def test_copies_against_a_plain_walk(spark, monkeypatch, budget, blocks):
+    """Each source's permutation walked row by row, block after block, till its quota is used up."""
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", blocks)
+    df = spark.createDataFrame(sources(), SCHEMA)
+    got = mixing.mix(df, budget=budget, entropy=0.97, max_repeats=3.0, seed=17)
+    key = F.xxhash64(F.lit(17), F.coalesce(F.col("source"), F.lit("")), "doc_id", "text")
+    by = {}
+    for r in got.select("source", "weight", "copies", key.alias("key"), F.xxhash64(key).alias("deal"), "text").collect():
+        by.setdefault(r.source, []).append((r.key, r.deal, len((r.text or "").split()), r.copies, r.weight))
+    total = sum(n for rows in by.values() for _, _, n, *_ in rows)
+    for source, rows in by.items():
+        tokens, weight = sum(n for _, _, n, *_ in rows), rows[0][4]
+        if not tokens:
+            assert {c for *_, c, _ in rows} == {1}, source
+            continue
+        rounds, left = divmod(math.floor(weight * budget * total + 1e-6), tokens)
+        n_blocks = math.ceil(len(rows) / min(blocks, math.ceil(math.sqrt(len(rows)))))
+        told = {}
+        for key_, deal, n, *_ in rows:
+            told.setdefault((deal % n_blocks, key_), []).append(n)
+        once_more, used = set(), 0
+        for place in sorted(told):
+            used += sum(told[place])
+            if used > left:
+                break
+            once_more.add(place)
+        assert all(c == rounds + ((deal % n_blocks, key_) in once_more) for key_, deal, _, c, _ in rows), source
+
+
 def test_exponent_against_a_fine_grid(spark):
     p = [0.7, 0.2, 0.05, 0.05]
     shares = spark.createDataFrame([(x,) for x in p], "share double")

@@ -291,7 +291,7 @@ def test_viterbi_ties_take_the_first_start():
 
 
 def overlaps_by_hand(docs, items):
-    """Every diagonal of every document and item on which a seed could lie, without an index."""
+    """Every diagonal of every document and item, without an index or seeds."""
     out = {}
     for d, t in docs:
         a = re.findall(r"\w+", (t or "").lower())
@@ -302,13 +302,54 @@ def overlaps_by_hand(docs, items):
             for shift in range(-len(b) + 1, len(a)):
                 lo, hi = max(0, -shift), min(len(b), len(a) - shift)
                 same = [b[k] == a[shift + k] for k in range(lo, hi)]
-                if any(all(same[p + j] for j, c in enumerate(m) if c == "1") for m in dc.MASKS for p in range(len(same) - len(m) + 1)):
-                    stretches = ((sum(1 if z else -dc.SUBSTITUTION for z in same[x:y]), -x, sum(same[x:y])) for x in range(len(same)) for y in range(x + 1, len(same) + 1))
-                    if sum(same) >= 0.8 * len(b) or max(stretches)[2] >= dc.WHOLE:
-                        out[d, i] = True
+                if sum(same) >= 0.8 * len(b) or (sum(same) >= dc.WHOLE and best_stretch(same) >= dc.WHOLE):
+                    out[d, i] = True
     return out
 
 
+def best_stretch(same):
+    """Matches of the stretch with the best sum, of equal ones that which ends first and, of these, the shortest."""
+    return max((sum(1 if z else -dc.SUBSTITUTION for z in same[x:y]), -y, x, sum(same[x:y])) for x in range(len(same)) for y in range(x + 1, len(same) + 1))[3]
+
+
+def test_no_stretch_is_without_a_seed():
+    """All ways to lay matches and substitutions without a seed: none is a best stretch of WHOLE matches.
+
+    No beginning of a best stretch has a negative sum, and its end has a greater sum than all before.
+    """
+    longest = max(map(len, dc.HEAVY))
+    seeded = lambda bits: any(len(bits) >= len(m) and all(b or c == "0" for b, c in zip(bits[-len(m) :], m)) for m in dc.HEAVY)
+    states, seen = [((), 0, 0, 0)], set()
+    while states:
+        bits, total, matches, most = states.pop()
+        for same in (True, False):
+            bits_, total_ = (*bits, same)[-longest:], total + (1 if same else -dc.SUBSTITUTION)
+            state = (bits_, total_, min(matches + same, dc.WHOLE), max(most, total_))
+            if total_ < 0 or seeded(bits_) or state in seen:
+                continue
+            assert state[2] < dc.WHOLE or total_ <= most, state
+            seen.add(state)
+            states.append(state)
+    assert len(seen) > 100
+
+
+def test_index_against_all_diagonals():
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(500)]
+    items, docs = [], []
+    for i in range(60):
+        words = [rng.choice(vocab) for _ in range(rng.randrange(8, 70))]
+        items.append((i, " ".join(words)))
+        rate = rng.choice((0.05, 0.15, 0.2, 0.25, 0.35))
+        start = rng.randrange(len(words)) if i % 2 else 0
+        changed = ["changed" if rng.random() < rate else w for w in words[start:]]
+        docs.append((i, " ".join([rng.choice(vocab) for _ in range(rng.randrange(20))] + changed + [rng.choice(vocab) for _ in range(rng.randrange(20))])))
+    index = dc.Index([(i, dc.plain_words(s)) for i, s in items])
+    got = {(d, items[item][0]) for d, t in docs for item, *_ in index.overlaps(dc.plain_words(t))}
+    want = set(overlaps_by_hand(docs, items))
+    assert got == want and 15 < len(want) < 60
+
+
 def test_decontamination_both_ways(spark):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(300)]
@@ -475,3 +516,36 @@ def test_text_operators_over_empty_tables_and_long_texts(spark):
     one = spark.createDataFrame([(1, long + " " + " ".join(f"i{k}" for k in range(20)))], DOCS)
     assert dc.contaminated(one, items).first().doc_start == 300_000
     assert token_counts(one).first().n_tokens > 300_000 and secrets.find_secrets(one).first().spans == []
+
+
+@pytest.mark.parametrize("spread", [4, 40])
+def test_quality_s_projection_is_the_truncated_svd(spread):
+    """Of texts with fewer independent directions than dimensions, and with more."""
+    from turnloom.llm.text_features import SHAPES, WORDS, features
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(("ab", "cd", "Ef!", "gh", "99", "ij.", "kl", "m")) + str(rng.randrange(spread)) for _ in range(rng.randrange(3, 50))) for _ in range(90)]
+    rows = [(*features(t), i % 2) for i, t in enumerate(texts)]
+
+    def dense(features_):
+        out = np.zeros((len(features_), WORDS + SHAPES))
+        for i, (columns, values, *_) in enumerate(features_):
+            for c, v in zip(columns, values):
+                out[i, c] = v
+        return out
+
+    plain = dense(rows)
+    weight = np.log(91 / (1 + (plain > 0).sum(axis=0))) + 0.1
+    weight[:WORDS] *= quality.WORD_WEIGHT
+    _, sizes, right = np.linalg.svd(plain * weight, full_matrices=False)
+    right = right[: quality.DIMENSIONS][sizes[: quality.DIMENSIONS] > 1e-6 * sizes[0]]
+    assert (len(right) < quality.DIMENSIONS) == (spread == 4)
+
+    def latent(features_):
+        out = (dense(features_) * weight) @ right.T
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+    model = quality.fit(rows)
+    assert np.abs(model.vectors @ model.vectors.T - latent(rows) @ latent(rows).T).max() < 1e-3
+    others = [*texts[:20], "zz yy", "ab1 cd2 Ef!3", ""]
+    assert np.abs(np.stack([model.vector(t) for t in others]) @ model.vectors.T - latent([features(t) for t in others]) @ latent(rows).T).max() < 1e-3

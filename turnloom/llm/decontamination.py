@@ -4,8 +4,8 @@ Words are `\w+` of the lower-cased text. A mask such as 11101111 hashes the word
 ones and ignores the others, so a window with other words at the zeros hashes alike. Test and training windows with
 equal hashes under one mask are a hit. Each hit names a diagonal: item and document laid over one another. There
 the whole item is compared word by word. A document is contaminated by an item if 80 % of the item's words match there, or if
-the stretch with the best sum of +1 for a match and -3 for a substitution has WHOLE matches or more. The overlap that is
-returned is the item's extent in the first case, else that stretch.
+the stretch with the best sum of +1 for a match and -3 for a substitution (of equal ones that which ends first, the shortest) has
+WHOLE matches or more. The overlap that is returned is the item's extent in the first case, else that stretch.
 
 The index of the test set goes to the executors if its seeds number at most INDEX_LIMIT; that is counted
 first. A larger test set is joined by hash: both sides' seeds are shuffled, and hot seeds (a phrase of a third of
