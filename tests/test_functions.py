@@ -160,3 +160,23 @@ def test_entry_works_without_the_corpus_folder(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'turn_handoff' in q and 'pipeline' not in q; print(len(q))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
+
+
+def test_pitch_in_blocks_without_quiet_frames(monkeypatch):
+    """Frames are transformed a few at a time, quiet ones not at all, and peaks are found in one pass; each gives what the plain way gives."""
+    y = np.concatenate([tone(180, 1), np.zeros(12000), tone(260, 1.2)])
+    widths, plain = [], np.fft.rfft
+    monkeypatch.setattr(audio.np.fft, "rfft", lambda x, *a, **k: widths.append(len(x)) or plain(x, *a, **k))
+    whole = audio._pitch(y, 60.0, 600.0)
+    assert max(widths) <= audio.BLOCK and sum(widths) < len(whole)
+    assert (whole > 0).sum() > 150 and not whole[len(whole) // 2 - 10]
+    monkeypatch.setattr(audio, "BLOCK", 5)
+    assert np.allclose(audio._pitch(y, 60.0, 600.0), whole, rtol=1e-12)
+
+    db = np.random.default_rng(4).integers(-12, 0, 300).astype(float)
+
+    def dip(i):
+        left, right = (next((k for k in side if db[k] > db[i]), None) for side in (range(i, -1, -1), range(i, len(db))))
+        return db[i] - max(db[(left + 1 if left is not None else 0) : i + 1].min(), db[i : right if right is not None else len(db)].min())
+
+    assert audio.peaks(db) == [i for i in range(1, len(db) - 1) if db[i - 1] < db[i] >= db[i + 1] and dip(i) >= audio.DIP_DB]

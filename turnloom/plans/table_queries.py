@@ -233,10 +233,12 @@ def json_repair(spark, sf_dir):
 
 def _pcm(spark, sf_dir: str) -> DataFrame:
     """A second and a half of sound for each vector: its numbers' bytes over and over, silent for a while."""
-    body = F.unhex(F.expr("repeat(hex(concat_ws('', transform(embedding, x -> cast(cast(x * 100 as int) as string)))), 800)"))
+    digits = F.expr("hex(concat_ws('', transform(embedding, x -> cast(cast(x * 100 as int) as string))))")
+    # No more copies are made than 24,000 bytes take.
+    body = F.unhex(F.expr("repeat(digits, least(800, cast(ceil(48000 / greatest(length(digits), 1)) as int)))"))
     sound = F.substring(body, F.lit(1), F.lit(24000))
     gap = F.unhex(F.expr("repeat('00', 9600)"))
-    return _table(spark, sf_dir, "embeddings").select("vec_id", F.concat(sound, gap, sound).alias("pcm"))
+    return _table(spark, sf_dir, "embeddings").select("vec_id", digits.alias("digits")).select("vec_id", F.concat(sound, gap, sound).alias("pcm"))
 
 
 @query()
