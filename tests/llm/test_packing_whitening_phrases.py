@@ -37,6 +37,18 @@ def test_units_have_the_ids_of_whole_texts(tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_new_units_of_a_text_are_tokenized_as_one(tokenizer):
+    """Units with digits, marks and line feeds, too, and each once; only white space at a unit's end or within it takes it apart from the others."""
+    encode, sent = packing.UnitEncoder(packing.VOCABULARY), []
+    encode.encoded = lambda units, plain=encode.encoded: sent.extend(units) or plain(units)
+    text = "First one, two22 oi.\nLes %%% don't one, café\n\nAnd the rest."
+    for odd in ("", " \n x", " end \n", "  twice", "\u200b space "):
+        expected = np.array(tokenizer.encode(text + odd, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encode(text + odd) == encode(text + odd) == expected
+        if not odd:
+            assert sent == ["First"]
+
+
 def test_forgetting_units_changes_nothing(tokenizer, monkeypatch):
     monkeypatch.setattr(packing, "MEMORY", 5)
     encode = packing.UnitEncoder(packing.VOCABULARY)

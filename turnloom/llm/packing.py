@@ -10,9 +10,9 @@ its size and time are bounded by the sequence length.
 Pieces then find their places without meeting each other. Every piece is the i-th of its length, numbered within the task that made it and
 moved on by what earlier tasks hold of that length; the plan says by length and number which sequence and which offset that is.
 
-Tokens come from the tokenizers library, unit by unit: text is cut before a space that follows a character that isn't white space, and
-between a word and the marks behind it, where no token can reach across. Each worker remembers the ids of the units it has seen, MEMORY of
-them at most.
+Tokens come from the tokenizers library: text is cut into units before each space that follows a character that isn't white space, where no
+token can reach across. Each worker remembers the ids of the units it has seen, MEMORY of them at most; a text's new units are tokenized as one
+text and parted by their bytes. The library's own cache of words, which would see none of them again, is off.
 
 Defined results: null texts are empty; an empty text has the end id alone. Rows are kept as they are, repeated ones and null
 ids too, each packed for itself. Equal lengths are alike for the plan. Extra columns are ignored; an empty table gives an empty result.
@@ -48,7 +48,6 @@ _BLANK = "\\s\x85\u180e\u200b\ufeff"
 _CUT = re.compile(f"(?<=[^{_BLANK}])(?= )")
 #: Where a space follows white space, not every space may be a cut.
 _RUN = re.compile(f"[{_BLANK}] ")
-_MARKS = ".,;:!?"
 
 
 class UnitEncoder:
@@ -59,6 +58,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.model._resize_cache(0)
         self.spaced: dict[str, bytes] = {}  # of a unit after a space, with that space
         self.plain: dict[str, bytes] = {}  # of other units
         # Bytes of text behind each id.
@@ -79,37 +79,37 @@ class UnitEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_plain(self, units: list[str]) -> list[bytes]:
-        new = [u for u in dict.fromkeys(units) if u not in self.plain]
-        return self._resolved(units, self.plain, dict(zip(new, self.encoded(new))))
+        return self._resolved(units, self.plain, self.encoded)
 
     def of_spaced(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit with a space before it. A unit that is a known word with marks behind it needs no more than theirs."""
-        new = {u: u.rstrip(_MARKS) for u, ids in zip(units, map(self.spaced.get, units)) if ids is None}
-        words = {u: w for u, w in new.items() if w != u and w[-1:].isalpha()}
-        unknown = {w for u in new if (w := words.get(u, u)) not in self.spaced}
-        letters = [w for w in unknown if w.isalpha()]
-        others = [w for w in unknown if not w.isalpha()]
-        here = dict(zip(others, self.encoded([f" {w}" for w in others])))
-        here.update(zip(letters, self._words(letters)))
-        marks = iter(self.of_plain([u[len(w) :] for u, w in words.items()]))
-        for u, w in words.items():
-            here[u] = (here.get(w) or self.spaced[w]) + next(marks)
-        return self._resolved(units, self.spaced, here)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of some words of letters with a space before it, tokenized as one text and parted by their bytes."""
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)) + 1)
+        """Ids of each unit with a space before it."""
+        return self._resolved(units, self.spaced, self._together)
+
+    def _together(self, units: list[str]) -> list[bytes]:
+        """Ids of each of some units with a space before it, tokenized as one text and parted by their bytes."""
+        text = " " + " ".join(units)
+        if text.count(" ") > len(units) or _RUN.search(text + " "):  # a unit with a space in it, or white space at its end
+            odd = [u for u in units if " " in u or _RUN.search(f" {u} ")]
+            even = [u for u in units if not (" " in u or _RUN.search(f" {u} "))]
+            ids = dict(zip(odd, self.encoded([f" {u}" for u in odd]))) | dict(zip(even, self._together(even) if even else []))
+            return [ids[u] for u in units]
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        data = np.frombuffer(text.encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 32)[1:], len(data))
         upto = np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1
         data, at = ids.tobytes(), [0, *(4 * upto).tolist()]
         return [data[i:j] for i, j in zip(at, at[1:])]
 
-    def _resolved(self, units: list[str], known: dict[str, bytes], here: dict[str, bytes]) -> list[bytes]:
-        if not here:
+    def _resolved(self, units: list[str], known: dict[str, bytes], tokenized) -> list[bytes]:
+        new = list(set(units).difference(known))
+        if not new:
             return list(map(known.__getitem__, units))
-        out = [here[u] if (ids := known.get(u)) is None else ids for u in units]
+        ids = tokenized(new)
+        if len(known) + len(new) <= MEMORY and max(map(len, new)) <= LONG_UNIT:
+            known.update(zip(new, ids))
+            return list(map(known.__getitem__, units))
+        here = dict(zip(new, ids))
+        out = [here[u] if u in here else known[u] for u in units]
         if len(known) + len(here) > MEMORY:
             known.clear()
         known.update((u, ids) for u, ids in here.items() if len(u) <= LONG_UNIT)
