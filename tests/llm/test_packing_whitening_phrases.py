@@ -282,6 +282,23 @@ def test_screen_has_what_was_put_in(spark):
     assert screen.has(others).mean() < 0.01
 
 
+def test_each_different_word_of_a_run_is_hashed_once(monkeypatch):
+    hashed, plain = [], phrases.hashes_of
+    monkeypatch.setattr(phrases, "hashes_of", lambda words: hashed.extend(words) or plain(words))
+    words = [b"a", b"b", b"a", phrases.GAP, b"a", b"b"]
+    gaps, (h, pairs) = phrases.grams("en", *phrases.coded(words), 2)
+    assert hashed == [b"a", b"b", phrases.GAP] and gaps.tolist() == [w == phrases.GAP for w in words]
+    assert h[0] == h[2] == h[4] != h[1] == h[5] and pairs[0] == pairs[4] != pairs[1]
+
+
+@pytest.mark.parametrize("most", [3, 1 << 17, 1 << 40])
+def test_different_rows_are_told_apart_exactly(most):
+    rng = np.random.default_rng(6)
+    rows = rng.choice([-1, 0, 1, most - 2, most - 1], (500, 4))
+    columns, n = phrases.different_rows(list(rows.T), most)
+    assert dict(zip(zip(*(c.tolist() for c in columns)), n.tolist())) == Counter(map(tuple, rows.tolist()))
+
+
 def test_words_of_a_long_text_in_stretches(monkeypatch):
     text = "One two,three\tfour. " * 50
     whole = [w for part in phrases.words_and_gaps(text) for w in part]

@@ -22,7 +22,6 @@ is taken in runs of words that overlap by max_n - 1.
 from __future__ import annotations
 
 from collections import Counter
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -99,10 +98,17 @@ def runs_of(batches, context: int):
         yield lang, *run.end()
 
 
-def grams(lang: str, words: list[bytes], longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Where words are gaps, and hashes of the 1, 2, .. longest words from each on."""
-    gaps = np.fromiter(map(GAP.__eq__, words), bool, len(words))
-    h = hashes_of(words) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))
+def coded(words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a run, and for each word its number among them."""
+    different = list(dict.fromkeys(words))
+    number = dict(zip(different, range(len(different))))
+    return different, np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+
+
+def grams(lang: str, different: list[bytes], codes: np.ndarray, longest: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where words (as from coded) are gaps, and hashes of the 1, 2, .. longest words from each on; each different word is hashed once."""
+    gaps = np.fromiter(map(GAP.__eq__, different), bool, len(different))[codes]
+    h = (hashes_of(different) ^ np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1)))[codes]
     out, so_far = [], np.zeros(len(h) + 1, np.uint64)
     for k in range(longest):
         so_far = so_far[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[k:]
@@ -143,7 +149,7 @@ def hash_counts(docs: DataFrame, shared: list, k: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(len(n), pa.string()), pa.array(signed(hashes)), pa.array(n)], ["lang", "hash", "n"])
 
         for lang, words, starts in runs_of(batches, k - 1):
-            gaps, hashes = grams(lang, words, k)
+            gaps, hashes = grams(lang, *coded(words), k)
             ok = possible(gaps, hashes, screens) if screens else [~gaps, ~(gaps[:-1] | gaps[1:])]
             total[lang] += int((~gaps[:starts]).sum())
             keys = np.concatenate([h[:starts][o[:starts]] for h, o in zip(hashes[k - 1 if screens else 0 :], ok[k - 1 if screens else 0 :])])
@@ -187,6 +193,17 @@ def screen_of(frequent: DataFrame) -> Screen:
     return Screen(bits)
 
 
+def different_rows(columns: list[np.ndarray], most: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows of columns of numbers from -1 to most - 1, and how often each is there. Rows are told apart by exact numbers, not by hashes."""
+    key, bound = np.zeros(len(columns[0]), np.int64), 1
+    for c in columns:
+        if bound * (most + 1) >= 1 << 63:
+            key, bound = np.unique(key, return_inverse=True)[1].astype(np.int64), len(key)
+        key, bound = key * (most + 1) + c + 1, bound * (most + 1)
+    _, first, n = np.unique(key, return_index=True, return_counts=True)
+    return [c[first] for c in columns], n.astype(np.int64)
+
+
 def suffix_counts(docs: DataFrame, shared: list, longest: int) -> DataFrame:
     """lang, w1 .. w<longest>, n: occurrences of suffixes in each run of words, as long as the screens let them go on."""
     names = ["lang", *(f"w{i}" for i in range(1, longest + 1)), "n"]
@@ -194,17 +211,17 @@ def suffix_counts(docs: DataFrame, shared: list, longest: int) -> DataFrame:
     def counts(batches):
         screens = [Screen(bits.value) for bits in shared]
         for lang, words, starts in runs_of(batches, longest - 1):
-            gaps, hashes = grams(lang, words, longest)
+            different, codes = coded(words)
+            gaps, hashes = grams(lang, different, codes, longest)
             # A suffix of k words is possible only where its beginnings are, so their number is its length.
             length = np.zeros(starts, np.int64)
             for ok in possible(gaps, hashes, screens):
                 length[: len(ok)] += ok[:starts]
-            at = np.flatnonzero(length > 1)
-            single = Counter(compress(words, length == 1))
-            longer = Counter(tuple(words[i : i + k]) for i, k in zip(at.tolist(), length[at].tolist()))
-            found = [*(((w,), n) for w, n in single.items()), *longer.items()]
-            columns = [pa.array([s[i] if i < len(s) else None for s, _ in found], pa.binary()).cast(pa.string()) for i in range(longest)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), *columns, pa.array([n for _, n in found], pa.int64())], names)
+            at = np.flatnonzero(length)
+            suffixes, n = different_rows([np.where(length[at] > k, codes[np.minimum(at + k, len(codes) - 1)], -1) for k in range(longest)], len(different))
+            known = pa.array(different, pa.binary())
+            columns = [known.take(pa.array(c, mask=c < 0)).cast(pa.string()) for c in suffixes]
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n)], names)
 
     schema = ", ".join(f"{c} {'long' if c == 'n' else 'string'}" for c in names)
     return docs.mapInArrow(counts, schema)
