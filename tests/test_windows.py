@@ -123,3 +123,10 @@ def test_rows_in_intervals(spark):
     b = spark.createDataFrame(rs, "session_id string, t_us long")
     want = sorted((s, i, t) for s, i, x, d in iv for z, t in rs if s == z and x <= t < x + d)
     assert got(w.rows_in(a, b, 40), "session_id", "seq", "t_us") == want
+
+
+def test_searches_have_partitions_by_rows(spark, monkeypatch):
+    """A table of more rows is sorted in more partitions, not in larger ones."""
+    monkeypatch.setattr(chains, "PART_ROWS", 10)
+    rows = spark.range(400).selectExpr("id as session_id", "id as _stretch")
+    assert chains.spread(rows).rdd.getNumPartitions() == max(40, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -17,6 +17,8 @@ from turnloom.sources.staging import drop_staged, staged
 
 #: Stretches of time in which rows are searched, at least twice as long as the search reaches.
 STRETCH_US = 600 * 1_000_000
+#: Rows that a task sorts at once, on average.
+PART_ROWS = 500_000
 
 
 def in_stretches(rows: DataFrame, at: str, reach_us: int) -> DataFrame:
@@ -29,16 +31,23 @@ def in_stretches(rows: DataFrame, at: str, reach_us: int) -> DataFrame:
     return placed.withColumn("_own", F.col("_home") == F.col("_stretch")).drop("_home")
 
 
-def first_from(placed: DataFrame, at: str, wanted: Column, order: list[str], name: str) -> DataFrame:
-    """The own rows of placed, with the first row (struct of order) in the stretch whose at is wanted or more as name; null if there is none.
+def spread(placed: DataFrame) -> DataFrame:
+    """placed (a staged table) by session and stretch in partitions of PART_ROWS rows on average, or more partitions, so that no task grows with the table."""
+    parts = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-placed.count() // PART_ROWS))
+    return placed.repartition(parts, "session_id", "_stretch")
 
-    Rows and questions are read in one sorted pass from the end, each question taking the row seen last.
+
+def first_from(placed: DataFrame, at: str, wanted: Column, order: list[str], name: str, asks: DataFrame | None = None) -> DataFrame:
+    """asks, by default the own rows of placed, with the first row (struct of order) in the stretch whose at is wanted or more as name; null if there is none.
+
+    Rows and questions are read in one sorted pass from the end, each question taking the row seen last. What one search gives may ask the next.
     """
+    asks = placed.where("_own") if asks is None else asks
     row = F.struct(*order)
-    is_row = placed.select("session_id", "_stretch", F.col(at).alias("_at"), F.lit(1).alias("_is"), row.alias("_row"), F.lit(None).cast(placed.select(F.struct("*")).schema[0].dataType).alias("_ask"))
-    asks = placed.where("_own").select("session_id", "_stretch", wanted.alias("_at"), F.lit(0).alias("_is"), F.lit(None).cast(placed.select(row).schema[0].dataType).alias("_row"), F.struct("*").alias("_ask"))
+    is_row = placed.select("session_id", "_stretch", F.col(at).alias("_at"), F.lit(1).alias("_is"), row.alias("_row"), F.lit(None).cast(asks.select(F.struct("*")).schema[0].dataType).alias("_ask"))
+    asked = asks.select("session_id", "_stretch", wanted.alias("_at"), F.lit(0).alias("_is"), F.lit(None).cast(placed.select(row).schema[0].dataType).alias("_row"), F.struct("*").alias("_ask"))
     back = Window.partitionBy("session_id", "_stretch").orderBy(F.desc("_at"), F.desc("_is"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
-    found = is_row.unionAll(asks).withColumn(name, F.last("_row", ignorenulls=True).over(back)).where("_is = 0")
+    found = spread(staged(is_row.unionAll(asked), "searched")).withColumn(name, F.last("_row", ignorenulls=True).over(back)).where("_is = 0")
     return found.select("_ask.*", name)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import chains
+from turnloom.sources.staging import staged
 
 
 def window_number(t_us: str, width_us: int) -> Column:
@@ -122,15 +123,13 @@ def count_or_span(batches: DataFrame, most: int, span_us: int) -> DataFrame:
     placed = chains.in_stretches(typed.withColumn("begins", F.lit(False)).unionByName(first.withColumn("begins", F.lit(True))), "last_end_us", span_us)
     order = Window.partitionBy("session_id", "_stretch").orderBy(*key)
     apart = F.col("last_end_us") - F.lag("last_end_us").over(order) >= span_us
+    placed = chains.spread(staged(placed, "placed"))
     placed = placed.withColumn("begins", F.col("begins") | F.coalesce(apart, F.lit(True))).withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    found = placed
+    placed, found = staged(placed.drop("n"), "summed"), None
     for at, wanted, name in (("upto", F.col("upto") + most, "full"), ("last_end_us", F.col("last_end_us") + 1, "later"), ("last_end_us", F.col("last_end_us") + span_us, "spanned")):
-        asked = chains.first_from(placed, at, wanted, key, name).select("session_id", "_stretch", *key, name)
-        found = asked if found is placed else found.alias("f").join(asked.alias("g"), F.expr("f.session_id <=> g.session_id and f._stretch = g._stretch and f.last_end_us = g.last_end_us and f.seq = g.seq")).select("f.*", f"g.{name}")
-    begins = placed.where("_own").select("session_id", "_stretch", *key, "begins")
+        found = chains.first_from(placed, at, wanted, key, name, found)
     both = F.when(F.col("full").isNotNull() & F.col("later").isNotNull(), F.greatest("full", "later"))
-    linked = found.alias("f").join(begins.alias("g"), F.expr("f.session_id <=> g.session_id and f._stretch = g._stretch and f.last_end_us = g.last_end_us and f.seq = g.seq"))
-    closing = chains.touched(linked.select("f.session_id", *(f"f.{c}" for c in key), "begins", F.least(both, F.col("spanned")).alias("next")), key)
+    closing = chains.touched(found.select("session_id", *key, "begins", F.least(both, F.col("spanned")).alias("next")), key)
     return between(closing)
 
 
